@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "grp_engine"
+from .plans import rows_plans  # noqa: F401
+from .plans.book import ORACLES, QUERIES
+
+FLAGSHIP = "prj_decision"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
