@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import rows_plans  # noqa: F401
+from .plans import agg_plans, join_plans, rows_plans  # noqa: F401
 from .plans.book import ORACLES, QUERIES
 
-FLAGSHIP = "prj_decision"
+FLAGSHIP = "grp_engine"
 
 
 def queries() -> dict:
