@@ -11,35 +11,52 @@ import re
 from collections.abc import Callable
 
 _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+_EDGES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "] + ["▁"]
+
+
+def _uneven(text: str) -> bool:
+    """Whether a space of the text has white space or a mark beside it, or an end of the text is white space."""
+    if text[0].isspace() or text[-1].isspace() or "  " in text:
+        return True
+    return any(c in text and (f" {c}" in text or f"{c} " in text) for c in _EDGES)
 
 
 class ChunkCache:
-    """Results of ``encode`` by chunk; emptied when it holds ``limit`` chunks, to bound memory."""
+    """Results of ``encode`` by chunk.
+
+    Two generations bound the memory: a full one becomes the old one, and what is met again
+    moves back, so that frequent chunks stay.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list], space: str = " ", limit: int = 400_000):
         """``space``: what chunks but the first start with when they are encoded; none if ``encode`` adds it."""
         self.encode, self.space, self.limit = encode, space, limit
         self.first: dict[str, object] = {}
         self.later: dict[str, object] = {} if space else self.first
+        self.old: dict[str, object] = {}
 
     def _learn(self, seen: dict[str, object], texts: list[str], prefix: str) -> None:
-        new = list(dict.fromkeys(t for t in texts if t not in seen))
-        if new:
+        missing = set(texts).difference(seen)
+        if prefix == self.space:
+            known = [t for t in missing if t in self.old]
+            seen.update((t, self.old[t]) for t in known)
+            missing.difference_update(known)
+        if missing:
+            new = list(missing)
             seen.update(zip(new, self.encode([prefix + t for t in new]), strict=True))
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        parts = text.split(" ")
-        if all(p and not (p[0].isspace() or p[-1].isspace() or p[0] == "▁" or p[-1] == "▁") for p in parts):
-            return parts
-        return _CUT.split(text)
+        return _CUT.split(text) if _uneven(text) else text.split(" ")
 
     def many(self, texts: list[str]) -> list[list]:
         """Results of each text's chunks, in order; an empty text has none."""
         cuts = [self.cut(t) if t else [] for t in texts]
-        for seen in (self.first, self.later):
-            if len(seen) > self.limit:
-                seen.clear()
+        if len(self.first) > self.limit:
+            self.first.clear()
+        if len(self.later) > self.limit:
+            self.old = dict(self.later)
+            self.later.clear()
         self._learn(self.first, [c[0] for c in cuts if c], "")
         self._learn(self.later, [x for c in cuts for x in c[1:]], self.space)
         first, later = self.first, self.later

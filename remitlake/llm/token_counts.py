@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,9 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.file_digest(f, "md5").hexdigest()
 
 
+@lru_cache(maxsize=2)
 def _counter(path: str):
-    """Function from texts to counts, for a ``.model`` or ``.json`` vocabulary."""
+    """Function from texts to counts, for a ``.model`` or ``.json`` vocabulary; kept for a worker's next tasks."""
     if path.endswith(".model"):
         import sentencepiece
 

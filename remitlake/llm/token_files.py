@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,9 @@ def pack(docs: list[np.ndarray], width: int) -> bytes:
     return _HEAD.pack(b"REFT", 1, width, low_bits, 0, len(docs), n, len(low), len(high), len(samples)) + ids + low + high + samples.tobytes()
 
 
+@lru_cache(maxsize=2)
 def _encoder(path: str):
+    """Kept for the tasks to come of a Python worker, with its chunks."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,15 +108,31 @@ def _encoder(path: str):
 
     tok = Tokenizer.from_file(path)
     width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+    # a byte-level token has a character for each of its bytes
+    n_bytes = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size(with_added_tokens=True))])
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-    batch = lambda texts: [np.array(e.ids, f"<u{width}").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    def batch(texts: list[str]) -> list[bytes]:
+        """Ids of chunks as bytes: they are encoded as one text, whose tokens are parted by their byte lengths."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), 4096):
+            some = texts[at : at + 4096]
+            if any(x[0] != " " or x[1:2].isspace() or x[-1].isspace() for x in some):
+                out += [np.array(e.ids, f"<u{width}").tobytes() for e in tok.encode_batch(some, add_special_tokens=False)]
+                continue
+            ids = np.array(tok.encode("".join(some), add_special_tokens=False).ids, f"<u{width}")
+            ends = np.cumsum([0, *(len(x.encode("utf-8", "surrogatepass")) for x in some)])
+            cuts = np.searchsorted(np.cumsum(n_bytes[ids]), ends, side="right") * width
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        return out
+
     cache = ChunkCache(batch)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if any(s in t for s in specials)]
         out = [b"".join(x) for x in cache.many(["" if i in set(whole) else t for i, t in enumerate(texts)])]
         for i in whole:
-            out[i] = batch([texts[i]])[0]
+            out[i] = np.array(tok.encode(texts[i], add_special_tokens=False).ids, f"<u{width}").tobytes()
         return [np.frombuffer(x, f"<u{width}") for x in out]
 
     return encode, width
