@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -238,6 +239,12 @@ class Codec:
         return raw[1:].decode("utf-8", "surrogatepass") if raw[:1] == b" " else raw.decode("utf-8", "surrogatepass")
 
 
+@lru_cache(maxsize=2)
+def _codec(path: str, alpha: float = 1.0, seed: int = 11) -> Codec:
+    """Kept for the tasks to come of a Python worker, with its words."""
+    return Codec(path, alpha, seed)
+
+
 def row_key(col: str = "doc_id"):
     return F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit("null")))
 
@@ -250,7 +257,7 @@ def encode(docs: DataFrame, vocabulary: str, alpha: float = 1.0, seed: int = 11)
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(vocabulary, alpha, seed)
+        codec = _codec(vocabulary, alpha, seed)
         for b in batches:
             texts, keys = [t or "" for t in b.column("text").to_pylist()], b.column("__key").to_pylist()
             for i, j in _pieces_of(texts):
@@ -282,7 +289,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(vocabulary)
+        codec = _codec(vocabulary)
         at = carried.columns.index("piece_ids")
         for b in batches:
             flat, ends = b.column(at).flatten().to_numpy(), b.column(at).offsets.to_numpy()
@@ -302,7 +309,7 @@ def round_trip(docs: DataFrame, vocabulary: str, alpha: float = 1.0, seed: int =
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codec = Codec(vocabulary, alpha, seed)
+        codec = _codec(vocabulary, alpha, seed)
         for b in batches:
             texts, keys = b.column("text").to_pylist(), b.column("__key").to_pylist()
             n, ids_crc, text_crc, same = [], [], [], []

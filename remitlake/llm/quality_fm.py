@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -89,6 +90,12 @@ class Features:
         return np.concatenate([idx, extra]), np.concatenate([value, np.full(len(_STATS), 0.5)])
 
 
+@lru_cache(maxsize=1)
+def _features() -> Features:
+    """Kept for the tasks to come of a Python worker, with its word hashes."""
+    return Features()
+
+
 class Machine:
     """The factorisation machine: bias ``b``, weights ``w``, factors ``v``."""
 
@@ -158,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     )
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Features()
+        make = _features()
         for b in batches:
             made = [make(t or "", c) for t, c in zip(b["text"], b["n_chars"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "row": [i.astype("<i4").tobytes() + x.astype("<f4").tobytes() for i, x in made]})
@@ -189,7 +196,7 @@ def score(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        make, machine = Features(), Machine(*shared.value)
+        make, machine = _features(), Machine(*shared.value)
         for b in batches:
             n, texts, chars = b.num_rows, b.column("text").to_pylist(), b.column("__n_chars").to_pylist()
             got = [machine.scores([make(t or "", c) for t, c in zip(texts[at : at + 512], chars[at : at + 512], strict=True)]) for at in range(0, n, 512)]
