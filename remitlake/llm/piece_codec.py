@@ -285,16 +285,16 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Adds ``decoded``, the text of ``piece_ids``, to ``encoded``."""
     carried = encoded.drop("decoded")
     out = T.StructType([*carried.schema.fields, T.StructField("decoded", T.StringType())])
+    at = carried.columns.index("piece_ids")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         codec = _codec(vocabulary)
-        at = carried.columns.index("piece_ids")
         for b in batches:
             flat, ends = b.column(at).flatten().to_numpy(), b.column(at).offsets.to_numpy()
             texts = [codec.decode(flat[i - ends[0] : j - ends[0]]) for i, j in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], out.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     return carried.mapInArrow(run, out)
 
