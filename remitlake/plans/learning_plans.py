@@ -112,8 +112,9 @@ def fn_regression_tag(spark, sf):
 @query("st_intake", "SELECT DISTINCT user_id, event_type FROM events")
 def st_intake(spark, sf):
     """Events come in as a stream; the first of every (user, type) is kept."""
-    source, out = f"{sf}/events.parquet", new_path(spark, "intake")
-    schema = spark.read.parquet(source).schema
+    # a pattern, because a stream's path is a folder or a pattern, and the table may be one file
+    source, out = f"{sf}/events.parque[t]", new_path(spark, "intake")
+    schema = fx.table(spark, sf, "events").schema
     time = next(f.name for f in schema if f.dataType.typeName().startswith("timestamp"))
     jobs.intake(spark, source, schema, ["user_id", "event_type"], time, "3650 days", out, new_path(spark, "state"))
     return spark.read.schema(schema).parquet(out).select("user_id", "event_type")
@@ -122,8 +123,8 @@ def st_intake(spark, sf):
 @query("st_duplicate_guard", "SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS repeated FROM orders")
 def st_duplicate_guard(spark, sf):
     """Orders come in as a stream and are flagged where returned lines name them."""
-    source, out = f"{sf}/orders.parquet", new_path(spark, "guard")
-    schema = spark.read.parquet(source).schema
+    source, out = f"{sf}/orders.parque[t]", new_path(spark, "guard")
+    schema = fx.table(spark, sf, "orders").schema
     history = fx.table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     jobs.duplicate_guard(spark, source, schema, history, ["o_orderkey"], out, new_path(spark, "state"))
     return spark.read.parquet(out).select("o_orderkey", "repeated")
