@@ -36,27 +36,27 @@ def review_detail(core: Column, iban_match: Column, code_match: Column, alias_ma
     return F.concat_ws("", F.concat(F.lit("core_matches="), F.array_join(core, ",")), part("missing", missing), part("ocr", ocr))
 
 
-def warnings(mismatch: Column, review: Column = F.lit(False)) -> Column:
+def warnings(mismatch: Column, review: Column | None = None) -> Column:
     """Warnings of a row in their order, parted by bars; null without any."""
     parts = F.array_compact(F.array(
         F.when(mismatch, "iban_mismatch_supplier"),
         F.when(~F.col("term_trusted"), "supplier_term_not_applied"),
         F.when(F.col("invoice_date").isNull(), "missing_invoice_date"),
         F.when(F.col("amount_status") == "tentative", "amount_tentative").when(F.col("amount_status") == "low_confidence", "amount_low_confidence"),
-        F.when(review, "credit_match_needs_review"),
+        F.when(F.lit(False) if review is None else review, "credit_match_needs_review"),
     ))
     return F.when(F.size(parts) > 0, F.array_join(parts, "|"))
 
 
-def with_payable(rows: DataFrame, applied: Column = F.lit(0).cast("decimal(18,2)")) -> DataFrame:
+def with_payable(rows: DataFrame, applied: Column | None = None) -> DataFrame:
     """Adds excl_base, discount and payable: the balance after credits, less the discount on its VAT-free part."""
-    saldo = (F.col("amount") - applied).cast("decimal(18,2)")
+    saldo = F.col("amount") if applied is None else (F.col("amount") - applied).cast("decimal(18,2)")
     rows = rows.withColumn("saldo", saldo).withColumn("excl_base", money.excl(F.col("saldo"), F.col("vat_rate")))
     rows = rows.withColumn("discount", F.when(F.col("discount_pct") > 0, money.discount(F.col("excl_base"), F.col("discount_pct"))).otherwise(F.lit(0).cast("decimal(18,2)")))
     return rows.withColumn("payable", (F.col("saldo") - F.col("discount")).cast("decimal(18,2)"))
 
 
-def decision_reason(needs_credit_review: Column = F.lit(False)) -> Column:
+def decision_reason(needs_credit_review: Column | None = None) -> Column:
     """The first rule that applies decides."""
     blank = F.trim(F.coalesce("iban", F.lit(""))) == ""
     status = F.col("amount_status")
@@ -67,7 +67,7 @@ def decision_reason(needs_credit_review: Column = F.lit(False)) -> Column:
         .when(status.isin("tentative", "low_confidence"), "low_confidence")
         .when(status == "ambiguous", "ambiguous")
         .when(status == "failed", "missing_amount")
-        .when(needs_credit_review, "credit_match_needs_review")
+        .when(F.lit(False) if needs_credit_review is None else needs_credit_review, "credit_match_needs_review")
         .otherwise("export_allowed")
     )
 
@@ -80,7 +80,7 @@ def decision_status(reason: Column) -> Column:
     )
 
 
-def decide(rows: DataFrame, needs_credit_review: Column = F.lit(False)) -> DataFrame:
+def decide(rows: DataFrame, needs_credit_review: Column | None = None) -> DataFrame:
     """Adds reason_code, decision, requires_rerun and a fingerprint of the decision."""
     out = rows.withColumn("reason_code", decision_reason(needs_credit_review))
     out = out.withColumn("decision", decision_status(F.col("reason_code"))).withColumn("requires_rerun", F.col("decision") == "needs_review")
