@@ -146,9 +146,9 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def nearest_in(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` best members of each query: qkey, vec_id, score."""
+    """The ``k`` best members of each query, best first: qkey, ids, scores (one row per query)."""
     if not len(queries) or not len(members):
-        return pd.DataFrame({"qkey": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        return pd.DataFrame({"qkey": pd.Series(dtype="int64"), "ids": pd.Series(dtype="object"), "scores": pd.Series(dtype="object")})
     q, x, ids = _matrix(queries["v"]), _matrix(members["v"]), members["vec_id"].to_numpy()
     rows, cols = [], []
     for at in range(0, len(q), 256):
@@ -165,9 +165,9 @@ def nearest_in(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataF
     score = _exact(q[i], x[j])
     order = np.lexsort((ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
-    first = np.searchsorted(i, i)
-    keep = np.arange(len(i)) - first < k
-    return pd.DataFrame({"qkey": queries["qkey"].to_numpy()[i[keep]], "vec_id": ids[j[keep]], "score": score[keep]})
+    starts = np.searchsorted(i, np.arange(len(q) + 1))
+    spans = [slice(x, min(x + k, y)) for x, y in zip(starts, starts[1:], strict=False)]
+    return pd.DataFrame({"qkey": queries["qkey"].to_numpy(), "ids": [ids[j[x]] for x in spans], "scores": [score[x] for x in spans]})
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
@@ -221,14 +221,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, part
     n_blocks = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), F.col("part") + 1)
     held = index.withColumn("block", F.pmod(spread(), n_blocks).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     key = ["part", "block", "q_block"]
-    found = routed.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(lambda a, b: nearest_in(a, b, k + 1), "qkey long, vec_id long, score double")
-    best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k + 1).drop("__n")
+    found = routed.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(lambda a, b: nearest_in(a, b, k + 1), "qkey long, ids array<long>, scores array<double>")
+    # one row per query, part and block
+    pairs = F.zip_with("scores", "ids", lambda x, i: F.struct((-x).alias("neg"), i.alias("vec_id"), x.alias("score")))
+    best = found.groupBy("qkey").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k + 1).alias("best"))
     # Back to every query row; its own row goes.
-    own = asked.join(distinct, ["__h", "v"]).select(F.col("vec_id").alias("query_id"), "qkey")
-    out = own.join(found, "qkey").where("query_id <> vec_id")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    own = asked.join(distinct, ["__h", "v"]).select(F.col("vec_id").alias("query_id"), "qkey").join(best, "qkey")
+    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = own.select("query_id", F.posexplode(others).alias("place", "x"))
+    return out.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op10_ann(spark, sf_dir):
