@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed
+from . import decisions as dec
 
 CENT = Decimal("0.01")
 MONEY = "decimal(18,2)"
@@ -161,14 +162,23 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def components(allocations: DataFrame, documents: DataFrame) -> DataFrame:
+    """``documents`` with ``component``: the least id of the documents that allocations link it with, or its own."""
+    edges = allocations.where("invoice_id is not null").select(F.col("credit_id").alias("a"), F.col("invoice_id").alias("b"))
+    return documents.join(connected(edges), F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
+
+
 def settle(allocations: DataFrame, documents: DataFrame) -> DataFrame:
     """Settlement groups: one per component of credits and the invoices they were poured over.
 
     ``allocations`` as from :func:`match_batches`; ``documents``: doc_id, doc_type, amount.
     """
     allocations = checkpointed(allocations)
-    edges = allocations.where("invoice_id is not null").select(F.col("credit_id").alias("a"), F.col("invoice_id").alias("b"))
-    members = documents.join(connected(edges), F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
+    return net(allocations, components(allocations, documents))
+
+
+def net(allocations: DataFrame, members: DataFrame) -> DataFrame:
+    """Settlement groups of ``members``: doc_id, doc_type, amount, component."""
     per = allocations.groupBy(F.col("credit_id").alias("doc_id")).agg(F.sum("applied_cents").alias("applied"), F.max(F.when(F.col("invoice_id").isNull(), F.col("remaining_cents")).otherwise(F.lit(0))).alias("unallocated"), F.max("method").alias("method"), F.max("warnings").alias("warnings"))
     m = members.join(per, "doc_id", "left")
     is_inv = F.col("doc_type") == "invoice"
@@ -186,7 +196,11 @@ def settle(allocations: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def group_decision(groups: DataFrame, decisions: DataFrame) -> DataFrame:
-    """One decision per group: refund, zero and manual first, then the worst of its invoices by id."""
+    """One decision per group: refund, zero and manual first, then the worst of its invoices by id.
+
+    ``decisions``: doc_id, component, decision, reason_code. A group with status ``rejected`` has
+    the decision of its document.
+    """
     worst = decisions.groupBy("component").agg(
         F.min(F.when(F.col("decision") == "excluded", F.struct("doc_id", "reason_code")))["reason_code"].alias("excluded"),
         F.min(F.when(F.col("decision") == "needs_review", F.struct("doc_id", "reason_code")))["reason_code"].alias("review"),
@@ -196,5 +210,28 @@ def group_decision(groups: DataFrame, decisions: DataFrame) -> DataFrame:
         F.when(F.col("status") == "refund_required", "credit_refund_required").when(F.col("status") == "zero_amount", "zero_amount").when(F.col("status") == "manual_review", "credit_match_needs_review")
         .when(F.col("excluded").isNotNull(), F.col("excluded")).when(F.col("review").isNotNull(), F.col("review")).otherwise("export_allowed")
     )
-    state = F.when((F.col("status") == "zero_amount") | ((F.col("status") == "ok") & F.col("excluded").isNotNull()), "excluded").when((F.col("status") != "ok") | F.col("review").isNotNull(), "needs_review").otherwise("included")
+    own = F.col("status").isin("ok", "rejected")
+    state = F.when((F.col("status") == "zero_amount") | (own & F.col("excluded").isNotNull()), "excluded").when(~own | F.col("review").isNotNull(), "needs_review").otherwise("included")
     return j.withColumn("reason_code", reason).withColumn("decision", state).drop("excluded", "review")
+
+
+def decided_groups(rows: DataFrame, credits: DataFrame, invoices: DataFrame) -> DataFrame:
+    """The engine: accepted documents are matched, netted and decided by settlement group.
+
+    ``rows``: engine rows of all documents; ``credits`` and ``invoices`` as for :func:`match_batches`.
+    A rejected document takes no part in matching; it is a row of its own with status
+    ``rejected`` and its reason, so that every document is in one row of the result.
+    """
+    decided = dec.decide(dec.with_payable(dec.accept(rows)))
+    refused = F.col("reject_reason").isNotNull()
+    decided = checkpointed(decided.select(
+        "doc_id", "doc_type", "amount", refused.alias("refused"),
+        F.when(refused, dec.reject_status(F.col("reject_reason"))).otherwise(F.col("decision")).alias("decision"),
+        F.when(refused, F.col("reject_reason")).otherwise(F.col("reason_code")).alias("reason_code"),
+    ))
+    taken = decided.where("not refused").select("doc_id")
+    allocations = checkpointed(match_batches(credits.join(taken.withColumnRenamed("doc_id", "credit_id"), "credit_id", "left_semi"), invoices.join(taken, "doc_id", "left_semi")))
+    members = checkpointed(components(allocations, decided))
+    alone = members.where("refused").select("component", F.lit("rejected").alias("__status"))
+    groups = net(allocations, members).join(alone, "component", "left").withColumn("status", F.coalesce("__status", "status")).drop("__status")
+    return group_decision(groups, members.where("refused or doc_type = 'invoice'").select("doc_id", "component", "decision", "reason_code"))

@@ -29,6 +29,11 @@ def accept(rows: DataFrame) -> DataFrame:
     return tagged.withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & blank, "missing_supplier_name").otherwise(F.col("reject_reason")))
 
 
+def reject_status(reason: Column) -> Column:
+    """Decision on a row that is not accepted: review where a supplier can still be confirmed."""
+    return F.when(reason.isin("needs_review", "unmatched_supplier"), "needs_review").otherwise("excluded")
+
+
 def review_detail(core: Column, iban_match: Column, code_match: Column, alias_match: Column, ocr: Column) -> Column:
     """``core_matches=…;missing=…;ocr=…``; empty parts but the first are left out."""
     missing = F.array_compact(F.array(F.when(~iban_match, "IBAN"), F.when(~code_match, "customer_code"), F.when(~alias_match, "alias")))

@@ -311,11 +311,9 @@ def grp_components(spark, sf):
 
 @query("grp_engine")
 def grp_engine(spark, sf):
-    """Settlement groups with their decision: match, net, decide, export."""
-    c, i, docs = _batched(spark, sf)
-    groups = cr.settle(cr.match_batches(c, i), docs.select("doc_id", "doc_type", "amount"))
-    rows = decisions.decide(decisions.with_payable(fx.rows(spark, sf).where("doc_type = 'invoice'"))).select(F.col("doc_id"), "decision", "reason_code").withColumn("component", F.col("doc_id"))
-    return cr.group_decision(groups, rows)
+    """Settlement groups with their decision: accept, match, net, decide, export."""
+    c, i, _ = _batched(spark, sf)
+    return cr.decided_groups(fx.rows(spark, sf), c, i)
 
 
 @query("grp_legacy_payments", FULL + "SELECT doc_id, decision, reason_code, payable, CAST('legacy' AS VARCHAR) AS pipeline FROM decided WHERE doc_type='invoice' AND match_status IN ('matched','new','confirmed','reviewed') AND supplier_name <> ''")

@@ -54,3 +54,29 @@ def test_no_invoices(spark):
     c, i = _frames(spark, [("C1", "10.00", None)], [])
     assert credits.match_one(c, i).collect()[0]["warnings"] == "no_same_supplier_invoices"
     assert credits.match_batches(c, i).collect()[0]["method"] == "manual_review"
+
+
+ENGINE_ROW = "doc_id string, doc_type string, amount decimal(18,2), supplier_name string, match_status string, load_error string, iban string, amount_status string, vat_rate int, discount_pct decimal(5,2)"
+GOOD = "NL91ABNA0417164300"
+
+
+def test_engine_decides_by_component(spark):
+    """Groups are named by their credit, which sorts before its invoices; rejected documents stay rows of their own."""
+    row = lambda n, a, iban=GOOD, status="confirmed", name="S", amount="confirmed", error=None: (n, "credit_note" if n.startswith("CN") else "invoice", Decimal(a), name, status, error, iban, amount, 21, Decimal(0))
+    rows = [
+        row("CN1", "50.00"), row("INV1", "200.00", iban=None), row("CN2", "30.00"), row("INV2", "300.00", amount="ambiguous"), row("CN3", "20.00"), row("INV3", "400.00"),
+        row("CN4", "10.00"), row("INV4", "500.00", status="unmatched"), row("INV5", "5.00", status="load_failed", error="no_text"), row("INV6", "6.00", name=" "), row("CN7", "1.00", status="no_hint"), row("INV7", "70.00"), row("INV8", "80.00", iban="NL00ABNA0417164300"),
+    ]
+    frame = spark.createDataFrame(rows, ENGINE_ROW)
+    batch = lambda n: "b" + n[-1]
+    c = spark.createDataFrame([(r[0], batch(r[0]), r[2], None) for r in rows if r[0].startswith("CN")], "credit_id string, batch string, amount decimal(18,2), ref_number string")
+    i = spark.createDataFrame([(r[0], batch(r[0]), r[2]) for r in rows if r[0].startswith("INV")], "doc_id string, batch string, amount decimal(18,2)")
+    got = credits.decided_groups(frame, c, i).collect()
+    assert {(r["component"], r["status"], r["decision"], r["reason_code"]) for r in got} == {
+        ("CN1", "ok", "excluded", "missing_iban"), ("CN2", "ok", "needs_review", "ambiguous"), ("CN3", "ok", "included", "export_allowed"),
+        ("CN4", "manual_review", "needs_review", "credit_match_needs_review"), ("INV4", "rejected", "needs_review", "unmatched_supplier"),
+        ("INV5", "rejected", "excluded", "pdf_no_text"), ("INV6", "rejected", "excluded", "missing_supplier_name"),
+        ("CN7", "rejected", "excluded", "no_supplier_hint"), ("INV7", "ok", "included", "export_allowed"), ("INV8", "ok", "excluded", "invalid_iban"),
+    }
+    assert sum(r["n_invoices"] + r["n_credits"] for r in got) == len(rows)
+    assert {r["component"]: r["final_amount_due"] for r in got}["CN1"] == Decimal("150.00")
