@@ -55,19 +55,16 @@ def ln_learn(spark, sf):
 
 @query("ln_apply_strategy", w(SUP, DOCS, TEXTS, CONF) + "SELECT doc_id, field_id, confirmed AS value FROM conf")
 def ln_apply_strategy(spark, sf):
-    """Rules learned on a third of the documents read all of them."""
+    """Rules learned on all confirmed values read all documents."""
     lines, known, owners = _inputs(spark, sf)
-    third = F.crc32(F.col("doc_id").cast("binary")) % 3 == 0
-    rules = ln.profiles(ln.run(lines.where(third), known.where(third)), owners)
-    return ln.apply(lines, owners, rules.select("supplier_id", "field_id", "strategy", "label"))
+    return ln.learn_and_apply(lines, known, owners)
 
 
 @query("ln_validate", w(SUP, DOCS, TEXTS, CONF) + "SELECT field_id, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM conf GROUP BY 1")
 def ln_validate(spark, sf):
     """What the rules read against what was confirmed."""
     lines, known, owners = _inputs(spark, sf)
-    rules = ln.profiles(ln.run(lines, known), owners).select("supplier_id", "field_id", "strategy", "label")
-    j = known.join(ln.apply(lines, owners, rules), ["doc_id", "field_id"], "left")
+    j = known.join(ln.learn_and_apply(lines, known, owners), ["doc_id", "field_id"], "left")
     return j.groupBy("field_id").agg(F.count("*").alias("n"), F.count_if(~F.col("confirmed").eqNullSafe(F.col("value"))).alias("mismatches"))
 
 
