@@ -144,6 +144,28 @@ def match_batches(credits: DataFrame, invoices: DataFrame) -> DataFrame:
     return c.groupBy("batch").cogroup(i.groupBy("batch")).applyInPandas(lambda a, b: run(a, b) if len(a) else pd.DataFrame(columns=[x.split()[0] for x in ALLOCATIONS.split(", ")]), ALLOCATIONS)
 
 
+def pour(credits: DataFrame, invoices: DataFrame) -> DataFrame:
+    """All credits of a batch, the largest first, over its invoices in order: (credit_id, doc_id, applied).
+
+    Running sums lay both sides on one line, on which each stretch between two ends belongs to one
+    credit and one invoice. One window holds the ends, so nothing is paired.
+    """
+    def ends(rows: DataFrame, order: list, **ids: str) -> DataFrame:
+        running = Window.partitionBy("batch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        named = [F.col(ids[x]) if x in ids else F.lit(None).cast("string") for x in ("credit_id", "doc_id")]
+        return rows.where("amount > 0").select("batch", F.sum("amount").over(running).cast("decimal(28,2)").alias("end"), named[0].alias("credit_id"), named[1].alias("doc_id"))
+
+    both = ends(credits, [F.desc("amount"), "credit_id"], credit_id="credit_id").unionByName(ends(invoices, ["amount", "doc_id"], doc_id="doc_id"))
+    # from the far end, as Spark goes over each frame that runs to the end of its partition anew
+    back = Window.partitionBy("batch").orderBy(F.desc("end"), "credit_id", "doc_id")
+    seen = back.rowsBetween(Window.unboundedPreceding, 0)
+    parts = both.select(
+        F.last("credit_id", ignorenulls=True).over(seen).alias("credit_id"), F.last("doc_id", ignorenulls=True).over(seen).alias("doc_id"),
+        (F.col("end") - F.coalesce(F.lead("end").over(back), F.lit(0))).cast(MONEY).alias("applied"),
+    )
+    return parts.where("applied > 0 and credit_id is not null and doc_id is not null")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component): least node that edges (a, b) reach; labels are lowered until they stay.
 

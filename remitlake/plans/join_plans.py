@@ -276,6 +276,14 @@ def win_allocation_fill(spark, sf):
     return j.where("applied > 0").select("credit_id", "doc_id", F.col("applied").cast("decimal(18,2)").alias("applied"))
 
 
+@query("win_allocation_pour", w(DOCS, CREDITS, BATCHED) + """SELECT c.credit_id, i.doc_id, CAST(least(c.running, i.running) - greatest(c.running - c.amount, i.running - i.amount) AS DECIMAL(18,2)) AS applied
+  FROM (SELECT *, sum(amount) OVER (PARTITION BY batch ORDER BY amount DESC, credit_id) AS running FROM bc) c JOIN bi i ON c.batch = i.batch WHERE least(c.running, i.running) > greatest(c.running - c.amount, i.running - i.amount)""")
+def win_allocation_pour(spark, sf):
+    """Every credit of a batch is poured over its invoices in order, the largest first."""
+    c, i, _ = _batched(spark, sf)
+    return cr.pour(c, i)
+
+
 @query("win_credit_order", w(DOCS, CREDITS, BATCHED) + "SELECT credit_id, CAST(row_number() OVER (PARTITION BY batch ORDER BY amount DESC, credit_id) AS INT) AS turn FROM bc")
 def win_credit_order(spark, sf):
     from pyspark.sql import Window

@@ -50,6 +50,12 @@ def test_span_nets_and_pools(spark):
     assert len(g) == 1 and g[0]["status"] == "ok" and g[0]["final_amount_due"] == Decimal("10.00")
 
 
+def test_pour_takes_every_credit(spark):
+    c, i = _frames(spark, [("C1", "30.00", None), ("C2", "70.00", None), ("C3", "70.00", None), ("C4", "25.00", None)], [("I1", "50.00"), ("I2", "90.00"), ("I3", "40.00")])
+    rows = {(r["credit_id"], r["doc_id"], str(r["applied"])) for r in credits.pour(c, i).collect()}
+    assert rows == {("C2", "I3", "40.00"), ("C2", "I1", "30.00"), ("C3", "I1", "20.00"), ("C3", "I2", "50.00"), ("C1", "I2", "30.00"), ("C4", "I2", "10.00")}
+
+
 def test_no_invoices(spark):
     c, i = _frames(spark, [("C1", "10.00", None)], [])
     assert credits.match_one(c, i).collect()[0]["warnings"] == "no_same_supplier_invoices"
