@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions
 from ..sources import fixtures as fx
+from ..sources.shared import checkpointed
 from .book import query
 from .fixture_sql import ATTEMPTS, DOCS, ROWS, SUP, TEXTS, w
 from .rows_plans import FULL
@@ -288,6 +289,21 @@ def srt_ui_amount(spark, sf):
     return top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("amount"), "doc_date", "doc_id")).alias("place"))
 
 
+def _placed(rows, order):
+    """``rows`` with ``place`` in the whole order: ranges in order, then places within each after those of the ranges before."""
+    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__within", within).join(F.broadcast(starts), "__part").withColumn("place", F.col("__start") + F.col("__within")).drop("__part", "__within", "__start")
+
+
+@query("srt_ui_amount_all", w(DOCS) + "SELECT doc_id, row_number() OVER (ORDER BY amount DESC, doc_date, doc_id) AS place FROM docs")
+def srt_ui_amount_all(spark, sf):
+    """All documents by amount and date as typed columns, as a table view sorts them."""
+    return _placed(fx.documents(spark, sf), (F.desc("amount"), F.asc("doc_date"), F.asc("doc_id"))).select("doc_id", "place").orderBy("place")
+
+
 @query("set_candidate_union", w(SUP, DOCS, ROWS) + "SELECT doc_id, iban AS value, 'text' AS source FROM rws WHERE iban IS NOT NULL UNION ALL SELECT doc_id, db_iban, 'master' FROM rws")
 def set_candidate_union(spark, sf):
     r = fx.rows(spark, sf)
