@@ -5,10 +5,16 @@ in license templates. A hit votes for the diagonal ``text position - template po
 diagonals of a text and template that lie within ``slack`` of each other are merged, so that an
 inserted or lost word does not split a notice. A merged candidate is then verified word by
 word: its identity is the share of the template's words that stand in the text on one of its
-diagonals, and it counts from ``least`` on.
+diagonals, and it counts from ``least`` on, unless the words it spans hold a qualifier (``QUALIFIERS``)
+that the template has not: another licence.
+
+Notices of ``SHORT`` words have too few grams for that. Where a text holds all their key words
+(``KEYS``, and numbers), they are sought with one edit: a word lost, replaced or put in. Key words
+are neither edited nor put in, as they tell one licence from another.
 
 Beside that, three fixed phrases are found exactly. ``labels`` has both, ``score`` is the best
-identity of a verified notice (0 without any).
+identity of a verified notice (0 without any), ``spans`` are the verified notices with their first
+and last word.
 
 Defined results: null and empty texts have no words and no labels; rows that agree in doc_id
 and text (nulls included) share their result and stay rows of their own; an empty table gives
@@ -19,7 +25,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -42,13 +48,102 @@ TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    # Short notices in other common words.
+    ("apache-2.0", "Licensed under the Apache 2.0 License"),
+    ("apache-2.0", "Licensed under Apache License 2.0"),
+    ("mit", "Licensed under the MIT License"),
+    ("cc-by-4.0", "Licensed under CC BY 4.0"),
+    ("cc-by-3.0", "Licensed under CC BY 3.0"),
+    ("cc-by-nc-3.0", "Licensed under CC BY-NC 3.0"),
+    ("cc-by-sa-3.0", "Licensed under CC BY-SA 3.0"),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    ("gpl-3.0", "Licensed under the GNU GPL version 3"),
+    ("mpl-2.0", "Licensed under the Mozilla Public License 2.0"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    # The other clauses of the long licences.
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("apache-2.0", "See the License for the specific language governing permissions and limitations under the License"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd", "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program"),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("isc", "In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software"),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("mit", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
 )
+#: Templates of so many words are sought with one edit.
+SHORT = range(5, 10)
+#: Words of short templates that are not edited, besides numbers.
+KEYS = frozenset("apache mit bsd isc mozilla mpl cc by nc sa nd gnu gpl lgpl agpl lesser affero library general public".split())
+#: Words that make another licence of a notice.
+QUALIFIERS = ("nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs", "lesser", "affero", "library")
+SPAN = "struct<label:string,identity:double,first_word:bigint,last_word:bigint>"
 
 
 def _words(text: str) -> list[str]:
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
 
 
+def _is_key(word: str) -> bool:
+    return word in KEYS or word.isdigit()
+
+
+def _with_one_edit(words: list[str]) -> str:
+    """Pattern of a short notice, each word after a space, with at most one word edited that is no key."""
+    plain = lambda ws: "".join(f" {w}" for w in ws)
+    other = f" (?!(?:{'|'.join(sorted(KEYS))}|[0-9]+) )[^ ]+"
+    forms = [plain(words)]
+    for j, w in enumerate(words):
+        if j:
+            forms.append(plain(words[:j]) + other + plain(words[j:]))
+        if not _is_key(w):
+            forms += [plain(words[:j]) + other + plain(words[j + 1 :])] * (0 < j < len(words) - 1) + [plain(words[:j] + words[j + 1 :])]
+    return f"(?:{'|'.join(forms)})(?= )"
+
+
+def _found_short(label: str, words: list[str]) -> Column:
+    """Spans of a short notice in the column ``__line``, in which each word stands after a space."""
+    # Each match comes with the words before it; \\G keeps a search without result from starting anew at every letter.
+    pattern, none = F.lit(f"(?s)\\G(.*?)({_with_one_edit(words)})"), F.array().cast(f"array<{SPAN}>")
+    part = lambda k: F.regexp_extract_all("__line", pattern, F.lit(k))
+    spaces = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" ")))).cast("long")
+    n, whole = len(words), "".join(f" {w}" for w in words)
+
+    def put(acc, x):
+        first, size = acc["at"] + spaces(x["before"]), spaces(x["match"])
+        identity = F.when((size > n) | (x["match"] == whole), 1.0).otherwise((n - 1) / n)
+        span = F.struct(F.lit(label).alias("label"), identity.alias("identity"), first.alias("first_word"), (first + size - 1).alias("last_word"))
+        return F.struct((first + size).alias("at"), F.array_append(acc["spans"], span.cast(SPAN)).alias("spans"))
+
+    parts = F.arrays_zip(part(1).alias("before"), part(2).alias("match"))
+    found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), put)["spans"]
+    held = F.lit(True)
+    for k in {w for w in words if w in KEYS}:
+        held = held & F.array_contains("words", k)
+    return F.when(held, found).otherwise(none)
+
+
+def short_notices(texts: DataFrame) -> DataFrame:
+    """(doc_id, __t, found) of texts with short notices; ``found`` are their spans."""
+    short = [(label, ws) for label, ws in ((label, _words(t)) for label, t in TEMPLATES) if len(ws) in SHORT]
+    # Each of these templates has one of these words; most texts have none and end here.
+    rare = ("apache", "mit", "mozilla", "gpl", "cc")
+    assert all(set(rare) & set(ws) for _, ws in short)
+    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    held = texts.where(F.arrays_overlap("words", F.array(*[F.lit(k) for k in rare]))).select("doc_id", "__t", "words", line.alias("__line"))
+    return held.select("doc_id", "__t", F.flatten(F.array(*[_found_short(*x) for x in short])).alias("found")).where(F.size("found") > 0)
+
+
 def template_tables(spark: SparkSession, k: int) -> tuple[DataFrame, DataFrame]:
     """(template, label, words), and (gram, template, at) with the hash of every gram."""
     rows = [(i, label, _words(text)) for i, (label, text) in enumerate(TEMPLATES)]
@@ -83,7 +178,7 @@ def candidates(texts: DataFrame, k: int, slack: int, share: float) -> DataFrame:
     w = lambda i, j: F.get("words", i + j)
     hashes = F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.xxhash64(*[w(i, j) for j in range(k)])))
     rolled = texts.select("doc_id", "__t", F.posexplode(hashes).alias("pos", "gram"))
-    # The templates are fixed text, a few hundred grams.
+    # The templates are fixed text, several hundred grams.
     hits = rolled.join(F.broadcast(grams), "gram").select("doc_id", "__t", "template", (F.col("pos") - F.col("at")).alias("diagonal"), "at")
     votes = hits.groupBy("doc_id", "__t", "template", "diagonal").agg(F.collect_set("at").alias("ats"))
     ordered = Window.partitionBy("doc_id", "__t", "template").orderBy("diagonal")
@@ -102,12 +197,19 @@ def scan(docs: DataFrame, k: int = 3, slack: int = 3, share: float = 0.3, least:
     found = C.materialise(candidates(texts, k, slack, share), "candidates")
     few = found.count() <= broadcast_rows
     pairs = texts.alias("x").join(F.broadcast(found.alias("c")) if few else found.alias("c"), F.col("x.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("x.__t") == F.col("c.__t")))
-    on_diagonal = lambda t, i: F.exists("diagonals", lambda d: F.get("words", i + d) == t)
-    met = F.aggregate(F.transform("template_words", lambda t, i: F.when(on_diagonal(t, i), 1).otherwise(0)), F.lit(0), lambda a, y: a + y)
+    # Of each word of the template, the place in the text where one of the diagonals has it.
+    place = lambda t, i: F.get(F.filter(F.transform("diagonals", lambda d: i + d), lambda p: F.get("words", p) == t), F.lit(0))
+    met = pairs.select(F.col("x.doc_id"), F.col("x.__t"), "label", "words", "template_words", F.array_compact(F.transform("template_words", place)).alias("places"))
+    met = met.withColumn("identity", F.size("places") / F.size("template_words")).where(F.col("identity") >= least)
+    first, last = F.array_min("places"), F.array_max("places")
+    spanned = F.slice("words", first + 1, last - first + 1)
+    foreign = F.array_except(F.array_intersect(F.array(*[F.lit(q) for q in QUALIFIERS]), spanned), "template_words")
+    long = met.where(F.size(foreign) == 0).select("doc_id", "__t", F.struct("label", "identity", first.cast("long").alias("first_word"), last.cast("long").alias("last_word")).cast(SPAN).alias("span"))
+    # rows that agree in doc_id and text find the same, once each
+    short = short_notices(texts).select("doc_id", "__t", F.explode("found").alias("span"))
     verified = (
-        pairs.select(F.col("x.doc_id"), F.col("x.__t"), "label", (met / F.size("template_words")).alias("identity"))
-        .where(F.col("identity") >= least)
-        .groupBy("doc_id", "__t").agg(F.collect_set("label").alias("__labels"), F.max("identity").alias("__score"))
+        long.unionByName(short).groupBy("doc_id", "__t").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+        .select("doc_id", "__t", "spans", F.col("spans.label").alias("__labels"), F.array_max("spans.identity").alias("__score"))
     )
     base = texts.select("doc_id", "__t", F.size("words").cast("long").alias("n_words"), _base_hits().alias("hits"))
     ats, names = F.col("hits.at"), F.array_sort(F.array_distinct(F.coalesce("hits.label", F.array().cast("array<string>"))))
@@ -118,6 +220,7 @@ def scan(docs: DataFrame, k: int = 3, slack: int = 3, share: float = 0.3, least:
     return both.select(
         F.col("b.doc_id"), "n_words", "n_base", "first_word", "last_word",
         F.array_join("__base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.coalesce("__score", F.lit(0.0)).alias("score"),
+        F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"),
     )
 
 

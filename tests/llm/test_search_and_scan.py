@@ -45,6 +45,27 @@ def test_license(spark, docs, rows, empty):
     assert wide == sorted((r["doc_id"] or -1, r["labels"]) for r in got)
 
 
+def test_license_edits(spark):
+    """Lost, replaced and added words, and the places of what was found; words that name another licence are no edits."""
+    given = [
+        ("Licensed under the Apache License 2.0", {"apache-2.0"}), ("see: Released under MIT License", {"mit"}), ("Released under a MIT License", {"mit"}),
+        ("Released under the permissive MIT License today", {"mit"}), ("Licensed under CC BY-NC 3.0", {"cc-by-nc-3.0"}), ("Shared under CC BY-SA 4.0", {"cc-by-sa-4.0"}),
+        ("Released under the BSD License", set()), ("Licensed under the Mozilla License, Version 2.0", set()), ("the MIT press and the licence", set()),
+        ("Licensed under CC BY-NC-SA 4.0", {"cc-by-nc-sa-4.0"}), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa-4.0"}),
+        ("The above copyright notice and this permission notice shall be included in all copies or important portions of the Software", {"mit"}),
+        ("Neither the name of the copyright holder nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission", {"bsd"}),
+    ]
+    df = spark.createDataFrame([(i, "x y " + t + " z") for i, (t, _) in enumerate(given)] + [(99, "released under the mit license and then " * 2)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    for i, (t, want) in enumerate(given):
+        assert {s["label"] for s in got[i]["spans"]} == want, t
+        assert set(got[i]["labels"].split(",")) - {""} == want | set(filter(None, got[i]["base_labels"].split(","))), t
+    places = {(s["first_word"], s["last_word"]) for s in got[1]["spans"]}
+    assert (3, 6) in places and all(p >= 3 and q <= 6 for p, q in places)
+    assert {(0, 4), (7, 11)} <= {(s["first_word"], s["last_word"]) for s in got[99]["spans"]}
+    assert got[2]["score"] == 4 / 5 and got[99]["score"] == 1
+
+
 def _table(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
