@@ -39,11 +39,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of every document, with the check that they decode to its text."""
+    """Sampled piece ids of every document; ``lossless`` tells whether they decode to its text."""
     common.ship(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = piece_codec.encode(docs, path)
-    return encoded.select("doc_id", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
+    encoded = piece_codec.encode(docs, path, check=True)
+    return encoded.select("doc_id", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "lossless")
 
 
 STAGES = [

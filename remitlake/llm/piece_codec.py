@@ -249,10 +249,14 @@ def row_key(col: str = "doc_id"):
     return F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit("null")))
 
 
-def encode(docs: DataFrame, vocabulary: str, alpha: float = 1.0, seed: int = 11) -> DataFrame:
-    """Adds ``piece_ids`` (array of int), sampled by doc_id, to ``docs``."""
-    carried = docs.drop("piece_ids").withColumn("__key", row_key())
-    out = T.StructType([*carried.drop("__key").schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
+def encode(docs: DataFrame, vocabulary: str, alpha: float = 1.0, seed: int = 11, check: bool = False) -> DataFrame:
+    """Adds ``piece_ids`` (array of int), sampled by doc_id, to ``docs``.
+
+    With ``check`` the ids are decoded in the same pass, and ``lossless`` tells whether they give
+    the text again (an empty one for null).
+    """
+    carried = docs.drop("piece_ids", *["lossless"] * check).withColumn("__key", row_key())
+    out = T.StructType([*carried.drop("__key").schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), *[T.StructField("lossless", T.BooleanType())] * check])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -264,7 +268,8 @@ def encode(docs: DataFrame, vocabulary: str, alpha: float = 1.0, seed: int = 11)
                 ids = codec.sample(texts[i:j], keys[i:j])
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], lists], out.names)
+                same = [pa.array([codec.decode(x) == t for x, t in zip(ids, texts[i:j], strict=True)], pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], lists, *same], out.names)
 
     return carried.mapInArrow(run, out)
 

@@ -26,6 +26,15 @@ def test_stages(spark, sf_dir):
         if name == "quality classifier":
             assert sum(labels.get(i) == 0 for i in now) == 0
     assert all(r["n_pieces"] == len(r["piece_ids"]) for r in rows)
+    assert all(r["lossless"] for r in rows)
+
+
+def test_pieces_are_decoded_and_compared(spark, docs):
+    path = corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model")
+    encoded = corpus_pipeline.piece_codec.encode(docs, path, check=True)
+    rows = corpus_pipeline.piece_codec.decode(encoded, path).collect()
+    assert len(rows) == docs.count()
+    assert all(r["lossless"] is (r["decoded"] == (r["text"] or "")) for r in rows)
 
 
 def test_edges(spark, docs, empty, sf_dir):
