@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -66,6 +67,31 @@ def ship(spark: SparkSession) -> None:
     sc._remitlake_shipped = True
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]):
+    """The one object that a Python worker keeps for the tasks to come; asking for another key drops it."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def slices(batches: Iterator, column: str, most: int = 4 << 20) -> Iterator:
+    """Cuts Arrow batches into runs of rows that hold about ``most`` bytes in ``column``."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < b.num_rows:
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + most, side="right")))
+            yield b.slice(first, last - first)
+            first = last
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -4,15 +4,26 @@ A document is the set of its 5-word shingles. One permutation places shingles in
 positions, a second one gives positions their ranks; signature coordinate ``k`` is the least
 rank after turning the second permutation by ``k``. So two permutations make all ``ROWS *
 BANDS`` coordinates. Coordinates are banded, and documents that share a band are compared on
-their full sets: they are linked with 100 * intersection >= 75 * union.
-
-Documents with equal sets are one class from the start. Buckets of a band are not expanded
-into pairs: every member is compared with two leaders, and what that links is merged into
-components. Only buckets that still hold several components go on; their members are compared
-across components where two bits of every coordinate do not rule the pair out (at the threshold
-that errs with a chance of 5e-6, as missing all bands does). Buckets in which that would meet
-very many are first split by a second shared band (at the threshold, 0.9999 of pairs share
-two).
+their full sets: they are linked with 100 * intersection >= 75 * union. Sets of over ``LONG``
+shingles would fill the circle, so they get bands of a wider one; sets near that size get both.
+
+Documents with equal sets are one class from the start. The buckets of the bands are not
+expanded into pairs. Every member is compared with a leader of its bucket, and what that links
+is merged into components. Then only pairs across components are left to find:
+
+* where at most ``CROWD`` members lie outside the bucket's main component, those are compared
+  with every member, which is linear in the bucket;
+* in other buckets, the crowds, each set is written as its deviations from the leader L: the
+  shingles R that it lacks and A that it adds. Two sets share ``|L| - |Ru| - |Rv| + s``
+  shingles, where s counts common deviations, so a link asks for ``s >= w(u) + w(v) - |L| / 7``
+  with ``w = (4 |R| + 3 |A|) / 7``. A member that is not linked with L has ``w > |L| / 7``, so it
+  links with v only if they share more than ``w(v)`` deviations. With one order of deviations for
+  all, such a pair meets in the first ``|D(v)| - floor(w(v))`` ones of v (prefix filter). Members
+  that share one of those are the next, much smaller buckets, with leaders of their own.
+
+No pair that shares a band and passes the threshold is lost on the way; only sharing no band
+loses a pair (at the threshold, with a chance of 5e-6 for independent coordinates). Buckets that
+are still crowded after ``DEPTH`` rounds are compared in full.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and stays; texts
 of under 5 words have one shingle; a null doc_id has a null component and stays; rows that
@@ -24,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,7 +43,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-BANDS, ROWS, CIRCLE, UNLIKE, CROWD, MANY = 32, 4, 1 << 20, 43, 32, 4_000_000
+BANDS, ROWS, CIRCLE, LONG = 32, 4, 1 << 20, 1 << 17
+CROWD, BLOCK, DEPTH = 32, 1024, 8
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -43,32 +54,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles; words' hashes are kept up to a bound."""
+    """Sorted distinct 64-bit hashes of texts' shingles; words' hashes are kept up to a bound."""
 
-    def __init__(self, size: int = 5, limit: int = 500_000):
-        self.size, self.limit, self.known = size, limit, {}
+    def __init__(self, size: int = 5, limit: int = 200_000):
+        self.size, self.limit, self.known = size, limit, _WordHashes()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
+    def _rolled(self, h: np.ndarray, size: int) -> np.ndarray:
+        out = np.full(len(h) - size + 1, size, np.uint64)
+        for k in range(size):
+            out = _mix(out + h[k : len(h) - size + 1 + k] * _MULTIPLIERS[k])
+        return out
 
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII white space splits
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        hashes: list[int] = []
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        # bytes: only A-Z change, only ASCII white space splits
+        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        hashes = np.array([h for w in words for h in map(self.known.__getitem__, w)], np.uint64)
+        rolled = self._rolled(hashes, self.size) if len(hashes) >= self.size else hashes[:0]
+        out, at = [], 0
         for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            hashes.append(h)
-        h, n = np.array(hashes, np.uint64), min(self.size, len(words))
-        out = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            out = _mix(out + h[k : len(h) - n + 1 + k] * _MULTIPLIERS[k])
-        return np.unique(out)
+            n = len(w)
+            out.append(np.unique(rolled[at : at + n - self.size + 1]) if n >= self.size else self._rolled(hashes[at : at + n], n) if n else hashes[:0])
+            at += n
+        return out
 
 
 class Circulant:
@@ -78,99 +96,169 @@ class Circulant:
         ranks = np.random.default_rng(seed).permutation(CIRCLE).astype(np.uint32)
         self.windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[: BANDS * ROWS]]), BANDS * ROWS)
 
-    def signature(self, shingles: np.ndarray) -> np.ndarray:
-        places = np.unique((_mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(44)).astype(np.int64))
-        out = np.full(BANDS * ROWS, CIRCLE, np.uint32)
-        for at in range(0, len(places), 2048):
-            np.minimum(out, self.windows[places[at : at + 2048]].min(0), out=out)
+    def signature(self, shingles: np.ndarray, wide: bool = False) -> np.ndarray:
+        """``wide``: on a circle of 2^64 positions, whose ranks are a hash that is one-to-one."""
+        placed = _mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
+        out = np.full(BANDS * ROWS, 2**64 - 1 if wide else CIRCLE, np.uint64 if wide else np.uint32)
+        for at in range(0, len(placed), 1024):
+            some = placed[at : at + 1024]
+            ranks = _mix(some[:, None] + np.arange(BANDS * ROWS, dtype=np.uint64)) if wide else self.windows[(some >> np.uint64(44)).astype(np.int64)]
+            np.minimum(out, ranks.min(0), out=out)
         return out
 
-    def bands(self, signature: np.ndarray) -> np.ndarray:
-        s = signature.astype(np.uint64).reshape(BANDS, ROWS)
-        h = np.arange(BANDS, dtype=np.uint64)
+    @staticmethod
+    def keys(signatures: np.ndarray, wide: bool = False) -> np.ndarray:
+        """Band keys of signatures, one row each."""
+        s = signatures.astype(np.uint64).reshape(-1, BANDS, ROWS)
+        h = np.tile(np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * wide), (len(s), 1))
         for r in range(ROWS):
-            h = _mix(h + s[:, r] * _MULTIPLIERS[r] + np.uint64(1))
+            h = _mix(h + s[:, :, r] * _MULTIPLIERS[r] + np.uint64(1))
         return h.view(np.int64)
 
-    @staticmethod
-    def bits(signature: np.ndarray) -> np.ndarray:
-        """Two bits of every coordinate, 32 coordinates to a 64-bit integer."""
-        two = (signature & 3).astype(np.uint64).reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64)
-        return np.bitwise_or.reduce(two, axis=1).view(np.int64)
+    def bands(self, sets: list[np.ndarray]) -> list[np.ndarray | None]:
+        """Band keys of every set: linked sets, whose sizes are at least 3 to 4, have keys of one circle."""
+        out: list[np.ndarray | None] = [None] * len(sets)
+        for wide in (False, True):
+            some = [i for i, s in enumerate(sets) if len(s) and (4 * len(s) >= 3 * LONG if wide else 3 * len(s) <= 4 * LONG)]
+            if some:
+                for i, keys in zip(some, self.keys(np.stack([self.signature(sets[i], wide) for i in some]), wide), strict=True):
+                    out[i] = keys if out[i] is None else np.concatenate([out[i], keys])
+        return out
 
 
-@lru_cache(maxsize=1)
-def _shingler() -> Shingler:
-    """Kept for the tasks to come of a Python worker, with its word hashes."""
-    return Shingler()
+def _tools() -> tuple[Shingler, Circulant]:
+    return C.kept("near duplicates", lambda: (Shingler(), Circulant()))
 
 
-@lru_cache(maxsize=1)
-def _circulant() -> Circulant:
-    return Circulant()
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_digest (null without shingles) and bands."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common > 0 and 100 * common >= 75 * (len(a) + len(b) - common)
+        shingler, circle = _tools()
+        for b in C.slices(batches, "text"):
+            sets = shingler.sets(b.column("text").to_pylist())
+            digests = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
+            columns = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(circle.bands(sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_digest", "bands"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, bands array<long>")
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_digest (null without shingles), bands and bits."""
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """(node, s) of (node, text): the sorted shingles, eight bytes each."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingle, circle = _shingler(), _circulant()
-        for b in batches:
-            n, digests, bands, bits = [], [], [], []
-            for t in b.column("text").to_pylist():
-                s = shingle(t)
-                n.append(len(s))
-                digests.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-                signature = circle.signature(s) if len(s) else None
-                bands.append(circle.bands(signature) if len(s) else None)
-                bits.append(circle.bits(signature) if len(s) else None)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(bits, longs)], ["doc_id", "n_shingles", "set_digest", "bands", "bits"])
+        shingler, _ = _tools()
+        for b in C.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in shingler.sets(b.column("text").to_pylist())], pa.binary())], ["node", "s"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, s binary")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, bands array<long>, bits array<long>")
 
+def _facing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (v, salt, u, inside, s) in which the set of v (with a null u) comes before the sets of the u's it meets.
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are similar on their full sets. ``texts`` has node and text."""
-    u, v = (texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "uv")
+    A v that meets very many (``n`` bounds how many, up to the number of buckets) is dealt over salts.
+    """
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    u_side = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), salts).cast("int")).join(sets.withColumnRenamed("node", "u"), "u").select("v", "salt", "u", "inside", "s")
+    heads = pairs.groupBy("v").agg(F.max("n").alias("n")).join(sets.withColumnRenamed("node", "v"), "v")
+    v_side = heads.select("v", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("u"), F.lit(None).cast("boolean").alias("inside"), "s")
+    return v_side.unionByName(u_side).repartition("v", "salt").sortWithinPartitions("v", "salt", "u", "s")
+
+
+def _runs(batches: Iterator) -> Iterator[tuple]:
+    """Of facing rows: (v, sets of v, ids u, flags, values of their sets, first value of each and the end)."""
+    import pyarrow.compute as pc
+
+    now, heads = None, []
+    for b in C.slices(batches, "s"):
+        v, salt, u, inside = (pc.fill_null(b.column(x), none).to_numpy(zero_copy_only=False) for x, none in (("v", 0), ("salt", 0), ("u", 0), ("inside", False)))
+        is_head = b.column("u").is_null().to_numpy(zero_copy_only=False)
+        s = b.column("s")
+        ends = np.frombuffer(s.buffers()[1], np.int32)[s.offset : s.offset + len(s) + 1] // 8
+        values = np.frombuffer(s.buffers()[2], np.uint64) if s.buffers()[2] is not None else np.zeros(0, np.uint64)
+        cut = np.flatnonzero((v[1:] != v[:-1]) | (salt[1:] != salt[:-1]) | (is_head[1:] != is_head[:-1])) + 1
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(v)], strict=True):
+            if (v[i], salt[i]) != now:
+                now, heads = (v[i], salt[i]), []
+            if is_head[i]:
+                heads += [values[ends[k] : ends[k + 1]].copy() for k in range(i, j)]
+            elif heads:
+                yield int(v[i]), heads, u[i:j], inside[i:j], values[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+
+
+def _held(values: np.ndarray, head: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(head, values), len(head) - 1)
+    return head[at] == values
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are similar on their full sets."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for v, heads, u, _, values, ends in _runs(batches):
+            n, linked = np.diff(ends), np.zeros(len(u), bool)
+            for head in heads:
+                common = np.add.reduceat(_held(values, head).astype(np.int64), ends[:-1])
+                linked |= (common > 0) & (100 * common >= 75 * (n + len(head) - common))
+            if linked.any():
+                yield pa.RecordBatch.from_arrays([pa.array(u[linked]), pa.array(np.full(int(linked.sum()), v))], ["u", "v"])
+
+    return _facing(pairs, sets).mapInArrow(run, "u long, v long").distinct()
+
+
+def deviations(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(v, u, inside, tokens, n_short): the deviations of u from its leader v that a partner must share one of.
+
+    Added shingles come before lacking ones. The first ``n_short`` are those to share with a member
+    that is not linked with v; for a u that is not, all are those to share with one that is.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingle, last = _shingler(), (None, None)
-        for b in batches:
-            keep = []
-            for tu, tv in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True):
-                if tv != last[0]:  # the join sorts by v
-                    last = (tv, shingle(tv))
-                keep.append(similar(shingle(tu), last[1]))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for v, heads, u, inside, values, ends in _runs(batches):
+            head, out = heads[0], []
+            held = _held(values, head)
+            for k, within in enumerate(inside):
+                some, has = values[ends[k] : ends[k + 1]], held[ends[k] : ends[k + 1]]
+                added, lost = some[~has], np.setdiff1d(head, some[has], assume_unique=True)
+                n, weight = len(added) + len(lost), 4 * len(lost) + 3 * len(added)
+                short = n - weight // 7
+                most = short if within else n - max(1, -(-(weight - len(head)) // 7)) + 1
+                out.append((np.concatenate([added, lost])[: max(0, most)], min(short, most)))
+            counts = [len(x) for x, _ in out]
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(np.concatenate([x for x, _ in out]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), v)), pa.array(u), pa.array(inside), tokens, pa.array([x for _, x in out], pa.int32())], ["v", "u", "inside", "tokens", "n_short"])
 
-    # Leaders stand at v and may be in many pairs; both joins leave skew to adaptive execution.
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long").distinct()
+    return _facing(pairs, sets).mapInArrow(run, "v long, u long, inside boolean, tokens array<long>, n_short int")
 
 
 class _Links:
     """Confirmed links and the components that they make so far."""
 
-    def __init__(self, texts: DataFrame):
-        self.texts, self.labels = texts, None
+    def __init__(self, sets: DataFrame):
+        self.sets, self.labels = sets, None
 
     def add(self, pairs: DataFrame) -> None:
-        found, before = confirm(pairs, self.texts), self.labels
-        if before is not None:
-            found = found.unionByName(before.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        self.labels = C.materialise(components(found), "labels")
-        if before is not None:
-            C.discard(before)
+        """``pairs`` has u, v and n, a bound on how many u meet a v in one bucket."""
+        once = C.materialise(pairs.groupBy("u", "v").agg(F.max("n").alias("n")).withColumn("inside", F.lit(None).cast("boolean")), "pairs")
+        if not once.isEmpty():
+            found, before = confirm(once, self.sets), self.labels
+            if before is not None:
+                found = found.unionByName(before.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            self.labels = C.materialise(components(found), "labels")
+            if before is not None:
+                C.discard(before)
+        C.discard(once)
 
     def label(self, members: DataFrame) -> DataFrame:
         if self.labels is None:
@@ -178,89 +266,77 @@ class _Links:
         return members.join(self.labels.withColumnRenamed("component", "__c"), "node", "left").withColumn("component", F.coalesce("__c", "node")).drop("__c")
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets with several components, with the bucket's size and how many lie outside its main one."""
-    per = members.groupBy("key", "component").agg(F.count("*").alias("__n")).groupBy("key").agg(F.sum("__n").alias("size"), F.max("__n").alias("__most"), F.count("*").alias("__parts"))
-    return members.join(per.where("__parts > 1").select("key", "size", (F.col("size") - F.col("__most")).alias("aside")), "key")
+def _leaders(members: DataFrame) -> DataFrame:
+    """(key, lead): the member that meets most others over all its buckets; in a family of copies that is the text they were made from."""
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    return members.join(met, "node").groupBy("key").agg((-F.max(F.struct("met", (-F.col("node")).alias("neg")))["neg"]).alias("lead"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket but different components that may be similar.
+def _open(labelled: DataFrame) -> DataFrame:
+    """Members (key, node, side, component) of buckets that may hold unlinked pairs, with ``few``: whether the member is on the side that all others are compared with, and ``crowd``: whether that side is too large.
 
-    Signatures of sets of 0.75 similarity differ in 24 of 128 two-bit coordinates on average,
-    with a deviation of 4.4; pairs that differ in more than ``UNLIKE`` are left out. So are
-    pairs whose sizes, less the shingles that no other member has, are too small for a link.
+    A side of 0 has pairs with all; sides 1 and 2 have pairs with each other only.
     """
-    words = range(BANDS * ROWS // 32)
-    flat = members.select("key", "node", "component", "n", (F.col("n") - F.col("own")).alias("s"), *[F.col("bits")[i].alias(f"b{i}") for i in words])
-    u, v = (flat.select("key", F.col("node").alias(n), *[F.col(x).alias(f"{y}{n}") for x, y in (("component", "c"), ("n", "n"), ("s", "s"))], *[F.col(f"b{i}").alias(f"{n}{i}") for i in words]) for n in "uv")
-    other = lambda i: F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))
-    unlike = sum((F.bit_count(other(i).bitwiseOR(F.shiftrightunsigned(other(i), 1)).bitwiseAND(F.lit(0x5555555555555555))) for i in words), F.lit(0))
-    most = F.least("su", "sv")
-    may = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & (100 * most >= 75 * (F.col("nu") + F.col("nv") - most)) & (unlike <= UNLIKE)
-    return u.join(v, (u["key"] == v["key"]) & may).select("u", "v").distinct()
-
+    per = labelled.groupBy("key", "component").agg(F.count("*").alias("__n"), F.count_if(F.col("side") == 1).alias("__in"), F.count_if(F.col("side") == 2).alias("__out"))
+    per = per.groupBy("key").agg(F.sum("__n").alias("n"), F.max(F.struct("__n", "component"))["component"].alias("main"), F.max("__n").alias("__most"), F.count("*").alias("__parts"), F.sum("__in").alias("__in"), F.sum("__out").alias("__out"))
+    aside, crossed = F.col("n") - F.col("__most"), (F.col("__in") > 0) & (F.col("__out") > 0)
+    least = F.least("__in", "__out")
+    by_side = crossed & (least < aside)
+    per = per.where("__parts > 1").where(crossed | (F.col("__in") + F.col("__out") == 0))
+    per = per.select("key", "n", "main", by_side.alias("by_side"), F.when(F.col("__in") <= F.col("__out"), 1).otherwise(2).alias("small"), (F.when(by_side, least).otherwise(aside) > CROWD).alias("crowd"))
+    few = F.when(F.col("by_side"), F.col("side") == F.col("small")).otherwise(F.col("component") != F.col("main"))
+    return labelled.drop("n").join(per, "key").select("key", "node", "side", "component", "n", few.alias("few"), "crowd")
 
-def _own(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of a node no other one of ``nodes`` has."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        shingle = _shingler()
-        for b in batches:
-            for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h = shingle(text).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node), pa.int64()), pa.array(h, pa.int64())], ["node", "h"])
-
-    each = texts.join(nodes, "node").select("node", "text").mapInArrow(run, "node long, h long")
-    return each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("__last")).where(F.col("node") == F.col("__last")).groupBy("node").agg(F.count("*").alias("own"))
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs across components of buckets, each with a v of the few."""
+    u = members.select("key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("side").alias("su"), F.col("few").alias("fu"), "n")
+    v = members.where("few").select("key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("side").alias("sv"))
+    return u.join(v, "key").where("cu <> cv and (su = 0 or su <> sv) and (not fu or u < v)").select("u", "v", "n")
+
+
+def _split(crowds: DataFrame, leaders: DataFrame, links: _Links) -> DataFrame:
+    """The next buckets (key, node, side, n): members of crowds that share deviations from their leader."""
+    led = crowds.select("key", "node", "component", "n").join(leaders, "key")
+    heads = links.label(led.select(F.col("lead").alias("node")).distinct()).select(F.col("node").alias("lead"), F.col("component").alias("__head"))
+    pairs = led.join(heads, "lead").where("node <> lead").groupBy(F.col("node").alias("u"), F.col("lead").alias("v")).agg(F.max("n").alias("n"), F.first(F.col("component") == F.col("__head")).alias("inside"))
+    found = C.materialise(deviations(C.materialise(pairs, "crowd"), links.sets), "deviations")
+    each = found.select("v", F.col("u").alias("node"), "inside", F.posexplode("tokens").alias("at", "token"), "n_short")
+    key = lambda side: F.xxhash64("v", "token", F.lit(side)).alias("key")
+    apart = each.where(F.col("at") < F.col("n_short")).select(key(0), "node", F.lit(0).alias("side"), "inside")
+    cross = each.where(~F.col("inside") | (F.col("at") < F.col("n_short"))).select(key(1), "node", F.when(F.col("inside"), 1).otherwise(2).alias("side"), "inside")
+    rows = apart.unionByName(cross)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("inside")).alias("__out"), F.first(F.col("side") > 0).alias("__cross"))
+    wanted = sizes.where("n > 1 and __out > 0 and not (__cross and __out = n)").select("key", "n")
+    return C.materialise(rows.join(wanted, "key").select("key", "node", "side", "n"), "members")
 
 
 def link(classes: DataFrame, texts_of) -> DataFrame | None:
-    """(node, component) for classes (node, n, bands, bits) that are linked; None if no bucket has two.
+    """(node, component) for classes (node, bands) that are linked; None if no two are.
 
     ``texts_of`` gets a table of nodes and returns (node, text) for them.
     """
     every = classes.select("node", F.explode("bands").alias("key"))
-    members = C.materialise(every.join(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "members")
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = C.materialise(every.join(shared, "key").select("key", "node", F.lit(0).alias("side"), "n"), "members")
     if members.isEmpty():
         return None
-    links = _Links(C.materialise(texts_of(members.select("node").distinct()), "texts"))
-    # The member that meets most others over all its buckets leads first: in a family of copies
-    # that is the text they were made from. A second leader is drawn by hash.
-    met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    first = F.max(F.struct("met", (-F.col("node")).alias("neg")))["neg"]
-    leaders = C.materialise(members.join(met, "node").groupBy("key").agg((-first).alias("first"), F.min_by("node", F.xxhash64("node", "key")).alias("second")), "leaders")
-    stars = members.join(leaders.select("key", "first"), "key").where("node <> first")
-    links.add(stars.select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
-    going = _open(links.label(members.select("node", "key"))).join(leaders.select("key", "second"), "key")
-    heads = links.label(leaders.select(F.col("second").alias("node")).distinct()).select(F.col("node").alias("second"), F.col("component").alias("__head"))
-    second = C.materialise(going.join(heads, "second").where("component <> __head").select(F.col("node").alias("u"), F.col("second").alias("v")).distinct(), "pairs")
-    if not second.isEmpty():
-        links.add(second)
-    going = _open(links.label(members.select("node", "key"))).join(classes.select("node", "n", "bits"), "node").withColumn("own", F.lit(0).cast("long"))
-    going = C.materialise(going, "open")
-    crowded = F.col("aside") > CROWD
-    crowd = C.materialise(going.where(crowded).select("node").distinct(), "crowd")
-    if not crowd.isEmpty():
-        # where many meet without being linked, most differ in what they alone have
-        own = C.materialise(_own(crowd, links.texts), "own").withColumnRenamed("own", "__own")
-        told = going.where(crowded).join(own, "node", "left").withColumn("own", F.coalesce("__own", F.lit(0).cast("long"))).drop("__own")
-        going = going.where(~crowded).unionByName(told)
-    many = (F.col("aside") > BANDS) & (F.col("aside") * F.col("size") > MANY)
-    pairs = _across(going.where(~many))
-    large = going.where(many).select("key", "node", "component", "n", "own", "bits")
-    if not large.isEmpty():
-        # the pairs of a large bucket meet again under every other band that they share
-        split = large.join(classes.select("node", "bands"), "node").select("node", "component", "n", "own", "bits", "key", F.explode("bands").alias("other")).where("key <> other")
-        split = split.select("node", "component", "n", "own", "bits", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-        pairs = pairs.unionByName(_across(_open(split))).distinct()
-    pairs = C.materialise(pairs, "pairs")
-    if not pairs.isEmpty():
-        links.add(pairs)
-    for done in (members, leaders, second, pairs):
-        C.discard(done)
+    sets = C.materialise(full_sets(texts_of(members.select("node").distinct())), "sets")
+    links = _Links(sets)
+    for depth in range(DEPTH):
+        leaders = C.materialise(_leaders(members), "leaders")
+        links.add(members.join(leaders, "key").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"), "n"))
+        going = C.materialise(_open(links.label(members)), "open")
+        C.discard(members)
+        last = depth == DEPTH - 1
+        links.add(_across(going if last else going.where("not crowd")))
+        crowds = going.where("crowd")
+        if last or crowds.isEmpty():
+            break
+        members = _split(links.label(crowds.drop("component")), leaders, links)
+        if members.isEmpty():
+            break
+    C.discard(sets)
     return links.labels
 
 
@@ -268,14 +344,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, set_digest, component_id, kept."""
     rows = C.materialise(sketches(docs), "sketches")
     full = rows.where("set_digest is not null and doc_id is not null")
-    classes = C.materialise(full.groupBy("set_digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.min("n_shingles").alias("n")), "classes")
+    classes = C.materialise(full.groupBy("set_digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         found = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
         counts = rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
         return found if counts.isEmpty() else found.dropDuplicates(["node", "text"])
 
-    labels = link(classes.select("node", "n", "bands", "bits"), texts_of)
+    labels = link(classes.select("node", "bands"), texts_of)
     nodes = classes.select("set_digest", "node")
     if labels is not None:
         nodes = nodes.join(labels, "node", "left").select("set_digest", F.coalesce("component", "node").alias("node"))

@@ -57,11 +57,11 @@ def test_one_row_of_each_group_stays(docs, rows):
     assert sum(r["doc_id"] is None for r in left) == 1
 
 
-@pytest.mark.parametrize("many", [250_000, 10])
-def test_chains_of_edits(spark, monkeypatch, many):
-    """A drifting family: neighbours are linked, ends are not; also by way of split buckets."""
-    monkeypatch.setattr(near_dedup, "MANY", many)
-    monkeypatch.setattr(near_dedup, "CROWD", 2 if many == 10 else 32)
+@pytest.mark.parametrize(("crowd", "depth"), [(32, 8), (2, 8), (2, 2), (0, 8)])
+def test_chains_of_edits(spark, monkeypatch, crowd, depth):
+    """A drifting family: neighbours are linked, ends are not; also by way of deviations from leaders."""
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
     rng, rows = random.Random(1), []
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
     for k in range(150):
@@ -73,6 +73,65 @@ def test_chains_of_edits(spark, monkeypatch, many):
     _check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def _edited(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"n{rng.randint(0, 10**9)}"
+    return words
+
+
+def test_family_of_near_misses(spark):
+    """Seven hundred texts at 0.5 to 0.74 of their centre, and links planted among them and to copies of the centre."""
+    rng, rows = random.Random(2), []
+    centre = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    rows += [(k, " ".join(_edited(rng, centre, k % 3))) for k in range(100)]
+    for k in range(700):
+        words = _edited(rng, centre, rng.randint(5, 9))
+        rows.append((1000 + 2 * k, " ".join(words)))
+        if k % 20 == 0:  # a partner that shares the edits
+            rows.append((1001 + 2 * k, " ".join(_edited(rng, words, 1))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    want = _brute_hashed(rows)
+    assert got == want and len(set(want.values())) > 500
+
+
+def _brute_hashed(rows):
+    """As :func:`_brute`, by an inverted index."""
+    sets, parent, of = _sets(rows), {i: i for i, _ in rows}, {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    size = {i: len(s) for i, s in sets}
+    for i, s in sets:
+        met = {}
+        for x in s:
+            for j in of.setdefault(x, []):
+                met[j] = met.get(j, 0) + 1
+            of[x].append(i)
+        for j, n in met.items():
+            if 100 * n >= 75 * (size[i] + size[j] - n):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {i: find(i) for i in parent}
+
+
+def test_sizes_around_the_wide_circle(spark, monkeypatch):
+    """Sets on both sides of the bound meet, as those near it have bands of both circles."""
+    monkeypatch.setattr(near_dedup, "LONG", 300)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(420)]
+    rows = [(n, " ".join(words[:n])) for n in (230, 300, 390, 420)] + [(1000, " ".join(_edited(rng, words, 2)))]
+    circle = near_dedup.Circulant()
+    sets = near_dedup.Shingler().sets([t for _, t in rows])
+    assert [len(b) // near_dedup.BANDS for b in circle.bands(sets)] == [2, 2, 2, 1, 1]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute(rows)
+
+
 def test_given_tables(spark, sf_dir):
     df = common.table(spark, sf_dir, "documents")
     _check(df, [tuple(r) for r in df.select("doc_id", "text").collect()])
@@ -85,8 +144,8 @@ def test_signature_estimates_similarity():
         both = int(2 * n * j / (1 + j))
         x = rng.integers(0, 2**63, 2 * n - both).astype(np.uint64)
         a, b = x[:n], x[n - both :]
-        same = (c.signature(a) == c.signature(b)).mean()
-        assert abs(same - j) < 0.17
+        same = [(c.signature(a, wide) == c.signature(b, wide)).mean() for wide in (False, True)]
+        assert max(abs(x - j) for x in same) < 0.17
 
 
 def test_components(spark):
