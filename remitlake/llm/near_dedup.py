@@ -13,13 +13,15 @@ is merged into components. Then only pairs across components are left to find:
 
 * where at most ``CROWD`` members lie outside the bucket's main component, those are compared
   with every member, which is linear in the bucket;
-* in other buckets, the crowds, each set is written as its deviations from the leader L: the
-  shingles R that it lacks and A that it adds. Two sets share ``|L| - |Ru| - |Rv| + s``
-  shingles, where s counts common deviations, so a link asks for ``s >= w(u) + w(v) - |L| / 7``
-  with ``w = (4 |R| + 3 |A|) / 7``. A member that is not linked with L has ``w > |L| / 7``, so it
-  links with v only if they share more than ``w(v)`` deviations. With one order of deviations for
-  all, such a pair meets in the first ``|D(v)| - floor(w(v))`` ones of v (prefix filter). Members
-  that share one of those are the next, much smaller buckets, with leaders of their own.
+* in other buckets, the crowds, each set is written as its deviations from a centre C, the
+  shingles that most of the crowd have (drawn from ``SAMPLE`` members; any set would do): the
+  shingles R that it lacks and A that it adds. Two sets share ``|C| - |Ru| - |Rv| + s``
+  shingles, where s counts common deviations, so a link asks for ``s >= w(u) + w(v) - |C| / 7``
+  with ``w = (4 |R| + 3 |A|) / 7``. All are compared with K, the member of the least w. One that
+  is not linked with K has ``w > |C| / 7 - w(K)``, so it links with v only if they share more
+  than ``w(v) - w(K)`` deviations. With one order of deviations for all, rare ones first, such a
+  pair meets in the first ``|D(v)| - floor(w(v) - w(K))`` ones of v (prefix filter). Members that
+  share one of those are the next, much smaller buckets.
 
 No pair that shares a band and passes the threshold is lost on the way; only sharing no band
 loses a pair (at the threshold, with a chance of 5e-6 for independent coordinates). Buckets that
@@ -37,14 +39,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
 
 BANDS, ROWS, CIRCLE, LONG = 32, 4, 1 << 20, 1 << 17
-CROWD, BLOCK, DEPTH = 32, 1024, 8
+CROWD, SAMPLE, DEPTH = 32, 64, 6
+#: Members that meet one leader in one task, when they are compared with it and when they are written as deviations.
+BLOCK, WIDE = 1024, 1 << 14
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -160,105 +164,165 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, s binary")
 
 
-def _facing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (v, salt, u, inside, s) in which the set of v (with a null u) comes before the sets of the u's it meets.
+def _facing(pairs: DataFrame, sets: DataFrame, heads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (v, salt, u, part, s) in which the heads of v (with a null u) come before the sets of the u's it meets.
 
     A v that meets very many (``n`` bounds how many, up to the number of buckets) is dealt over salts.
     """
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    u_side = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), salts).cast("int")).join(sets.withColumnRenamed("node", "u"), "u").select("v", "salt", "u", "inside", "s")
-    heads = pairs.groupBy("v").agg(F.max("n").alias("n")).join(sets.withColumnRenamed("node", "v"), "v")
-    v_side = heads.select("v", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("u"), F.lit(None).cast("boolean").alias("inside"), "s")
-    return v_side.unionByName(u_side).repartition("v", "salt").sortWithinPartitions("v", "salt", "u", "s")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    u_side = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), salts).cast("int")).join(sets.withColumnRenamed("node", "u"), "u").select("v", "salt", "u", salts.alias("part"), "s")
+    met = pairs.groupBy("v").agg(F.max("n").alias("n")).join(heads.withColumnRenamed("node", "v"), "v")
+    v_side = met.select("v", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("u"), "part", "s")
+    return v_side.unionByName(u_side).repartition("v", "salt").sortWithinPartitions("v", "salt", "u", "part", "s")
 
 
 def _runs(batches: Iterator) -> Iterator[tuple]:
-    """Of facing rows: (v, sets of v, ids u, flags, values of their sets, first value of each and the end)."""
+    """Of facing rows: (key, heads by part, ids u, parts, values of their sets, first value of each and the end)."""
     import pyarrow.compute as pc
 
-    now, heads = None, []
+    now, heads = None, {}
     for b in C.slices(batches, "s"):
-        v, salt, u, inside = (pc.fill_null(b.column(x), none).to_numpy(zero_copy_only=False) for x, none in (("v", 0), ("salt", 0), ("u", 0), ("inside", False)))
+        v, salt, u, part = (pc.fill_null(b.column(x), 0).to_numpy(zero_copy_only=False) for x in ("v", "salt", "u", "part"))
         is_head = b.column("u").is_null().to_numpy(zero_copy_only=False)
         s = b.column("s")
         ends = np.frombuffer(s.buffers()[1], np.int32)[s.offset : s.offset + len(s) + 1] // 8
         values = np.frombuffer(s.buffers()[2], np.uint64) if s.buffers()[2] is not None else np.zeros(0, np.uint64)
         cut = np.flatnonzero((v[1:] != v[:-1]) | (salt[1:] != salt[:-1]) | (is_head[1:] != is_head[:-1])) + 1
         for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(v)], strict=True):
-            if (v[i], salt[i]) != now:
-                now, heads = (v[i], salt[i]), []
+            if (int(v[i]), int(salt[i])) != now:
+                now, heads = (int(v[i]), int(salt[i])), {}
             if is_head[i]:
-                heads += [values[ends[k] : ends[k + 1]].copy() for k in range(i, j)]
+                for k in range(i, j):
+                    heads.setdefault(int(part[k]), []).append(values[ends[k] : ends[k + 1]].copy())
             elif heads:
-                yield int(v[i]), heads, u[i:j], inside[i:j], values[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+                yield now, heads, u[i:j], part[i:j], values[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
 
 
 def _held(values: np.ndarray, head: np.ndarray) -> np.ndarray:
+    if not len(head):
+        return np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(head, values), len(head) - 1)
     return head[at] == values
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are similar on their full sets."""
+    """The pairs (u, v) of ``pairs`` (u, v, n) that are similar on their full sets."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for v, heads, u, _, values, ends in _runs(batches):
+        for (v, _), heads, u, _, values, ends in _runs(batches):
             n, linked = np.diff(ends), np.zeros(len(u), bool)
-            for head in heads:
+            for head in heads[0]:
                 common = np.add.reduceat(_held(values, head).astype(np.int64), ends[:-1])
                 linked |= (common > 0) & (100 * common >= 75 * (n + len(head) - common))
             if linked.any():
                 yield pa.RecordBatch.from_arrays([pa.array(u[linked]), pa.array(np.full(int(linked.sum()), v))], ["u", "v"])
 
-    return _facing(pairs, sets).mapInArrow(run, "u long, v long").distinct()
+    return _facing(pairs, sets, sets.withColumn("part", F.lit(0))).mapInArrow(run, "u long, v long").distinct()
 
 
-def deviations(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(v, u, inside, tokens, n_short): the deviations of u from its leader v that a partner must share one of.
+def centres(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, part, s): for every v the centre of its crowd as part 0, and as part 1 the shingles that the crowd deviates in more than once, rare ones first.
 
-    Added shingles come before lacking ones. The first ``n_short`` are those to share with a member
-    that is not linked with v; for a u that is not, all are those to share with one that is.
+    Both are drawn from the ``SAMPLE`` members with the least hashes.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for v, heads, u, inside, values, ends in _runs(batches):
-            head, out = heads[0], []
-            held = _held(values, head)
-            for k, within in enumerate(inside):
-                some, has = values[ends[k] : ends[k + 1]], held[ends[k] : ends[k + 1]]
-                added, lost = some[~has], np.setdiff1d(head, some[has], assume_unique=True)
-                n, weight = len(added) + len(lost), 4 * len(lost) + 3 * len(added)
-                short = n - weight // 7
-                most = short if within else n - max(1, -(-(weight - len(head)) // 7)) + 1
-                out.append((np.concatenate([added, lost])[: max(0, most)], min(short, most)))
-            counts = [len(x) for x, _ in out]
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(np.concatenate([x for x, _ in out]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), v)), pa.array(u), pa.array(inside), tokens, pa.array([x for _, x in out], pa.int32())], ["v", "u", "inside", "tokens", "n_short"])
+        def done(v: int, head: np.ndarray, some: list[np.ndarray]) -> pa.RecordBatch:
+            values, count = np.unique(np.concatenate(some), return_counts=True)
+            centre = values[2 * count > len(some)]
+            off = np.where(2 * count > len(some), len(some) - count, count)
+            order = np.argsort(off[off > 1], kind="stable")
+            return pa.RecordBatch.from_arrays([pa.array([v, v]), pa.array([0, 1], pa.int32()), pa.array([(centre if len(centre) else head).tobytes(), values[off > 1][order].tobytes()], pa.binary())], ["node", "part", "s"])
+
+        now, head, some = None, None, []
+        for (v, _), heads, u, _, values, ends in _runs(batches):
+            if v != now and some:
+                yield done(now, head, some)
+            if v != now:
+                now, head, some = v, heads[0][0], []
+            some += [values[ends[k] : ends[k + 1]].copy() for k in range(len(u))]
+        if some:
+            yield done(now, head, some)
+
+    place = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u"), "u"))
+    few = pairs.withColumn("__n", place).where(F.col("__n") <= SAMPLE).select("u", "v", F.lit(1).alias("n"))
+    return _facing(few, sets, sets.withColumn("part", F.lit(0))).mapInArrow(run, "node long, part int, s binary")
+
+
+def deviations(pairs: DataFrame, sets: DataFrame, heads: DataFrame) -> DataFrame:
+    """(v, u, size, w7, n, n_alone, tokens) of ``pairs`` (u, v, n) with the :func:`centres` of their v.
+
+    ``size`` is the centre's, w7 seven times w, n the number of deviations, ``n_alone`` of those
+    that no other member has (known where a crowd is in one task), and ``tokens`` the others in
+    the crowd's order. Alone ones come first in it and meet nobody.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    return _facing(pairs, sets).mapInArrow(run, "v long, u long, inside boolean, tokens array<long>, n_short int")
+        def done(v: int, parts: int, size: int, common: np.ndarray, held: list) -> Iterator[pa.RecordBatch]:
+            every = np.concatenate([x for _, _, x in held])
+            if parts == 1:  # the whole crowd is here
+                values, back, count = np.unique(every, return_inverse=True, return_counts=True)
+                rank = count[back]
+            else:
+                values = np.sort(common)
+                at = np.minimum(np.searchsorted(values, every), max(0, len(values) - 1))
+                known = values[at] == every if len(values) else np.zeros(len(every), bool)
+                rank = np.full(len(every), 2)
+                rank[known] = 3 + np.argsort(common)[at[known]]
+            first, names, alone, tokens = 0, ["v", "u", "size", "w7", "n", "n_alone", "tokens"], [], []
+            for _, _, x in held:
+                r = rank[first : first + len(x)]
+                order = np.lexsort((x, r))
+                alone.append(int((r == 1).sum()))
+                tokens.append(x[order][alone[-1] :])
+                first += len(x)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int32()), pa.array(np.concatenate(tokens).view(np.int64)))
+            longs = [[v] * len(held), [u for u, _, _ in held], [size] * len(held), [w for _, w, _ in held], [len(x) for _, _, x in held], alone]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), lists], names)
+
+        now, state, held = None, None, []
+        for key, heads, u, part, values, ends in _runs(batches):
+            if key != now and held:
+                yield from done(*state, held)
+            if key != now:
+                now, state, held = key, (key[0], int(part[0]), len(heads[0][0]), heads[1][0]), []
+            centre = heads[0][0]
+            has = _held(values, centre)
+            for k in range(len(u)):
+                some, in_ = values[ends[k] : ends[k + 1]], has[ends[k] : ends[k + 1]]
+                added, lost = some[~in_], np.setdiff1d(centre, some[in_], assume_unique=True)
+                held.append((int(u[k]), 4 * len(lost) + 3 * len(added), np.concatenate([added, lost])))
+        if held:
+            yield from done(*state, held)
+
+    return _facing(pairs, sets, heads, WIDE).mapInArrow(run, "v long, u long, size long, w7 long, n long, n_alone long, tokens array<long>")
 
 
 class _Links:
-    """Confirmed links and the components that they make so far."""
+    """Confirmed links, and the components that they make."""
 
     def __init__(self, sets: DataFrame):
-        self.sets, self.labels = sets, None
-
-    def add(self, pairs: DataFrame) -> None:
-        """``pairs`` has u, v and n, a bound on how many u meet a v in one bucket."""
-        once = C.materialise(pairs.groupBy("u", "v").agg(F.max("n").alias("n")).withColumn("inside", F.lit(None).cast("boolean")), "pairs")
-        if not once.isEmpty():
-            found, before = confirm(once, self.sets), self.labels
-            if before is not None:
-                found = found.unionByName(before.select(F.col("node").alias("u"), F.col("component").alias("v")))
-            self.labels = C.materialise(components(found), "labels")
-            if before is not None:
-                C.discard(before)
-        C.discard(once)
+        self.sets, self.labels, self.found = sets, None, []
+
+    def add(self, pairs: DataFrame) -> DataFrame:
+        """Confirms ``pairs`` (u, v, n), n being a bound on how many u meet a v in one bucket."""
+        once = pairs.groupBy("u", "v").agg(F.max("n").alias("n"))
+        self.found.append(C.materialise(confirm(C.materialise(once, "pairs"), self.sets), "links"))
+        return self.found[-1]
+
+    def merge(self) -> None:
+        """Takes the links found since into the components."""
+        edges = None if self.labels is None else self.labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        for links in self.found:
+            edges = links if edges is None else edges.unionByName(links)
+        if self.found:
+            self.labels, self.found = C.materialise(components(edges), "labels"), []
 
     def label(self, members: DataFrame) -> DataFrame:
         if self.labels is None:
@@ -296,15 +360,28 @@ def _across(members: DataFrame) -> DataFrame:
 
 
 def _split(crowds: DataFrame, leaders: DataFrame, links: _Links) -> DataFrame:
-    """The next buckets (key, node, side, n): members of crowds that share deviations from their leader."""
-    led = crowds.select("key", "node", "component", "n").join(leaders, "key")
-    heads = links.label(led.select(F.col("lead").alias("node")).distinct()).select(F.col("node").alias("lead"), F.col("component").alias("__head"))
-    pairs = led.join(heads, "lead").where("node <> lead").groupBy(F.col("node").alias("u"), F.col("lead").alias("v")).agg(F.max("n").alias("n"), F.first(F.col("component") == F.col("__head")).alias("inside"))
-    found = C.materialise(deviations(C.materialise(pairs, "crowd"), links.sets), "deviations")
-    each = found.select("v", F.col("u").alias("node"), "inside", F.posexplode("tokens").alias("at", "token"), "n_short")
+    """The next buckets (key, node, side, n): members of crowds that share deviations from their centre."""
+    led = crowds.select("key", "node").join(leaders, "key").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
+    crowd = C.materialise(led.join(led.groupBy("v").agg(F.count("*").alias("n")), "v").select("u", "v", "n"), "crowd")
+    found = C.materialise(deviations(crowd, links.sets, C.materialise(centres(crowd, links.sets), "centres")), "deviations")
+    first = found.groupBy("v").agg(F.min(F.struct("w7", "u")).alias("k"), F.count("*").alias("met")).select("v", F.col("k.u").alias("k"), F.col("k.w7").alias("k7"), "met")
+    met = found.select("v", "u").join(first, "v").where("u <> k")
+    near = links.add(met.where("k <> v").select("u", F.col("k").alias("v"), F.col("met").alias("n")))
+    # inside: linked with K, by itself or by way of others
+    labelled = links.label(met.select("u", "v", "k").withColumnRenamed("u", "node")).withColumnRenamed("node", "u")
+    of_k = links.label(first.select(F.col("k").alias("node")).distinct()).select(F.col("node").alias("k"), F.col("component").alias("__k"))
+    near = near.select("u", F.col("v").alias("k"), F.lit(True).alias("__near"))
+    told = labelled.join(of_k, "k").join(near, ["u", "k"], "left").select("u", "v", ((F.col("component") == F.col("__k")) | F.coalesce("__near", F.lit(False))).alias("inside"))
+    k = found.join(first.select("v", "k7"), "v").join(told, ["u", "v"])
+    short = F.col("n") - F.floor((F.col("w7") - F.col("k7")) / 7)
+    long = F.col("n") - F.greatest(F.lit(1), F.ceil((F.col("w7") + F.col("k7") - F.col("size")) / 7)) + 1
+    most = F.when(F.col("inside"), short).otherwise(F.greatest(short, long))
+    upto = lambda x: F.greatest(F.lit(0), x - F.col("n_alone")).cast("int")
+    each = k.select("v", F.col("u").alias("node"), "inside", upto(short).alias("short"), F.posexplode(F.slice("tokens", F.lit(1), upto(most))).alias("at", "token"))
     key = lambda side: F.xxhash64("v", "token", F.lit(side)).alias("key")
-    apart = each.where(F.col("at") < F.col("n_short")).select(key(0), "node", F.lit(0).alias("side"), "inside")
-    cross = each.where(~F.col("inside") | (F.col("at") < F.col("n_short"))).select(key(1), "node", F.when(F.col("inside"), 1).otherwise(2).alias("side"), "inside")
+    is_short = F.col("at") < F.col("short")
+    apart = each.where(is_short).select(key(0), "node", F.lit(0).alias("side"), "inside")
+    cross = each.where(~F.col("inside") | is_short).select(key(1), "node", F.when(F.col("inside"), 1).otherwise(2).alias("side"), "inside")
     rows = apart.unionByName(cross)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("inside")).alias("__out"), F.first(F.col("side") > 0).alias("__cross"))
     wanted = sizes.where("n > 1 and __out > 0 and not (__cross and __out = n)").select("key", "n")
@@ -326,6 +403,7 @@ def link(classes: DataFrame, texts_of) -> DataFrame | None:
     for depth in range(DEPTH):
         leaders = C.materialise(_leaders(members), "leaders")
         links.add(members.join(leaders, "key").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"), "n"))
+        links.merge()
         going = C.materialise(_open(links.label(members)), "open")
         C.discard(members)
         last = depth == DEPTH - 1
@@ -333,9 +411,10 @@ def link(classes: DataFrame, texts_of) -> DataFrame | None:
         crowds = going.where("crowd")
         if last or crowds.isEmpty():
             break
-        members = _split(links.label(crowds.drop("component")), leaders, links)
+        members = _split(crowds, leaders, links)
         if members.isEmpty():
             break
+    links.merge()
     C.discard(sets)
     return links.labels
 
