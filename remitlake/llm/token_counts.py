@@ -6,21 +6,19 @@ their counts are appended, and the result is read from the cache. The content is
 far as counts cannot change: a null is the empty text.
 
 Defined results: null and empty texts have no bytes and no tokens; repeated rows share a count
-and stay rows of their own; an empty table gives an empty result; extra columns are ignored.
+and stay rows of their own; an empty table gives an empty result; extra columns are carried along (but for the results').
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .chunks import ChunkCache
+from .chunks import ByteLevel, ChunkCache
 
 CACHE = "content string, tokenizer string, n_tokens long"
 
@@ -31,60 +29,70 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.file_digest(f, "md5").hexdigest()
 
 
-@lru_cache(maxsize=2)
-def _counter(path: str):
-    """Function from texts to counts, for a ``.model`` or ``.json`` vocabulary; kept for a worker's next tasks."""
-    if path.endswith(".model"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        space = ""  # the model itself puts a space before any text
-        count = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-        pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
-        apart = model.encode("a", out_type=str)[0].startswith("▁") and not any("▁" in p.lstrip("▁") for p in pieces)
-        specials: list[str] = [p for i, p in enumerate(pieces) if model.is_control(i) or model.is_unknown(i)]
-    else:
+def _counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Function from texts to counts, for a ``.model`` or ``.json`` vocabulary."""
+    if path.endswith(".json"):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok, space = Tokenizer.from_file(path), " "
-        count = lambda texts: [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
-        specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-        apart = tok.pre_tokenizer is not None and "ByteLevel" in str(tok.pre_tokenizer) and tok.normalizer is None
-    cache = ChunkCache(count, space)
+        tok = Tokenizer.from_file(path)
+        if not ByteLevel.fits(tok):
+            return lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = ByteLevel(path)
+        return lambda texts: [len(x) // encode.width for x in encode(texts)]
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
+    apart = model.encode("a", out_type=str)[0].startswith("▁") and not any("▁" in p.lstrip("▁") for p in pieces)
+    specials = [p for i, p in enumerate(pieces) if model.is_control(i) or model.is_unknown(i)]
+    count = lambda texts: list(map(len, model.encode(texts, num_threads=1)))
+    cache = ChunkCache(count, "")  # the model itself puts a space before any text
 
     def run(texts: list[str]) -> list[int]:
-        whole = {i for i, t in enumerate(texts) if not apart or any(s in t for s in specials)}
-        out = [sum(x) for x in cache.many(["" if i in whole else t for i, t in enumerate(texts)])]
+        whole = [i for i, t in enumerate(texts) if not apart or any(s in t for s in specials)]
+        parted = list(texts)
         for i in whole:
-            out[i] = count([texts[i]])[0] if texts[i] else 0
+            parted[i] = ""
+        out = list(map(sum, cache.many(parted)))
+        for i, n in zip(whole, count([texts[i] for i in whole]), strict=True):
+            out[i] = n
         return out
 
     return run
 
 
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str) -> DataFrame:
-    """Adds n_bytes and n_tokens to ``docs``; the cache at ``cache_path`` is made or added to."""
+    """Adds n_bytes and n_tokens to ``docs``; the cache at ``cache_path`` is made or added to.
+
+    Copies of a text are encoded once; the join back is split by adaptive execution where one
+    text has very many copies.
+    """
     spark: SparkSession = docs.sparkSession
     version = tokenizer_digest(tokenizer)
     text = C.text_or_empty()
-    keyed = docs.withColumns({"n_bytes": F.octet_length(text).cast("long"), "__digest": F.sha2(F.encode(text, "UTF-8"), 256)})
+    digest = F.sha2(F.encode(text, "UTF-8"), 256)
+    carried = docs.drop("n_bytes", "n_tokens")
+
+    def encode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = _counter(tokenizer)
-        for b in batches:
-            n = [c for at in range(0, len(b), 512) for c in count(b["text"].iloc[at : at + 512].tolist())]
-            yield pd.DataFrame({"content": b["content"], "tokenizer": version, "n_tokens": n})
+        count = C.kept(f"counts {tokenizer}", lambda: _counter(tokenizer))
+        for b in C.slices(batches, "text", 1 << 20):
+            n = pa.array(count(b.column("text").to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("content"), pa.array([version] * len(n), pa.string()), n], ["content", "tokenizer", "n_tokens"])
 
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
-    distinct = docs.select(F.sha2(F.encode(text, "UTF-8"), 256).alias("content"), text.alias("text")).dropDuplicates(["content"])
-    misses = distinct.join(stored, "content", "left_anti")
-    misses.mapInPandas(encode, CACHE).write.mode("append").parquet(cache_path)
+    distinct = docs.select(digest.alias("content"), text.alias("text")).dropDuplicates(["content"])
+    misses = distinct.join(stored, "content", "left_anti").select("content", "text")
+    misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
     # Two writers may have met the same miss; their counts are equal.
     counts = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version).groupBy(F.col("content").alias("__digest")).agg(F.max("n_tokens").alias("n_tokens"))
+    keyed = carried.withColumns({"n_bytes": F.octet_length(text).cast("long"), "__digest": digest})
     return keyed.join(counts, "__digest").drop("__digest")
 
 

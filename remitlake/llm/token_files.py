@@ -4,15 +4,16 @@ Documents are range-sorted by id; every range is encoded in order and cut into s
 about ``segment_ids`` ids. A segment holds the ids of its documents one after the other, two
 bytes each where the vocabulary allows it, and the boundaries between them as an Elias-Fano
 sequence: low bits in a packed array, high bits in unary, with the places of every 64th one
-sampled, so that a boundary is found by one select. Spark writes the segments, and a manifest
-with the first id of every range, to the shared folder; writing is atomic per task.
+sampled, so that a boundary is found by one select. Spark writes the segments, with their first
+id within the range, and a manifest with the first id of every range, to the shared folder;
+writing is atomic per task.
 
 Segment layout, little-endian: ``REFT``, uint8 version 1, uint8 bytes per id, uint8 low bits,
 uint8 0, uint32 documents, uint64 ids, uint32 bytes of the low part, uint32 bytes of the high
 part, uint32 samples, then the ids, the low part, the high part and the samples (uint32 each).
 
 Defined results: null and empty texts hold the end id alone; a null doc_id comes first, as in
-Spark's ascending order; rows with one doc_id are ordered by text checksum; an empty table
+Spark's ascending order; rows with one doc_id are ordered by a hash of their texts; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -21,20 +22,20 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .chunks import ChunkCache
+from .chunks import ByteLevel
 
 _HEAD = struct.Struct("<4sBBBBIQIII")
 _EVERY = 64
-SEGMENTS = "part int, segment int, first_doc_no long, n_ids long, doc_ids array<long>, blob binary"
+SEGMENTS = "part int, segment int, first_doc_no long, first_id long, n_ids long, doc_ids array<long>, blob binary"
+#: A manifest of more ranges than this is joined by a shuffle.
+FEW = 1_000_000
 
 
 def elias_fano(ends: np.ndarray, total: int) -> tuple[int, bytes, bytes, np.ndarray]:
@@ -90,86 +91,56 @@ class Segment:
         return out
 
 
-def pack(docs: list[np.ndarray], width: int) -> bytes:
-    ends = np.cumsum([len(d) for d in docs], dtype=np.int64)
+def pack(ids: bytes, counts: list[int], width: int) -> bytes:
+    """A segment of documents with ``counts`` ids each; ``ids`` are all their ids, ``width`` bytes each."""
+    ends = np.cumsum(counts, dtype=np.int64)
     n = int(ends[-1]) if len(ends) else 0
     low_bits, low, high, samples = elias_fano(ends, n)
-    ids = np.concatenate(docs).astype(f"<u{width}").tobytes() if docs else b""
-    return _HEAD.pack(b"REFT", 1, width, low_bits, 0, len(docs), n, len(low), len(high), len(samples)) + ids + low + high + samples.tobytes()
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str):
-    """Kept for the tasks to come of a Python worker, with its chunks."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-    # a byte-level token has a character for each of its bytes
-    n_bytes = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size(with_added_tokens=True))])
-    specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-    def batch(texts: list[str]) -> list[bytes]:
-        """Ids of chunks as bytes: they are encoded as one text, whose tokens are parted by their byte lengths."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 4096):
-            some = texts[at : at + 4096]
-            if any(x[0] != " " or x[1:2].isspace() or x[-1].isspace() for x in some):
-                out += [np.array(e.ids, f"<u{width}").tobytes() for e in tok.encode_batch(some, add_special_tokens=False)]
-                continue
-            ids = np.array(tok.encode("".join(some), add_special_tokens=False).ids, f"<u{width}")
-            ends = np.cumsum([0, *(len(x.encode("utf-8", "surrogatepass")) for x in some)])
-            cuts = np.searchsorted(np.cumsum(n_bytes[ids]), ends, side="right") * width
-            raw = ids.tobytes()
-            out += [raw[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
-        return out
-
-    cache = ChunkCache(batch)
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in specials)]
-        out = [b"".join(x) for x in cache.many(["" if i in set(whole) else t for i, t in enumerate(texts)])]
-        for i in whole:
-            out[i] = np.array(tok.encode(texts[i], add_special_tokens=False).ids, f"<u{width}").tobytes()
-        return [np.frombuffer(x, f"<u{width}") for x in out]
-
-    return encode, width
+    return b"".join([_HEAD.pack(b"REFT", 1, width, low_bits, 0, len(counts), n, len(low), len(high), len(samples)), ids, low, high, samples.tobytes()])
 
 
 def write_segments(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 19) -> None:
     """Encodes ``text`` in ascending doc_id order and writes segments and manifest below ``path``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, width = _encoder(tokenizer)
-        end = np.array([end_id], f"<u{width}")
-        part, segment, before = TaskContext.get().partitionId(), 0, 0
-        held: list[np.ndarray] = []
-        names: list[int | None] = []
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encode = C.kept(f"byte level {tokenizer}", lambda: ByteLevel(tokenizer))
+        width, longs = encode.width, pa.list_(pa.int64())
+        end = end_id.to_bytes(width, "little")
+        part, segment, docs_before, ids_before = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[bytes] = []
+        counts: list[int] = []
+        names: list[pa.Array] = []
         size = 0
 
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "segment": [segment], "first_doc_no": [before], "n_ids": [size], "doc_ids": [names], "blob": [pack(held, width)]})
-
-        for b in batches:
-            for at in range(0, len(b), 512):
-                texts = b["text"].iloc[at : at + 512].tolist()
-                ids = b["doc_id"].astype("Int64").iloc[at : at + 512]
-                for doc_id, x in zip(ids, encode(texts), strict=True):
-                    held.append(np.concatenate([x, end]))
-                    names.append(None if doc_id is pd.NA else int(doc_id))
-                    size += len(x) + 1
-                    if size >= segment_ids:
-                        yield flush()
-                        segment, before, held, names, size = segment + 1, before + len(held), [], [], 0
-        if held:
+        def flush() -> pa.RecordBatch:
+            doc_ids = pa.concat_arrays(names)
+            numbers = [pa.array([x], t) for x, t in ((part, pa.int32()), (segment, pa.int32()), (docs_before, pa.int64()), (ids_before, pa.int64()), (size, pa.int64()))]
+            held_ids = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+            return pa.RecordBatch.from_arrays([*numbers, held_ids.cast(longs), pa.array([pack(b"".join(held), counts, width)], pa.binary())], ["part", "segment", "first_doc_no", "first_id", "n_ids", "doc_ids", "blob"])
+
+        for b in C.slices(batches, "text", 1 << 20):
+            doc_ids, first = b.column("doc_id"), 0
+            for k, x in enumerate(encode(b.column("text").to_pylist())):
+                held += (x, end)
+                counts.append(len(x) // width + 1)
+                size += counts[-1]
+                if size >= segment_ids:
+                    names.append(doc_ids.slice(first, k + 1 - first))
+                    first = k + 1
+                    yield flush()
+                    segment, docs_before, ids_before = segment + 1, docs_before + len(counts), ids_before + size
+                    held, counts, names, size = [], [], [], 0
+            if first < len(doc_ids):
+                names.append(doc_ids.slice(first))
+        if counts:
             yield flush()
 
-    text = C.text_or_empty()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.crc32(F.encode(text, "UTF-8")).alias("__c"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty().alias("text"))
+    rows = rows.withColumn("__c", F.xxhash64("text"))
     ranged = rows.repartitionByRange("doc_id", "__c", F.rand(5)).sortWithinPartitions("doc_id", "__c").select("doc_id", "text")
-    ranged.mapInPandas(run, SEGMENTS).write.parquet(f"{path}/segments")
+    ranged.mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
     spark = docs.sparkSession
     per = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -180,26 +151,22 @@ def read_documents(spark, path: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
     segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
     manifest = spark.read.schema("part int, base long").parquet(f"{path}/manifest")
-    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = segments.select("part", "segment", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("__at"))
-    starts = starts.join(manifest, "part").select("part", "segment", (F.col("base") + F.col("__at")).alias("base"))
+    small = F.broadcast(manifest) if manifest.count() <= FEW else manifest
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for names, base, blob in zip(b["doc_ids"], b["base"], b["blob"], strict=True):
+        for b in C.slices(batches, "blob"):
+            for names, base, blob in zip(b.column("doc_ids"), b.column("base").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 s = Segment(blob)
                 ends = s.ends()
                 first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 ids = s.ids.astype("<u4")
-                yield pd.DataFrame({
-                    "doc_id": pd.array([None if x is None or x != x else int(x) for x in names], "Int64"),
-                    "start": first + base,
-                    "n_tokens": ends - first,
-                    "ids_crc32": [zlib.crc32(ids[i:j]) for i, j in zip(first, ends, strict=True)],
-                })
-
-    files = segments.select("part", "segment", "doc_ids", "blob").join(starts, ["part", "segment"]).select("doc_ids", "base", "blob")
-    return files.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                crcs = [zlib.crc32(ids[i:j]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([names.values, pa.array(first + base), pa.array(ends - first), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    files = segments.join(small, "part").select("doc_ids", (F.col("base") + F.col("first_id")).alias("base"), "blob")
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark, sf_dir):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -7,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from remitlake.llm import common, piece_codec, token_counts, token_files
+from remitlake.llm import chunks, common, piece_codec, token_counts, token_files
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -32,6 +33,26 @@ def test_files(spark, docs, rows):
     assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got), key=lambda x: x[1]) == want
 
 
+def test_large_ids_beside_a_null(spark):
+    rows = [(None, "a b"), (9007199254740993, "c"), (9007199254740995, None)]
+    path = common.new_path(spark, "t")
+    token_files.write_segments(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, BYTES, segment_ids=2)
+    got = sorted(token_files.read_documents(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [i for i, _ in rows]
+    assert got[-1]["n_tokens"] == 1
+
+
+def test_chunks_give_the_ids_of_whole_texts():
+    rng = random.Random(5)
+    letters = [chr(c) for c in [*range(9, 14), *range(28, 127), *range(0x80, 0x250), 0x301, 0x660, 0x2010, 0x2019, 0x2026, 0x2028, 0x3000, 0x65E5, 0x1F389]]
+    letters += [*" " * 80, *"abcdefgh" * 9, "'s", "'re", "  ", "\n\n", " <|endoftext|>"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(8000)]
+    for limit in (250_000, 50):  # with caches that are cleared all the time as well
+        encode = chunks.ByteLevel(BYTES)
+        encode.cache.limit = limit
+        assert [x for at in range(0, len(texts), 100) for x in encode(texts[at : at + 100])] == encode.whole(texts)
+
+
 def test_no_files(spark, empty):
     path = common.new_path(spark, "t")
     token_files.write_segments(empty, path, BYTES)
@@ -42,7 +63,7 @@ def test_no_files(spark, empty):
 def test_segment(n):
     rng = np.random.default_rng(n)
     held = [rng.integers(0, 60_000, int(k)).astype("<u2") for k in rng.integers(1, 400, n)]
-    s = token_files.Segment(token_files.pack(held, 2))
+    s = token_files.Segment(token_files.pack(b"".join(h.tobytes() for h in held), [len(h) for h in held], 2))
     ends = np.cumsum([len(h) for h in held])
     assert (s.ends() == ends).all() and [s.end(i) for i in range(n)] == ends.tolist()
     assert (s.ids == np.concatenate(held)).all()
@@ -65,6 +86,27 @@ def test_counts(spark, docs, rows, path):
     assert spark.read.parquet(cache).count() > stored  # another tokenizer is another key
 
 
+def test_counts_beside_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, 8), (2, None, 7, 8)], "doc_id long, text string, n_tokens int, n_bytes int")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(docs, common.new_path(spark, "cache"), PIECES).select("doc_id", "n_bytes", "n_tokens").collect()}
+    assert got[2] == (0, 0) and got[1][0] == 5 and got[1][1] > 0
+
+
+def test_pieces_beside_clashing_columns(docs):
+    clashing = docs.selectExpr("*", "3 as piece_ids", "'z' as decoded", "1 as lossless")
+    out = piece_codec.decode(piece_codec.encode(clashing, PIECES, check=True), PIECES).collect()
+    assert all(r["decoded"] == (r["text"] or "") and r["lossless"] is True for r in out)
+
+
+def test_long_words_in_a_table(spark):
+    """Texts without spaces: base64, Chinese, one letter."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ABCDEFGHabcdefgh0123+/", k=60_000)), "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(20_000)), "a" * 50_000, "▁" * 300, " " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in piece_codec.round_trip(df, PIECES).collect()}
+    assert all(got[i]["lossless"] and got[i]["text_crc32"] == zlib.crc32(t.encode()) for i, t in enumerate(texts))
+
+
 def test_counts_of_nothing(spark, empty):
     assert token_counts.count_tokens(empty, common.new_path(spark, "cache"), PIECES).count() == 0
 
