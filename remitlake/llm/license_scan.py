@@ -1,16 +1,17 @@
 """License scan by diagonal voting.
 
-All rolling word ``k``-gram hashes of all texts are joined to the positions of the same grams
-in license templates. A hit votes for the diagonal ``text position - template position``;
+One pass over the texts splits them into words, finds the fixed phrases and short notices, and
+hashes all rolling word ``k``-grams; Spark joins those to the positions of the same grams in
+license templates. A hit votes for the diagonal ``text position - template position``;
 diagonals of a text and template that lie within ``slack`` of each other are merged, so that an
 inserted or lost word does not split a notice. A merged candidate is then verified word by
 word: its identity is the share of the template's words that stand in the text on one of its
 diagonals, and it counts from ``least`` on, unless the words it spans hold a qualifier (``QUALIFIERS``)
 that the template has not: another licence.
 
-Notices of ``SHORT`` words have too few grams for that. Where a text holds all their key words
-(``KEYS``, and numbers), they are sought with one edit: a word lost, replaced or put in. Key words
-are neither edited nor put in, as they tell one licence from another.
+Notices of ``SHORT`` words have too few grams for that. They are sought with one edit: a word
+lost, replaced or put in. Key words (``KEYS``, and numbers) are neither edited nor put in, as they
+tell one licence from another.
 
 Beside that, three fixed phrases are found exactly. ``labels`` has both, ``score`` is the best
 identity of a verified notice (0 without any), ``spans`` are the verified notices with their first
@@ -24,8 +25,10 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -88,10 +91,13 @@ KEYS = frozenset("apache mit bsd isc mozilla mpl cc by nc sa nd gnu gpl lgpl agp
 #: Words that make another licence of a notice.
 QUALIFIERS = ("nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs", "lesser", "affero", "library")
 SPAN = "struct<label:string,identity:double,first_word:bigint,last_word:bigint>"
+MARKS = f"doc_id long, __t long, n_words long, n_base long, first_word long, last_word long, __base array<string>, __short array<{SPAN}>, grams array<long>"
+# Bytes outside words become spaces, A to Z small; all bytes from 128 on belong to characters of words.
+_WORD_BYTES = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
 
-def _words(text: str) -> list[str]:
-    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
 def _is_key(word: str) -> bool:
@@ -111,116 +117,140 @@ def _with_one_edit(words: list[str]) -> str:
     return f"(?:{'|'.join(forms)})(?= )"
 
 
-def _found_short(label: str, words: list[str]) -> Column:
-    """Spans of a short notice in the column ``__line``, in which each word stands after a space."""
-    # Each match comes with the words before it; \\G keeps a search without result from starting anew at every letter.
-    pattern, none = F.lit(f"(?s)\\G(.*?)({_with_one_edit(words)})"), F.array().cast(f"array<{SPAN}>")
-    part = lambda k: F.regexp_extract_all("__line", pattern, F.lit(k))
-    spaces = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" ")))).cast("long")
-    n, whole = len(words), "".join(f" {w}" for w in words)
-
-    def put(acc, x):
-        first, size = acc["at"] + spaces(x["before"]), spaces(x["match"])
-        identity = F.when((size > n) | (x["match"] == whole), 1.0).otherwise((n - 1) / n)
-        span = F.struct(F.lit(label).alias("label"), identity.alias("identity"), first.alias("first_word"), (first + size - 1).alias("last_word"))
-        return F.struct((first + size).alias("at"), F.array_append(acc["spans"], span.cast(SPAN)).alias("spans"))
-
-    parts = F.arrays_zip(part(1).alias("before"), part(2).alias("match"))
-    found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), put)["spans"]
-    held = F.lit(True)
-    for k in {w for w in words if w in KEYS}:
-        held = held & F.array_contains("words", k)
-    return F.when(held, found).otherwise(none)
-
-
-def short_notices(texts: DataFrame) -> DataFrame:
-    """(doc_id, __t, found) of texts with short notices; ``found`` are their spans."""
-    short = [(label, ws) for label, ws in ((label, _words(t)) for label, t in TEMPLATES) if len(ws) in SHORT]
-    # Each of these templates has one of these words; most texts have none and end here.
-    rare = ("apache", "mit", "mozilla", "gpl", "cc")
-    assert all(set(rare) & set(ws) for _, ws in short)
-    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    held = texts.where(F.arrays_overlap("words", F.array(*[F.lit(k) for k in rare]))).select("doc_id", "__t", "words", line.alias("__line"))
-    return held.select("doc_id", "__t", F.flatten(F.array(*[_found_short(*x) for x in short])).alias("found")).where(F.size("found") > 0)
-
-
-def template_tables(spark: SparkSession, k: int) -> tuple[DataFrame, DataFrame]:
-    """(template, label, words), and (gram, template, at) with the hash of every gram."""
-    rows = [(i, label, _words(text)) for i, (label, text) in enumerate(TEMPLATES)]
-    whole = spark.createDataFrame(rows, "template int, label string, template_words array<string>")
-    grams = whole.select("template", F.posexplode(F.expr(f"sequence(0, size(template_words) - {k})")).alias("at", "__i"), "template_words")
-    return whole, grams.select(F.xxhash64(*[F.get("template_words", F.col("__i") + j) for j in range(k)]).alias("gram"), "template", "at")
-
-
-def _base_hits():
-    """Places of the phrases as (at, label), over the column ``words``."""
-    w = lambda i, j: F.get("words", i + j)
-
-    def label(i):
-        out = None
-        for phrase, name in PHRASES.items():
-            here = None
-            for j, x in enumerate(phrase.split()):
-                here = (w(i, j) == x) if here is None else here & (w(i, j) == x)
-            out = F.when(here, name) if out is None else out.when(here, name)
+class Scanner:
+    """Words, phrases, short notices and gram hashes of texts; words' hashes are kept up to a bound."""
+
+    def __init__(self, k: int = 3, limit: int = 200_000):
+        self.k, self.limit = k, limit
+        self.hashes: dict[bytes, int] = {}
+        self.phrases = [([w.encode() for w in p.split()], label) for p, label in PHRASES.items()]
+        short = [(label, [w.decode() for w in _words(t)]) for label, t in TEMPLATES]
+        self.short = [
+            (label, frozenset(w.encode() for w in ws), frozenset(w.encode() for w in ws if w in KEYS), re.compile(_with_one_edit(ws).encode()), len(ws), "".join(f" {w}" for w in ws).encode())
+            for label, ws in short if len(ws) in SHORT
+        ]
+
+    def grams(self, words: list[bytes]) -> np.ndarray:
+        import xxhash
+
+        if len(words) < self.k:
+            return np.zeros(0, np.int64)
+        if len(self.hashes) > self.limit:
+            self.hashes.clear()
+        known = self.hashes
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        h = np.array(list(map(known.__getitem__, words)), np.uint64)
+        out = np.zeros(len(h) - self.k + 1, np.uint64)
+        for j in range(self.k):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : len(h) - self.k + 1 + j]
+        return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+    def places(self, words: list[bytes], held: set[bytes]) -> list[tuple[int, str]]:
+        """Places of the phrases."""
+        out = []
+        for phrase, label in self.phrases:
+            if held.issuperset(phrase):
+                out += [(i, label) for i, w in enumerate(words) if w == phrase[0] and words[i : i + len(phrase)] == phrase]
         return out
 
-    at = F.sequence(F.lit(0), F.size("words") - 1)
-    some = [F.array_contains("words", p.split()[-1]) for p in PHRASES]
-    any_last = some[0] | some[1] | some[2]
-    return F.when((F.size("words") > 0) & any_last, F.filter(F.transform(at, lambda i: F.struct(i.alias("at"), label(i).alias("label"))), lambda x: x["label"].isNotNull()))
+    def notices(self, words: list[bytes], held: set[bytes]) -> list[dict]:
+        """Spans of the short notices; a match lacks one of the template's words at most."""
+        out, line = [], None
+        for label, template, keys, pattern, n, whole in self.short:
+            if len(template - held) > 1 or not keys <= held:
+                continue
+            line = line or b" " + b" ".join(words) + b" "
+            for m in pattern.finditer(line):
+                first, size = line.count(b" ", 0, m.start()), m[0].count(b" ")
+                out.append({"label": label, "identity": 1.0 if size > n or m[0] == whole else (n - 1) / n, "first_word": first, "last_word": first + size - 1})
+        return out
+
+
+def marks(docs: DataFrame, k: int) -> DataFrame:
+    """One row per row of ``docs``: the figures of :data:`MARKS`, from one look at each text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        scanner = C.kept(f"licenses {k}", lambda: Scanner(k))
+        for b in C.slices(batches, "text"):
+            n, at, bases, short, grams = [], [], [], [], []
+            for t in b.column("text").to_pylist():
+                words = _words(t)
+                held = set(words)
+                places = scanner.places(words, held)
+                n.append(len(words))
+                at.append([p for p, _ in places])
+                bases.append(sorted({label for _, label in places}))
+                short.append(scanner.notices(words, held))
+                grams.append(scanner.grams(words))
+            span = pa.struct([("label", pa.string()), ("identity", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in grams])]), pa.int32())
+            longs = [pa.array(x, pa.int64()) for x in (n, [len(p) for p in at], [min(p, default=None) for p in at], [max(p, default=None) for p in at])]
+            columns = [*(b.column(c) for c in ("doc_id", "__t")), *longs, pa.array(bases, pa.list_(pa.string())), pa.array(short, pa.list_(span)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(grams)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "__t", "n_words", "n_base", "first_word", "last_word", "__base", "__short", "grams"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(C.text_or_empty()).alias("__t"), C.text_or_empty().alias("text"))
+    return rows.mapInArrow(run, MARKS)
 
-def candidates(texts: DataFrame, k: int, slack: int, share: float) -> DataFrame:
+
+def template_grams(spark: SparkSession, k: int) -> DataFrame:
+    """(gram, template, at) with the hash of every gram of the templates."""
+    scanner = Scanner(k)
+    rows = [(int(g), t, i) for t, (_, text) in enumerate(TEMPLATES) for i, g in enumerate(scanner.grams(_words(text)))]
+    return spark.createDataFrame(rows, "gram long, template int, at int")
+
+
+def candidates(hits: DataFrame, k: int, slack: int, share: float) -> DataFrame:
     """Merged diagonals by doc_id, __t and template that hold ``share`` of the template's grams."""
-    spark = texts.sparkSession
-    whole, grams = template_tables(spark, k)
-    w = lambda i, j: F.get("words", i + j)
-    hashes = F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.xxhash64(*[w(i, j) for j in range(k)])))
-    rolled = texts.select("doc_id", "__t", F.posexplode(hashes).alias("pos", "gram"))
-    # The templates are fixed text, several hundred grams.
-    hits = rolled.join(F.broadcast(grams), "gram").select("doc_id", "__t", "template", (F.col("pos") - F.col("at")).alias("diagonal"), "at")
+    sizes = F.array(*[F.lit(len(_words(t))) for _, t in TEMPLATES])
     votes = hits.groupBy("doc_id", "__t", "template", "diagonal").agg(F.collect_set("at").alias("ats"))
     ordered = Window.partitionBy("doc_id", "__t", "template").orderBy("diagonal")
     marked = votes.withColumn("__new", (F.col("diagonal") - F.lag("diagonal").over(ordered) > slack).cast("int"))
     marked = marked.withColumn("island", F.sum(F.coalesce("__new", F.lit(1))).over(ordered))
     merged = marked.groupBy("doc_id", "__t", "template", "island").agg(F.collect_list("diagonal").alias("diagonals"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"))
-    merged = merged.join(F.broadcast(whole), "template")
-    return merged.where(F.col("votes") >= share * (F.size("template_words") - k + 1)).select("doc_id", "__t", "label", "template_words", "diagonals")
-
-
-def scan(docs: DataFrame, k: int = 3, slack: int = 3, share: float = 0.3, least: float = 0.9, broadcast_rows: int = 200_000) -> DataFrame:
-    """One row per row of ``docs``: doc_id and the columns of the scan."""
-    lowered = F.lower(C.text_or_empty())
-    keyed = docs.select("doc_id", C.text_or_empty().alias("text"), F.xxhash64(C.text_or_empty()).alias("__t"))
-    texts = keyed.select("doc_id", "__t", F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)).alias("words"))
-    found = C.materialise(candidates(texts, k, slack, share), "candidates")
-    few = found.count() <= broadcast_rows
-    pairs = texts.alias("x").join(F.broadcast(found.alias("c")) if few else found.alias("c"), F.col("x.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("x.__t") == F.col("c.__t")))
+    return merged.where(F.col("votes") >= share * (F.get(sizes, F.col("template")) - k + 1)).select("doc_id", "__t", "template", "diagonals")
+
+
+def scan(docs: DataFrame, k: int = 3, slack: int = 3, share: float = 0.3, least: float = 0.9, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """One row per row of ``docs``: doc_id and the columns of the scan.
+
+    Candidates go to the texts by a broadcast up to ``broadcast_bytes``, by a shuffle beyond.
+    """
+    spark = docs.sparkSession
+    # The templates are fixed text, several hundred grams. A row without a gram carries a text's own figures.
+    spread = marks(docs, k).select("*", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), "grams")).alias("pos", "gram")).drop("grams")
+    found = spread.join(F.broadcast(template_grams(spark, k)), "gram", "left").where("pos = 0 or template is not null")
+    own = F.col("pos") == 0
+    figures = [F.when(own, F.col(c)).alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "__base", "__short")]
+    found = C.materialise(found.select("doc_id", "__t", *figures, own.alias("own"), "template", (F.col("pos") - 1 - F.col("at")).alias("diagonal"), "at"), "marks")
+    base = found.where("own").drop("own", "template", "diagonal", "at")
+    diagonals = C.materialise(candidates(found.where("not own"), k, slack, share), "candidates")
+    size = diagonals.agg(F.sum(48 + 8 * F.size("diagonals"))).first()[0] or 0
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(C.text_or_empty()).alias("__t"), C.text_or_empty().alias("text"))
+    pairs = keyed.alias("x").join(F.broadcast(diagonals.alias("c")) if size <= broadcast_bytes else diagonals.alias("c"), F.col("x.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("x.__t") == F.col("c.__t")))
+    capitals = "".join(map(chr, range(65, 91)))
+    words = F.regexp_extract_all(F.translate("text", capitals, capitals.lower()), F.lit(WORD), F.lit(0))
+    texts = F.array(*[F.array(*[F.lit(w.decode()) for w in _words(t)]) for _, t in TEMPLATES])
+    labels = F.array(*[F.lit(label) for label, _ in TEMPLATES])
+    pairs = pairs.select(F.col("x.doc_id"), F.col("x.__t"), F.get(labels, F.col("template")).alias("label"), words.alias("words"), F.get(texts, F.col("template")).alias("template_words"), "diagonals")
     # Of each word of the template, the place in the text where one of the diagonals has it.
     place = lambda t, i: F.get(F.filter(F.transform("diagonals", lambda d: i + d), lambda p: F.get("words", p) == t), F.lit(0))
-    met = pairs.select(F.col("x.doc_id"), F.col("x.__t"), "label", "words", "template_words", F.array_compact(F.transform("template_words", place)).alias("places"))
+    met = pairs.select("doc_id", "__t", "label", "words", "template_words", F.array_compact(F.transform("template_words", place)).alias("places"))
     met = met.withColumn("identity", F.size("places") / F.size("template_words")).where(F.col("identity") >= least)
     first, last = F.array_min("places"), F.array_max("places")
     spanned = F.slice("words", first + 1, last - first + 1)
     foreign = F.array_except(F.array_intersect(F.array(*[F.lit(q) for q in QUALIFIERS]), spanned), "template_words")
     long = met.where(F.size(foreign) == 0).select("doc_id", "__t", F.struct("label", "identity", first.cast("long").alias("first_word"), last.cast("long").alias("last_word")).cast(SPAN).alias("span"))
     # rows that agree in doc_id and text find the same, once each
-    short = short_notices(texts).select("doc_id", "__t", F.explode("found").alias("span"))
-    verified = (
-        long.unionByName(short).groupBy("doc_id", "__t").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-        .select("doc_id", "__t", "spans", F.col("spans.label").alias("__labels"), F.array_max("spans.identity").alias("__score"))
-    )
-    base = texts.select("doc_id", "__t", F.size("words").cast("long").alias("n_words"), _base_hits().alias("hits"))
-    ats, names = F.col("hits.at"), F.array_sort(F.array_distinct(F.coalesce("hits.label", F.array().cast("array<string>"))))
-    base = base.select("doc_id", "__t", "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_base"), F.array_min(ats).cast("long").alias("first_word"), F.array_max(ats).cast("long").alias("last_word"), names.alias("__base"))
-    base = base.withColumn("n_base", F.greatest("n_base", F.lit(0)))
+    verified = long.groupBy("doc_id", "__t").agg(F.collect_set("span").alias("__long"))
     both = base.alias("b").join(verified.alias("v"), F.col("b.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("b.__t") == F.col("v.__t")), "left")
-    labels = F.array_sort(F.array_union("__base", F.coalesce("__labels", F.array().cast("array<string>"))))
+    spans = F.array_sort(F.array_union("__short", F.coalesce("__long", F.array().cast(f"array<{SPAN}>"))))
+    both = both.select(F.col("b.doc_id"), "n_words", "n_base", "first_word", "last_word", "__base", spans.alias("spans"))
     return both.select(
-        F.col("b.doc_id"), "n_words", "n_base", "first_word", "last_word",
-        F.array_join("__base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.coalesce("__score", F.lit(0.0)).alias("score"),
-        F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"),
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("__base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("__base", "spans.label")), ",").alias("labels"), F.coalesce(F.array_max("spans.identity"), F.lit(0.0)).alias("score"), "spans",
     )
 
 

@@ -41,7 +41,7 @@ def test_license(spark, docs, rows, empty):
         own = set(filter(None, [labels.get(r["doc_id"], "")])) | set(filter(None, base[4].split(",")))
         assert r["labels"] == ",".join(sorted(own)) and 0 <= r["score"] <= 1
     assert license_scan.scan(empty).count() == 0
-    wide = sorted((r["doc_id"] or -1, r["labels"]) for r in license_scan.scan(df, broadcast_rows=0).collect())
+    wide = sorted((r["doc_id"] or -1, r["labels"]) for r in license_scan.scan(df, broadcast_bytes=-1).collect())
     assert wide == sorted((r["doc_id"] or -1, r["labels"]) for r in got)
 
 
@@ -66,6 +66,12 @@ def test_license_edits(spark):
     assert got[2]["score"] == 4 / 5 and got[99]["score"] == 1
 
 
+def test_license_lowers_a_to_z_only(spark):
+    df = spark.createDataFrame([(1, "RELEASED under the M\u0130T LICENSE"), (2, "CC BY \u212a"), (3, "ALL Rights reserved")], "doc_id long, text string").selectExpr("*", "'y' as labels", "1 as n_words", "2 as spans")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert got[1]["labels"] == "" and got[2]["base_labels"] == "cc-by" and got[2]["n_words"] == 3 and got[3]["base_labels"] == "reserved"
+
+
 def _table(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
