@@ -23,6 +23,8 @@ from . import common as C
 
 #: Weights of the sources in code point order, repeating, with the slope of each one's schedule.
 CYCLE = ((5.0, -0.5), (2.0, 0.0), (1.0, 0.5))
+#: Share of its source's target from which a row counts as large.
+LARGE = 0.02
 
 
 def cycled_schedule(rank: Column) -> Column:
@@ -74,9 +76,10 @@ def targets(docs: DataFrame, schedule: Callable[[Column], Column] = cycled_sched
     rows = rows.withColumn("__full", cap * F.col("mix_source_size")).withColumn("__ratio", F.col("__full") / F.col("mix_area"))
     # Sources fill up in the order of __ratio; the level is fixed where the next one is not full yet.
     order = everything.orderBy("__ratio", "mix_key")
+    back = everything.orderBy(F.desc("__ratio"), F.desc("mix_key"))
     rows = rows.withColumns({
         "__filled": F.coalesce(F.sum("__full").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-        "__left": F.sum("mix_area").over(order.rowsBetween(0, Window.unboundedFollowing)),
+        "__left": F.sum("mix_area").over(back.rowsBetween(Window.unboundedPreceding, 0)),
         "__budget": share * F.sum("mix_source_size").over(everything),
     }).withColumn("__level", (F.col("__budget") - F.col("__filled")) / F.col("__left"))
     level = F.min_by(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level")), F.when(F.col("__level") <= F.col("__ratio"), F.struct("__ratio", "mix_key"))).over(everything)
@@ -86,19 +89,22 @@ def targets(docs: DataFrame, schedule: Callable[[Column], Column] = cycled_sched
 def mix(docs: DataFrame, n_rows: int, schedule: Callable[[Column], Column] = cycled_schedule, share: float = 1.5, cap: int = 2, seed: int = 17, tie: tuple[str, ...] = ()) -> DataFrame:
     """Adds what the mix takes of each row of ``docs`` (columns doc_id, source and mix_size).
 
-    Within a source, rows are laid out in seeded order, pass after pass; a copy is taken if its
-    middle lies before the target. mix_copies counts the copies, mix_times has their training
-    times. ``n_rows`` only sets the number of buckets. ``tie`` names columns that order rows of
-    one doc_id and size.
+    Within a source, rows are laid out in seeded order, pass after pass, those of over ``LARGE`` of
+    the target before the others; a copy is taken if its middle lies before the target. So the
+    words taken miss the target by half the copy that lies across it at most, which is ``LARGE / 2``
+    of the target unless the large rows alone go beyond it. mix_copies counts the copies, mix_times
+    has their training times. ``n_rows`` only sets the number of buckets. ``tie`` names columns that
+    order rows of one doc_id and size.
     """
     b = C.bucket_count(n_rows)
     rows = docs.withColumn("mix_key", C.source_key()).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "mix_size", *tie))
     rows = rows.withColumn("__b", C.hash_bucket(F.col("__h"), b))
-    rows = C.prefix_sums(rows, ["mix_key"], "__b", ["__h", "doc_id"], "mix_size", "__off")
     # Sources may be many or one may be hot, so their rows are dealt over the buckets' salts.
     salts = 16
     by_source = targets(docs.withColumn("mix_key", C.source_key()), schedule, share, cap).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = rows.withColumn("__salt", (F.col("__b") % salts).cast("int")).join(by_source, ["mix_key", "__salt"])
+    rows = rows.withColumn("__b", F.when(F.col("mix_size") > LARGE * F.col("mix_target"), F.col("__b")).otherwise(F.col("__b") + b))
+    rows = C.prefix_sums(rows, ["mix_key"], "__b", ["__h", "doc_id"], "mix_size", "__off")
     half = F.col("mix_size") / 2
     start = lambda k: F.col("__off") + k * F.col("mix_source_size")
     times = F.array_compact(F.array(*[
@@ -115,10 +121,13 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op1_mixing(spark, sf_dir):
-    """One row per document, range-sorted by its first training time; rows not taken come last."""
+    """One row per document, range-sorted by its first training time; rows not taken come last.
+
+    A source's taken words miss its target by half of one document at most (see :func:`mix`).
+    """
     docs = C.table(spark, sf_dir, "documents")
-    narrow = C.materialise(docs.select("doc_id", "source", C.space_words().alias("mix_size")), "sizes")
-    out = mix(narrow, narrow.count()).select(
+    narrow = C.materialise(docs.select("doc_id", "source", C.space_words().alias("mix_size"), F.xxhash64("text").alias("mix_text")), "sizes")
+    out = mix(narrow, narrow.count(), tie=("mix_text",)).select(
         "doc_id",
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
