@@ -14,8 +14,8 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: failing lines go from the texts, and rejected documents go."""
     common.ship(spark)
-    kept = quality_rules.clean(docs.select(*DOCUMENTS)).where("kept")
-    return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
+    kept = quality_rules.clean(docs.select(*DOCUMENTS), in_place=True).where("kept")
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a document is repeated or left out as its source's target asks, in training order."""
     common.ship(spark)
     sized = docs.withColumn("mix_size", common.space_words())
-    return mixing.in_training_order(mixing.mix(sized, docs.count())).select(*DOCUMENTS)
+    return mixing.in_training_order(mixing.mix(sized, docs.count(), tie=("text",))).select(*DOCUMENTS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -79,7 +79,7 @@ class Codec:
         self.hashes, self.hash_ids = hashes[order], np.array(list(self.pieces.values()))[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-        self.limit = 4_000_000
+        self.limit = 1_500_000
         self._forget()
 
     @staticmethod
@@ -149,32 +149,47 @@ class Codec:
         self.states, self.base = 0, {}
         self.shares, self.lengths, self.ids, self.first = np.zeros(0), np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
+    def _options(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of one long word: (end, piece length, weight, id) of all pieces in it, by end and length; -1 - code stands for a character without a piece."""
+        size, h = len(codes), np.zeros(len(codes) + 1, np.uint64)
+        plus = codes.astype(np.uint64) + np.uint64(1)
+        found = []
+        for k in range(1, min(size, self.longest) + 1):
+            # the hash of the piece of length k that starts at each place
+            h = h[1:] + plus[: size - k + 1] * np.uint64(pow(_P, k - 1, 1 << 64))
+            some = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+            hit = self.hashes[at] == h[some]
+            some, piece = some[hit], self.hash_ids[at[hit]]
+            found.append((some + k, np.full(len(some), k), self.weight[piece], piece))
+            if k == 1:
+                bare = np.setdiff1d(np.arange(size), some)
+                found.append((bare + 1, np.ones(len(bare), np.int64), np.full(len(bare), self.lowest**2), -1 - codes[bare].astype(np.int64)))
+        end, length, weight, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end * (self.longest + 1) + length, kind="stable")
+        return end[order], length[order], weight[order], ids[order]
+
     def _long(self, word: str, key: int) -> list[int]:
         """The same for one word longer than :data:`_LONG`, with rescaled sums; -1 - code for a character."""
-        alpha, shares, top = [1.0], [()], self.longest
-        for end in range(1, len(word) + 1):
-            options = []
-            for k in range(1, min(end, top) + 1):
-                piece = self.pieces.get(word[end - k : end])
-                if piece is not None or k == 1:
-                    w = self.lowest**2 if piece is None else float(self.weight[piece])
-                    options.append((alpha[end - k] * w, k, -1 - ord(word[end - 1]) if piece is None else piece))
-            total = sum(o[0] for o in options)
+        end, length, weight, ids = self._options(_codes(word))
+        first = np.searchsorted(end, np.arange(len(word) + 2)).tolist()
+        length, weight, ids = length.tolist(), weight.tolist(), ids.tolist()
+        alpha, shares, top = [1.0], [0.0] * len(ids), self.longest
+        for at in range(1, len(word) + 1):
+            total = 0.0
+            for o in range(first[at], first[at + 1]):
+                total += alpha[at - length[o]] * weight[o]
+                shares[o] = total
             alpha.append(total)
-            shares.append(tuple((o[0] / total, o[1], o[2]) for o in options))
             if total < 1e-200:
                 alpha[-top:] = [a / total for a in alpha[-top:]]
-        draws = (_mix(np.uint64(key) + np.arange(len(word), dtype=np.uint64) * np.uint64(_P)) >> np.uint64(11)) / 2.0**53
-        out, end, step = [], len(word), 0
-        while end:
-            u, chosen = float(draws[step]), shares[end][-1]
-            for o in shares[end]:
-                u -= o[0]
-                if u < 0:
-                    chosen = o
-                    break
-            out.append(chosen[2])
-            end, step = end - chosen[1], step + 1
+        draws = ((_mix(np.uint64(key) + np.arange(len(word), dtype=np.uint64) * np.uint64(_P)) >> np.uint64(11)) / 2.0**53).tolist()
+        out, at, step = [], len(word), 0
+        while at:
+            last = first[at + 1] - 1
+            o = min(bisect_right(shares, draws[step] * shares[last], first[at], last + 1), last)
+            out.append(ids[o])
+            at, step = at - length[o], step + 1
         return out[::-1]
 
     def sample(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
@@ -239,10 +254,8 @@ class Codec:
         return raw[1:].decode("utf-8", "surrogatepass") if raw[:1] == b" " else raw.decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=2)
 def _codec(path: str, alpha: float = 1.0, seed: int = 11) -> Codec:
-    """Kept for the tasks to come of a Python worker, with its words."""
-    return Codec(path, alpha, seed)
+    return C.kept(f"pieces {path} {alpha} {seed}", lambda: Codec(path, alpha, seed))
 
 
 def row_key(col: str = "doc_id"):
@@ -262,30 +275,16 @@ def encode(docs: DataFrame, vocabulary: str, alpha: float = 1.0, seed: int = 11,
         import pyarrow as pa
 
         codec = _codec(vocabulary, alpha, seed)
-        for b in batches:
-            texts, keys = [t or "" for t in b.column("text").to_pylist()], b.column("__key").to_pylist()
-            for i, j in _pieces_of(texts):
-                ids = codec.sample(texts[i:j], keys[i:j])
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(flat, pa.int32()))
-                same = [pa.array([codec.decode(x) == t for x, t in zip(ids, texts[i:j], strict=True)], pa.bool_())] if check else []
-                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], lists, *same], out.names)
+        for b in C.slices(batches, "text", 2 << 20):
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            ids = codec.sample(texts, b.column("__key").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            same = [pa.array([codec.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())] if check else []
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, *same], out.names)
 
     return carried.mapInArrow(run, out)
 
 
-def _pieces_of(texts: list[str], chars: int = 3_000_000) -> Iterator[tuple[int, int]]:
-    """Cuts a batch into runs of rows of about ``chars`` characters."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Adds ``decoded``, the text of ``piece_ids``, to ``encoded``."""
     carried = encoded.drop("decoded")
@@ -315,16 +314,14 @@ def round_trip(docs: DataFrame, vocabulary: str, alpha: float = 1.0, seed: int =
         import pyarrow as pa
 
         codec = _codec(vocabulary, alpha, seed)
-        for b in batches:
-            texts, keys = b.column("text").to_pylist(), b.column("__key").to_pylist()
-            n, ids_crc, text_crc, same = [], [], [], []
-            for i, j in _pieces_of(texts):
-                for t, ids in zip(texts[i:j], codec.sample(texts[i:j], keys[i:j]), strict=True):
-                    back = codec.decode(ids)
-                    n.append(len(ids))
-                    ids_crc.append(zlib.crc32(ids.astype("<u4")))
-                    text_crc.append(zlib.crc32(back.encode("utf-8", "surrogatepass")))
-                    same.append(back == t)
+        for b in C.slices(batches, "text", 2 << 20):
+            texts, n, ids_crc, text_crc, same = b.column("text").to_pylist(), [], [], [], []
+            for t, ids in zip(texts, codec.sample(texts, b.column("__key").to_pylist()), strict=True):
+                back = codec.decode(ids)
+                n.append(len(ids))
+                ids_crc.append(zlib.crc32(ids.astype("<u4")))
+                text_crc.append(zlib.crc32(back.encode("utf-8", "surrogatepass")))
+                same.append(back == t)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_crc, pa.int64()), pa.array(text_crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "text_crc32", "lossless"])
 
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean")

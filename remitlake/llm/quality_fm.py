@@ -5,8 +5,8 @@ to unit length), binned structure statistics and the binned ``n_chars``. The sco
 ``sigmoid(bias + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2))``: all pairwise
 interactions in time linear in the features.
 
-It is fitted in one task on at most ``SAMPLE`` labelled rows, those with the smallest hashes of
-their ids; ids with crc32 of their text divisible by 5 are held out. Labels, lang, source and
+It is fitted in one task on at most ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of their
+features, those with the smallest hashes of their ids; ids with crc32 of their text divisible by 5 are held out. Labels, lang, source and
 doc_id are no features.
 
 Defined results: null and empty texts have no words and are scored by the structure bins of an
@@ -21,18 +21,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
 
-#: Bound on the labelled rows that the classifier is fitted on.
-SAMPLE = 20_000
+#: Bounds on the labelled rows that the classifier is fitted on, and on the bytes of their features.
+SAMPLE, SAMPLE_BYTES = 20_000, 128 << 20
 HASH = 1 << 14
 BINS = 10
 RANK = 6
@@ -52,7 +51,7 @@ def _bin(x: float, scale: float) -> int:
 class Features:
     """Index and value arrays of a text; word hashes are remembered up to a bound."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.known: dict[str, int] = {}
         self.limit = limit
 
@@ -90,10 +89,8 @@ class Features:
         return np.concatenate([idx, extra]), np.concatenate([value, np.full(len(_STATS), 0.5)])
 
 
-@lru_cache(maxsize=1)
 def _features() -> Features:
-    """Kept for the tasks to come of a Python worker, with its word hashes."""
-    return Features()
+    return C.kept("quality features", Features)
 
 
 class Machine:
@@ -164,15 +161,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         make = _features()
-        for b in batches:
-            made = [make(t or "", c) for t, c in zip(b["text"], b["n_chars"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "row": [i.astype("<i4").tobytes() + x.astype("<f4").tobytes() for i, x in made]})
+        for b in C.slices(batches, "text"):
+            made = [make(t or "", c) for t, c in zip(b.column("text").to_pylist(), b.column("n_chars").to_pylist(), strict=True)]
+            rows = pa.array([i.astype("<i4").tobytes() + x.astype("<f4").tobytes() for i, x in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), rows], ["doc_id", "quality", "row"])
 
     # ``chosen`` has at most ``sample`` rows of two numbers, which bounds the broadcast.
-    rows = docs.select("doc_id", "text", _n_chars(docs).alias("n_chars")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.mapInPandas(features, "doc_id long, quality int, row binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("row").alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _n_chars(docs).alias("n_chars")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), F.coalesce("text", F.lit("")).alias("text"), "n_chars")
+    rows = rows.mapInArrow(features, "doc_id long, quality int, row binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("row").alias("row"))
+    # these are ``sample`` rows at most
+    upto = F.sum(F.length("row")).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.withColumn("__upto", upto).where(F.col("__upto") <= SAMPLE_BYTES).drop("__upto")
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id")
@@ -197,10 +200,10 @@ def score(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
         import pyarrow as pa
 
         make, machine = _features(), Machine(*shared.value)
-        for b in batches:
-            n, texts, chars = b.num_rows, b.column("text").to_pylist(), b.column("__n_chars").to_pylist()
-            got = [machine.scores([make(t or "", c) for t, c in zip(texts[at : at + 512], chars[at : at + 512], strict=True)]) for at in range(0, n, 512)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(got) if got else np.zeros(0))], out.names)
+        for b in C.slices(batches, "text", 2 << 20):
+            texts, chars = b.column("text").to_pylist(), b.column("__n_chars").to_pylist()
+            scores = machine.scores([make(t or "", c) for t, c in zip(texts, chars, strict=True)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], out.names)
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return carried.mapInArrow(run, out).withColumns({"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")})

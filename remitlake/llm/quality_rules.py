@@ -20,14 +20,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
 
-_SYMBOLS = frozenset("#*$%&|<>")
+_SYMBOLS = frozenset(b"#*$%&|<>")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _SPACES = re.compile(r"[\x20\x09-\x0D]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -68,7 +67,8 @@ def repeated_words(words: list[bytes], window: int = 5) -> int:
     return int((np.cumsum(mark[:-1]) > 0).sum())
 
 
-def line_fails(line: str, words: list[str]) -> bool:
+def line_fails(line: str, words: list[bytes]) -> bool:
+    """Whether a line fails by itself; ``words`` are its words between ASCII white space, in UTF-8."""
     n = len(words)
     if not _LETTER.search(line):
         return True
@@ -80,50 +80,56 @@ def line_fails(line: str, words: list[str]) -> bool:
         return False
     if 2 * len(_SYMBOL.findall(line)) > n and 2 * sum(not _SYMBOLS.isdisjoint(w) for w in words) > n:
         return True
-    if ("!!" in line or "??" in line) and 2 * sum(w.endswith(("!!", "??")) for w in words) > n:
+    if ("!!" in line or "??" in line) and 2 * sum(w.endswith((b"!!", b"??")) for w in words) > n:
         return True
     return n >= 8 and 2 * len(set(words)) < n and 2 * sum(a == b for a, b in zip(words, words[1:], strict=False)) > n
 
 
 def judge(text: str, max_loss: float) -> tuple[list[object], list[str]]:
     """Figures of :data:`FIGURES` and the lines that stay."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    n_words, repeats = len(words), repeated_words(words)
+    words: list[bytes] = []
     seen: set[str] = set()
     stays: list[str] = []
     dup = lost = 0
     for line in text.split("\n"):
-        here = line.split()
+        here = line.encode("utf-8", "surrogatepass").split()  # bytes: only ASCII white space splits
         if not here:
             stays.append(line)
             continue
-        again = line in seen and bool(line.encode("utf-8", "surrogatepass").split())
+        words += here
+        again = line in seen
         dup += again
         seen.add(line)
         if (again and len(here) >= 4) or line_fails(line, here):
             lost += len(here)
         else:
             stays.append(line)
+    n_words, repeats = len(words), repeated_words(words)
     base_failed = n_words < 10 or 100 * repeats > 20 * n_words
     kept = not base_failed and lost <= max_loss * n_words
     return [n_words, len(text) - len(_SPACES.findall(text)), len(_SYMBOL.findall(text)), dup, repeats, base_failed, lost, kept], stays
 
 
-def clean(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> DataFrame:
-    """Adds the figures and ``clean_text`` (the lines that stay) to ``docs``."""
+def clean(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5, in_place: bool = False) -> DataFrame:
+    """Adds the figures to ``docs``, and ``clean_text`` (the lines that stay), or puts that in the text's place."""
     names = [x.split()[0] for x in FIGURES.split(", ")]
-    out = T.StructType([*[f for f in docs.schema if f.name not in {*names, "clean_text"}], *T.StructType.fromDDL(FIGURES), T.StructField("clean_text", T.StringType())])
-    carried = docs.select([f.name for f in docs.schema if f.name not in {*names, "clean_text"}])
+    added = names if in_place else [*names, "clean_text"]
+    carried = docs.select([f.name for f in docs.schema if f.name not in added])
+    out = T.StructType([*carried.schema.fields, *T.StructType.fromDDL(FIGURES), *[T.StructField("clean_text", T.StringType())] * (not in_place)])
+    at = carried.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.bool_()]
-        for b in batches:
+        for b in C.slices(batches, text_col):
             judged = [judge(t or "", max_loss) for t in b.column(text_col).to_pylist()]
             cols = [pa.array([x[0][i] for x in judged], kind) for i, kind in enumerate(kinds)]
             texts = pa.array(["\n".join(x[1]) for x in judged], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols, texts], [*b.schema.names, *names, "clean_text"])
+            given = list(b.columns)
+            if in_place:
+                given[at] = texts
+            yield pa.RecordBatch.from_arrays([*given, *cols, *[texts] * (not in_place)], out.names)
 
     return carried.mapInArrow(run, out)
 

@@ -34,12 +34,22 @@ def test_rules_match_brute_force(docs, rows):
         assert r["extra"] == 1 and r["words"] == "x"
 
 
+def test_rules_split_at_ascii_white_space_only(spark):
+    """Lines of other white space hold a word."""
+    text = "\u3000\nsome words stand here between the odd lines of this text\n\u3000\n\u00a0\n\u00a0\n\x1c\n\x1c\x1c\n \t\n \t"
+    rows = [(1, text), (2, text.replace("\n", "\u0085\n")), (3, "a\u00a0b " * 12)]
+    clashing = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, n_words int, clean_text string")
+    for r in quality_rules.clean(clashing).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == _brute(r["text"])
+    assert {r["n_dup_lines"] for r in quality_rules.clean(clashing, in_place=True).where("doc_id = 1").collect()} == {2}
+
+
 def test_rules_lines():
     bad = ["word*** other### more%%% last$$$ end", "Home | About | Contact | Search", "---- 123 ----", "We use cookies to make this better.", "SHOUT!! LOUD!! NOW!! HERE!!", "a a a a a a a a a a a"]
     for line in bad:
-        assert quality_rules.line_fails(line, line.split()), line
+        assert quality_rules.line_fails(line, line.encode().split()), line
     for line in ["A plain sentence of some words, as they come.", "Prices rose by 5% & fell again | later.", "Ja."]:
-        assert not quality_rules.line_fails(line, line.split()), line
+        assert not quality_rules.line_fails(line, line.encode().split()), line
 
 
 def test_cleaning_removes_lines_and_rejects():
@@ -80,6 +90,8 @@ def test_fm_edges(spark, docs, rows, empty):
     out = quality_fm.score(docs, quality_fm.train(docs, labels)).collect()
     assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
     assert [r["held_out"] for r in out if r["doc_id"] is None] == [False]
+    clashing = docs.selectExpr("*", "2 as score", "'h' as held_out", "9 as predicted")
+    assert {r["score"] for r in quality_fm.score(clashing, quality_fm.train(clashing, labels)).collect()} == {r["score"] for r in out}
     none = quality_fm.train(docs, labels.where("false"))
     assert {r["score"] for r in quality_fm.score(docs, none).collect()} == {0.5}
     assert quality_fm.score(empty, none).count() == 0
