@@ -6,6 +6,7 @@ a cent.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from decimal import Decimal
 from itertools import combinations
 
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, ship
 from . import decisions as dec
 
 CENT = Decimal("0.01")
@@ -25,13 +26,37 @@ SUBSETS = [list(c) for n in range(1, 6) for c in combinations(range(5), n)]
 def _upto(rows: DataFrame, credits: DataFrame, value: str, out: str, least: Column) -> DataFrame:
     """For every credit, the first row of its batch whose ``value`` reaches ``least``: an as-of lookup.
 
-    Credits and rows are lined up by value in one window, so nothing is paired.
+    Credits and rows are lined up by value in one window, so nothing is paired. It runs from the
+    largest value down, as Spark goes over each frame that ends with its partition anew.
     """
     line = rows.select("batch", F.col(value).alias("__v"), F.lit(1).alias("__kind"), F.col("doc_id").alias("__id"), F.struct("doc_id", "amount", F.col("pos"), F.col("running")).alias("__row"))
     asked = credits.select("batch", least.cast("decimal(28,2)").alias("__v"), F.lit(0).alias("__kind"), F.col("credit_id").alias("__id"), F.lit(None).cast(line.schema["__row"].dataType).alias("__row"))
-    later = Window.partitionBy("batch").orderBy("__v", "__kind", "__id").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("batch").orderBy(F.desc("__v"), F.desc("__kind"), F.desc("__id")).rowsBetween(Window.unboundedPreceding, -1)
     both = line.withColumn("__v", F.col("__v").cast("decimal(28,2)")).unionByName(asked)
-    return both.withColumn(out, F.first("__row", ignorenulls=True).over(later)).where("__kind = 0").select(F.col("__id").alias("credit_id"), out)
+    return both.withColumn(out, F.last("__row", ignorenulls=True).over(later)).where("__kind = 0").select(F.col("__id").alias("credit_id"), out)
+
+
+def subset_sums(first: Column) -> Column:
+    """(total, n) of the :data:`SUBSETS` of a batch's first invoices, in their order."""
+    masks = F.array(*[F.array(*[F.lit(i) for i in s]) for s in SUBSETS])
+    total = lambda s: F.aggregate(s, F.lit(0).cast("decimal(28,2)"), lambda a, i: (a + F.get(first, i)["amount"]).cast("decimal(28,2)"))
+    return F.filter(F.transform(masks, lambda s: F.struct(total(s).alias("total"), F.size(s).alias("n"))), lambda x: x["total"].isNotNull())
+
+
+def subset_of(sums: Column, amount: Column) -> Column:
+    """The first of :func:`subset_sums` that ``amount`` equals."""
+    return F.get(F.filter(sums, lambda x: F.abs(x["total"] - amount) <= F.lit(CENT)), F.lit(0))
+
+
+def _near(credits: DataFrame, invoices: DataFrame) -> DataFrame:
+    cents = F.col("amount").cast(MONEY) * 100
+    asked = credits.select("credit_id", "batch", F.explode(F.array(cents - 1, cents, cents + 1)).alias("__c"))
+    return asked.join(invoices.select("batch", cents.alias("__c"), F.struct("amount", "doc_id").alias("__i")), ["batch", "__c"])
+
+
+def exact_pairs(credits: DataFrame, invoices: DataFrame) -> DataFrame:
+    """(credit_id, doc_id) of a batch whose amounts agree within a cent: an equi-join on cents."""
+    return _near(credits, invoices).select("credit_id", F.col("__i.doc_id").alias("doc_id"))
 
 
 def match_one(credits: DataFrame, invoices: DataFrame) -> DataFrame:
@@ -42,16 +67,13 @@ def match_one(credits: DataFrame, invoices: DataFrame) -> DataFrame:
     order = Window.partitionBy("batch").orderBy("amount", "doc_id")
     inv = invoices.where(F.col("amount") > F.lit(CENT)).withColumn("pos", F.row_number().over(order)).withColumn("running", F.sum("amount").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     totals = inv.groupBy("batch").agg(F.sum("amount").alias("available"), F.array_sort(F.collect_list(F.when(F.col("pos") <= 5, F.struct("pos", "amount")))).alias("first"))
+    totals = totals.select("batch", "available", subset_sums(F.col("first")).alias("sums"))
     refs = credits.where("ref_number is not null").select("credit_id", "batch", F.upper("ref_number").alias("__r")).join(inv.select("batch", F.upper("doc_id").alias("__r"), F.col("amount").alias("ref_amount")), ["batch", "__r"]).select("credit_id", "ref_amount")
-    cents = F.col("amount").cast("decimal(18,2)") * 100
-    near = credits.select("credit_id", "batch", F.explode(F.array(cents - 1, cents, cents + 1)).alias("__c")).join(inv.select("batch", cents.alias("__c"), F.struct("amount", "doc_id").alias("__i")), ["batch", "__c"])
-    exact = near.groupBy("credit_id").agg(F.count("*").alias("n_exact"), F.min("__i")["amount"].alias("exact_amount"))
+    exact = _near(credits, inv).groupBy("credit_id").agg(F.count("*").alias("n_exact"), F.min("__i")["amount"].alias("exact_amount"))
     c = credits.join(totals, "batch", "left").join(refs, "credit_id", "left").join(exact, "credit_id", "left")
     c = c.join(_upto(inv, credits, "amount", "fit", F.col("amount")), "credit_id", "left").join(_upto(inv, credits, "running", "span", F.col("amount") - F.lit(CENT)), "credit_id", "left")
-    masks = F.array(*[F.array(*[F.lit(i) for i in s]) for s in SUBSETS])
-    total = lambda s: F.aggregate(s, F.lit(0).cast("decimal(28,2)"), lambda a, i: (a + F.get("first", i)["amount"]).cast("decimal(28,2)"))
-    subset = F.get(F.filter(masks, lambda s: F.abs(total(s) - F.col("amount")) <= F.lit(CENT)), F.lit(0))
-    c = c.withColumn("subset", subset)
+    early = F.col("ref_amount").isNotNull() | F.col("n_exact").isNotNull()
+    c = c.withColumn("subset", F.when(~early, subset_of(F.col("sums"), F.col("amount"))))
     rule = (
         F.when(F.col("available").isNull(), "none")
         .when(F.col("amount") > F.col("available") + F.lit(CENT), "exceeds")
@@ -64,8 +86,8 @@ def match_one(credits: DataFrame, invoices: DataFrame) -> DataFrame:
     )
     c = c.withColumn("rule", rule)
     of = lambda **m: F.coalesce(*[F.when(F.col("rule") == k, v) for k, v in m.items()])
-    linked = of(reference=F.lit(1), amount_exact=F.lit(1), amount_exact_many=F.lit(1), amount_subset=F.size("subset"), amount_fit=F.lit(1), amount_span=F.col("span")["pos"])
-    got = of(reference=F.col("ref_amount"), amount_exact=F.col("exact_amount"), amount_exact_many=F.col("exact_amount"), amount_subset=total(F.col("subset")), amount_fit=F.col("amount"), amount_span=F.col("amount"))
+    linked = of(reference=F.lit(1), amount_exact=F.lit(1), amount_exact_many=F.lit(1), amount_subset=F.col("subset")["n"], amount_fit=F.lit(1), amount_span=F.col("span")["pos"])
+    got = of(reference=F.col("ref_amount"), amount_exact=F.col("exact_amount"), amount_exact_many=F.col("exact_amount"), amount_subset=F.col("subset")["total"], amount_fit=F.col("amount"), amount_span=F.col("amount"))
     remaining = F.greatest(F.col("amount") - F.coalesce(got, F.lit(0).cast(MONEY)), F.lit(0).cast(MONEY)).cast(MONEY)
     method = F.when(F.col("rule").isin("none", "exceeds", "unsure"), "manual_review").when(F.col("rule") == "amount_exact_many", "amount_exact").otherwise(F.col("rule"))
     missed = F.col("ref_number").isNotNull() & ~F.col("rule").isin("none", "exceeds", "reference")
@@ -78,34 +100,54 @@ def match_one(credits: DataFrame, invoices: DataFrame) -> DataFrame:
     return c.select("credit_id", "batch", "amount", method.alias("method"), F.coalesce(confidence, F.lit(0)).alias("confidence"), F.coalesce(linked, F.lit(0)).alias("n_linked"), remaining.alias("remaining"), F.array_join(warn, "|").alias("warnings"))
 
 
-def _ladder(credit: int, ref: str | None, names: list[str], left: dict[str, int]) -> tuple[str, list[str], str]:
-    """Method, invoices and warnings of one credit against what invoices have left, in cents."""
-    open_ = sorted((left[n], n) for n in names if left[n] > 1)
-    if not open_:
-        return "manual_review", [], "no_same_supplier_invoices"
-    if credit > sum(a for a, _ in open_) + 1:
-        return "manual_review", [], "credit_exceeds_available_invoices"
-    missed = ""
-    if ref:
-        hit = [n for _, n in open_ if n.upper() == ref.upper()]
-        if hit:
-            return "reference", hit, ""
-        missed = "referenced_invoices_not_in_batch"
-    exact = [n for a, n in open_ if abs(a - credit) <= 1]
-    if exact:
-        return "amount_exact", exact[:1], "|".join(x for x in (missed, "multiple_exact_amount_matches" * (len(exact) > 1)) if x)
-    for s in SUBSETS:
-        if s[-1] < len(open_) and abs(sum(open_[i][0] for i in s) - credit) <= 1:
-            return "amount_subset", [open_[i][1] for i in s], missed
-    for a, n in open_:
-        if a >= credit:
-            return "amount_fit", [n], missed
-    total = 0
-    for k, (a, _) in enumerate(open_, 1):
-        total += a
-        if total + 1 >= credit:
-            return "amount_span", [n for _, n in open_[:k]], missed
-    return "manual_review", [], "|".join(x for x in (missed, "no_confident_match") if x)
+class _Pool:
+    """What invoices of a batch have left, in cents, kept in order of it."""
+
+    def __init__(self, left: dict[str, int]):
+        self.left = left
+        self.open = sorted((a, n) for n, a in left.items() if a > 1)
+        self.total = sum(a for a, _ in self.open)
+        self.by_number: dict[str, list[str]] = {}
+        for n in left:
+            self.by_number.setdefault(n.upper(), []).append(n)
+
+    def take(self, name: str, amount: int) -> None:
+        before = self.left[name]
+        del self.open[bisect_left(self.open, (before, name))]
+        self.total -= before
+        self.left[name] = after = before - amount
+        if after > 1:
+            insort(self.open, (after, name))
+            self.total += after
+
+    def choose(self, credit: int, ref: str | None) -> tuple[str, list[str], str]:
+        """Method, invoices and warnings of a credit."""
+        open_ = self.open
+        if not open_:
+            return "manual_review", [], "no_same_supplier_invoices"
+        if credit > self.total + 1:
+            return "manual_review", [], "credit_exceeds_available_invoices"
+        missed = ""
+        if ref:
+            hit = sorted((self.left[n], n) for n in self.by_number.get(ref.upper(), []) if self.left[n] > 1)
+            if hit:
+                return "reference", [n for _, n in hit], ""
+            missed = "referenced_invoices_not_in_batch"
+        at = bisect_left(open_, (credit - 1, ""))
+        if at < len(open_) and open_[at][0] <= credit + 1:
+            many = at + 1 < len(open_) and open_[at + 1][0] <= credit + 1
+            return "amount_exact", [open_[at][1]], "|".join(x for x in (missed, "multiple_exact_amount_matches" * many) if x)
+        for s in SUBSETS:
+            if s[-1] < len(open_) and abs(sum(open_[i][0] for i in s) - credit) <= 1:
+                return "amount_subset", [open_[i][1] for i in s], missed
+        if (at := bisect_left(open_, (credit, ""))) < len(open_):
+            return "amount_fit", [open_[at][1]], missed
+        total = 0
+        for k, (a, _) in enumerate(open_, 1):
+            total += a
+            if total + 1 >= credit:
+                return "amount_span", [n for _, n in open_[:k]], missed
+        return "manual_review", [], "|".join(x for x in (missed, "no_confident_match") if x)
 
 
 ALLOCATIONS = "batch string, credit_id string, invoice_id string, method string, applied_cents long, remaining_cents long, warnings string"
@@ -115,24 +157,26 @@ def match_batches(credits: DataFrame, invoices: DataFrame) -> DataFrame:
     """Credits of a batch take from what is left of its invoices, the largest first.
 
     The order within a batch is part of the result, so a batch is one group; batches without
-    credits do not take part. A credit that cannot be poured in full is left to review.
+    credits do not take part. A credit that cannot be poured in full is left to review. A task holds
+    the number and amount of each of a batch's invoices; a credit costs a search among them.
     """
+    ship(credits.sparkSession)
+
     def run(cs: pd.DataFrame, inv: pd.DataFrame) -> pd.DataFrame:
-        left = dict(zip(inv["doc_id"], (int(a * 100) for a in inv["amount"]), strict=True))
-        names, out = list(left), []
+        pool, out = _Pool(dict(zip(inv["doc_id"], (int(a * 100) for a in inv["amount"]), strict=True))), []
         rows = sorted(((int(a * 100), c, r) for c, a, r in zip(cs["credit_id"], cs["amount"], cs["ref_number"], strict=True)), key=lambda x: (-x[0], x[1]))
         for amount, credit, ref in rows:
-            method, chosen, warn = _ladder(amount, ref, names, left)
+            method, chosen, warn = pool.choose(amount, ref)
             rest, parts = amount, []
             for n in chosen:
-                take = min(rest, left[n])
+                take = min(rest, pool.left[n])
                 if rest > 1 and take > 1:
                     parts.append((n, take))
                     rest -= take
             if rest > 1 and parts:
                 method, parts, rest, warn = "manual_review", [], amount, "|".join(x for x in (warn, "remaining_credit_unallocated") if x)
             for n, take in parts:
-                left[n] -= take
+                pool.take(n, take)
                 out.append((cs["batch"].iloc[0], credit, n, method, take, rest, warn))
             if not parts:
                 out.append((cs["batch"].iloc[0], credit, None, method, 0, amount, warn))
@@ -213,7 +257,7 @@ def net(allocations: DataFrame, members: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.array_sort(F.collect_list("doc_id")), "|"), 256).alias("digest"),
     )
     due = (F.col("invoices_total") - F.col("credits_applied")).cast("decimal(28,2)")
-    status = F.when(F.col("open_credit"), "manual_review").when(due < -F.lit(CENT), "refund_required").when(due == 0, "zero_amount").otherwise("ok")
+    status = F.when(F.col("open_credit"), "manual_review").when(due < -F.lit(CENT), "refund_required").when(due <= 0, "zero_amount").otherwise("ok")
     return g.select(F.substring("digest", 1, 16).alias("group_id"), "component", "n_invoices", "n_credits", "invoices_total", "credits_total", "credits_applied", due.alias("final_amount_due"), status.alias("status"))
 
 

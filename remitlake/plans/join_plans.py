@@ -220,10 +220,8 @@ def grp_credit_subset(spark, sf):
     c, i, _ = _batched(spark, sf)
     order = Window.partitionBy("batch").orderBy("amount", "doc_id")
     first = i.withColumn("pos", F.row_number().over(order)).where("pos <= 5").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pos", "amount"))).alias("first"))
-    masks = F.array(*[F.array(*[F.lit(x) for x in s]) for s in cr.SUBSETS])
-    total = lambda s: F.aggregate(s, F.lit(0).cast("decimal(28,2)"), lambda a, k: (a + F.get("first", k)["amount"]).cast("decimal(28,2)"))
-    hit = F.get(F.filter(masks, lambda s: F.abs(total(s) - F.col("amount")) <= F.lit(cr.CENT)), F.lit(0))
-    return c.join(first, "batch").select("credit_id", hit.alias("hit")).where("hit is not null").select("credit_id", F.size("hit").alias("n_invoices"))
+    sums = first.select("batch", cr.subset_sums(F.col("first")).alias("sums"))
+    return c.join(sums, "batch").select("credit_id", cr.subset_of(F.col("sums"), F.col("amount"))["n"].alias("n_invoices")).where("n_invoices is not null")
 
 
 @query("jn_credit_reference", w(DOCS, CREDITS, BATCHED) + "SELECT c.credit_id, i.doc_id FROM bc c JOIN bi i ON c.batch = i.batch AND c.ref_number = i.doc_id")

@@ -47,7 +47,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def credits(docs: DataFrame) -> DataFrame:
     """Credit notes; every third one refers to the supplier's next invoice."""
-    later = Window.partitionBy("supplier_id").orderBy("order_id").rangeBetween(1, Window.unboundedFollowing)
+    # from the last order back, as Spark goes over each frame that ends with its partition anew
+    later = Window.partitionBy("supplier_id").orderBy(F.desc("order_id")).rangeBetween(Window.unboundedPreceding, -1)
     ref = F.min(F.when(F.col("doc_type") == "invoice", F.col("order_id"))).over(later)
     return docs.withColumn("ref_order", ref).where("doc_type = 'credit_note'").select(
         F.col("doc_id").alias("credit_id"), "supplier_id", "amount", "doc_date",
