@@ -130,3 +130,11 @@ def first_documents(rows: DataFrame) -> DataFrame:
     by_number = Window.partitionBy("hint", "invoice_number").orderBy("input_pos")
     once = rows.withColumn("__n", F.row_number().over(by_file)).where("__n = 1")
     return once.withColumn("__n", F.row_number().over(by_number)).where("__n = 1").drop("__n")
+
+
+def trace() -> Column:
+    """Why a decided row was decided so, as a JSON text."""
+    text = lambda c: F.col(c).cast("string").alias("value" if c == "amount" else c)
+    amount = F.struct(text("amount"), F.col("amount_status").alias("status"), text("payable"))
+    iban = F.struct((F.trim(F.coalesce("iban", F.lit(""))) != "").alias("present"), F.coalesce(F.col("iban") == F.col("db_iban"), F.lit(False)).alias("matches_master"))
+    return F.to_json(F.struct("decision", "reason_code", amount.alias("amount"), iban.alias("iban"), "term_trusted"))
