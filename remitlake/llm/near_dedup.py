@@ -11,8 +11,8 @@ Documents with equal sets are one class from the start. The buckets of the bands
 expanded into pairs. Every member is compared with a leader of its bucket, and what that links
 is merged into components. Then only pairs across components are left to find:
 
-* where at most ``CROWD`` members lie outside the bucket's main component, those are compared
-  with every member, which is linear in the bucket;
+* where at most ``CROWD`` members (eight times as many in each later round) lie outside the
+  bucket's main component, those are compared with every member, which is linear in the bucket;
 * in other buckets, the crowds, each set is written as its deviations from a centre C, the
   shingles that most of the crowd have (drawn from ``SAMPLE`` members; any set would do): the
   shingles R that it lacks and A that it adds. Two sets share ``|C| - |Ru| - |Rv| + s``
@@ -253,43 +253,56 @@ def centres(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _facing(few, sets, sets.withColumn("part", F.lit(0))).mapInArrow(run, "node long, part int, s binary")
 
 
+def _shared(back: np.ndarray, at: np.ndarray, short: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of the deviations of a whole crowd: those that may bring two members together.
+
+    ``back`` numbers the deviations, ``at`` their places in their members' order, and ``short`` and
+    ``most`` bound the places that count for their members.
+    """
+    is_short, counts = at < short, at < most
+    n_short, n = np.bincount(back, is_short), np.bincount(back, counts)
+    return counts & np.where(is_short, n[back] >= 2, n_short[back] >= 1)
+
+
 def deviations(pairs: DataFrame, sets: DataFrame, heads: DataFrame) -> DataFrame:
-    """(v, u, size, w7, n, n_alone, tokens) of ``pairs`` (u, v, n) with the :func:`centres` of their v.
+    """(v, u, size, w7, n, tokens) of ``pairs`` (u, v, n) with the :func:`centres` of their v.
 
-    ``size`` is the centre's, w7 seven times w, n the number of deviations, ``n_alone`` of those
-    that no other member has (known where a crowd is in one task), and ``tokens`` the others in
-    the crowd's order. Alone ones come first in it and meet nobody.
+    ``size`` is the centre's, w7 seven times w, n the number of deviations. ``tokens`` are
+    deviations with their places in the crowd's order; where a whole crowd is in one task, those
+    that can bring no two members together are left out.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def done(v: int, parts: int, size: int, common: np.ndarray, held: list) -> Iterator[pa.RecordBatch]:
-            every = np.concatenate([x for _, _, x in held])
-            if parts == 1:  # the whole crowd is here
-                values, back, count = np.unique(every, return_inverse=True, return_counts=True)
+        def done(v: int, parts: int, size: int, common: np.ndarray, held: list) -> pa.RecordBatch:
+            n, w7 = np.array([len(x) for _, _, x in held]), np.array([w for _, w, _ in held])
+            every, member = np.concatenate([x for _, _, x in held]), np.repeat(np.arange(len(held)), n)
+            values, back, count = np.unique(every, return_inverse=True, return_counts=True)
+            if parts == 1:
                 rank = count[back]
-            else:
-                values = np.sort(common)
-                at = np.minimum(np.searchsorted(values, every), max(0, len(values) - 1))
-                known = values[at] == every if len(values) else np.zeros(len(every), bool)
-                rank = np.full(len(every), 2)
-                rank[known] = 3 + np.argsort(common)[at[known]]
-            first, names, alone, tokens = 0, ["v", "u", "size", "w7", "n", "n_alone", "tokens"], [], []
-            for _, _, x in held:
-                r = rank[first : first + len(x)]
-                order = np.lexsort((x, r))
-                alone.append(int((r == 1).sum()))
-                tokens.append(x[order][alone[-1] :])
-                first += len(x)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int32()), pa.array(np.concatenate(tokens).view(np.int64)))
-            longs = [[v] * len(held), [u for u, _, _ in held], [size] * len(held), [w for _, w, _ in held], [len(x) for _, _, x in held], alone]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), lists], names)
+            else:  # one order for all tasks of the crowd
+                known = np.sort(common)
+                at = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
+                hit = known[at] == every if len(known) else np.zeros(len(every), bool)
+                rank = np.zeros(len(every), np.int64)
+                rank[hit] = 1 + np.argsort(common)[at[hit]]
+            order = np.lexsort((every, rank, member))
+            at = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+            every, back, kept = every[order], back[order], np.ones(len(every), bool)
+            if parts == 1:
+                short = n - (w7 - w7.min()) // 7
+                long = n - np.maximum(1, -(-(w7 + w7.min() - size) // 7)) + 1
+                kept = _shared(back, at, short[member], np.maximum(short, long)[member])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(member[kept], minlength=len(held)))])
+            tokens = pa.StructArray.from_arrays([pa.array(at[kept], pa.int32()), pa.array(every[kept].view(np.int64))], ["at", "token"])
+            longs = [np.full(len(held), v), np.array([u for u, _, _ in held]), np.full(len(held), size), w7, n]
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)], ["v", "u", "size", "w7", "n", "tokens"])
 
         now, state, held = None, None, []
         for key, heads, u, part, values, ends in _runs(batches):
             if key != now and held:
-                yield from done(*state, held)
+                yield done(*state, held)
             if key != now:
                 now, state, held = key, (key[0], int(part[0]), len(heads[0][0]), heads[1][0]), []
             centre = heads[0][0]
@@ -299,9 +312,9 @@ def deviations(pairs: DataFrame, sets: DataFrame, heads: DataFrame) -> DataFrame
                 added, lost = some[~in_], np.setdiff1d(centre, some[in_], assume_unique=True)
                 held.append((int(u[k]), 4 * len(lost) + 3 * len(added), np.concatenate([added, lost])))
         if held:
-            yield from done(*state, held)
+            yield done(*state, held)
 
-    return _facing(pairs, sets, heads, WIDE).mapInArrow(run, "v long, u long, size long, w7 long, n long, n_alone long, tokens array<long>")
+    return _facing(pairs, sets, heads, WIDE).mapInArrow(run, "v long, u long, size long, w7 long, n long, tokens array<struct<at:int,token:long>>")
 
 
 class _Links:
@@ -336,8 +349,8 @@ def _leaders(members: DataFrame) -> DataFrame:
     return members.join(met, "node").groupBy("key").agg((-F.max(F.struct("met", (-F.col("node")).alias("neg")))["neg"]).alias("lead"))
 
 
-def _open(labelled: DataFrame) -> DataFrame:
-    """Members (key, node, side, component) of buckets that may hold unlinked pairs, with ``few``: whether the member is on the side that all others are compared with, and ``crowd``: whether that side is too large.
+def _open(labelled: DataFrame, crowd: int) -> DataFrame:
+    """Members (key, node, side, component) of buckets that may hold unlinked pairs, with ``few``: whether the member is on the side that all others are compared with, and ``crowd``: whether that side has over ``crowd`` members.
 
     A side of 0 has pairs with all; sides 1 and 2 have pairs with each other only.
     """
@@ -347,7 +360,7 @@ def _open(labelled: DataFrame) -> DataFrame:
     least = F.least("__in", "__out")
     by_side = crossed & (least < aside)
     per = per.where("__parts > 1").where(crossed | (F.col("__in") + F.col("__out") == 0))
-    per = per.select("key", "n", "main", by_side.alias("by_side"), F.when(F.col("__in") <= F.col("__out"), 1).otherwise(2).alias("small"), (F.when(by_side, least).otherwise(aside) > CROWD).alias("crowd"))
+    per = per.select("key", "n", "main", by_side.alias("by_side"), F.when(F.col("__in") <= F.col("__out"), 1).otherwise(2).alias("small"), (F.when(by_side, least).otherwise(aside) > crowd).alias("crowd"))
     few = F.when(F.col("by_side"), F.col("side") == F.col("small")).otherwise(F.col("component") != F.col("main"))
     return labelled.drop("n").join(per, "key").select("key", "node", "side", "component", "n", few.alias("few"), "crowd")
 
@@ -359,33 +372,35 @@ def _across(members: DataFrame) -> DataFrame:
     return u.join(v, "key").where("cu <> cv and (su = 0 or su <> sv) and (not fu or u < v)").select("u", "v", "n")
 
 
-def _split(crowds: DataFrame, leaders: DataFrame, links: _Links) -> DataFrame:
-    """The next buckets (key, node, side, n): members of crowds that share deviations from their centre."""
-    led = crowds.select("key", "node").join(leaders, "key").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
-    crowd = C.materialise(led.join(led.groupBy("v").agg(F.count("*").alias("n")), "v").select("u", "v", "n"), "crowd")
-    found = C.materialise(deviations(crowd, links.sets, C.materialise(centres(crowd, links.sets), "centres")), "deviations")
-    first = found.groupBy("v").agg(F.min(F.struct("w7", "u")).alias("k"), F.count("*").alias("met")).select("v", F.col("k.u").alias("k"), F.col("k.w7").alias("k7"), "met")
-    met = found.select("v", "u").join(first, "v").where("u <> k")
+def _split(crowds: DataFrame, links: _Links) -> DataFrame:
+    """The next buckets (key, node, side, component, n): members of crowds (lead, node, component) that share deviations from their centre.
+
+    Members that are linked with K are in its component.
+    """
+    led = crowds.groupBy(F.col("node").alias("u"), F.col("lead").alias("v")).agg(F.min("component").alias("component"))
+    crowd = C.materialise(led.join(led.groupBy("v").agg(F.count("*").alias("n")), "v").select("u", "v", "component", "n"), "crowd")
+    pairs = crowd.select("u", "v", "n")
+    found = C.materialise(deviations(pairs, links.sets, C.materialise(centres(pairs, links.sets), "centres")), "deviations")
+    of_k = F.min(F.struct("w7", "u", "component"))
+    first = found.join(crowd.select("u", "v", "component"), ["u", "v"]).groupBy("v").agg(of_k.alias("k"), F.count("*").alias("met"))
+    first = C.materialise(first.select("v", F.col("k.u").alias("k"), F.col("k.w7").alias("k7"), F.col("k.component").alias("kc"), "met"), "nearest")
+    met = crowd.select("u", "v", "component").join(first, "v").where("u <> k")
     near = links.add(met.where("k <> v").select("u", F.col("k").alias("v"), F.col("met").alias("n")))
-    # inside: linked with K, by itself or by way of others
-    labelled = links.label(met.select("u", "v", "k").withColumnRenamed("u", "node")).withColumnRenamed("node", "u")
-    of_k = links.label(first.select(F.col("k").alias("node")).distinct()).select(F.col("node").alias("k"), F.col("component").alias("__k"))
     near = near.select("u", F.col("v").alias("k"), F.lit(True).alias("__near"))
-    told = labelled.join(of_k, "k").join(near, ["u", "k"], "left").select("u", "v", ((F.col("component") == F.col("__k")) | F.coalesce("__near", F.lit(False))).alias("inside"))
-    k = found.join(first.select("v", "k7"), "v").join(told, ["u", "v"])
+    inside = (F.col("component") == F.col("kc")) | F.coalesce("__near", F.lit(False))
+    told = met.join(near, ["u", "k"], "left").withColumn("inside", inside).select("u", "v", "k7", "inside", F.when(F.col("inside"), F.col("kc")).otherwise(F.col("component")).alias("component"))
+    k = found.join(told, ["u", "v"])
     short = F.col("n") - F.floor((F.col("w7") - F.col("k7")) / 7)
     long = F.col("n") - F.greatest(F.lit(1), F.ceil((F.col("w7") + F.col("k7") - F.col("size")) / 7)) + 1
     most = F.when(F.col("inside"), short).otherwise(F.greatest(short, long))
-    upto = lambda x: F.greatest(F.lit(0), x - F.col("n_alone")).cast("int")
-    each = k.select("v", F.col("u").alias("node"), "inside", upto(short).alias("short"), F.posexplode(F.slice("tokens", F.lit(1), upto(most))).alias("at", "token"))
-    key = lambda side: F.xxhash64("v", "token", F.lit(side)).alias("key")
+    each = k.select("v", F.col("u").alias("node"), "component", "inside", short.alias("short"), F.inline(F.filter("tokens", lambda x: x["at"] < most)))
     is_short = F.col("at") < F.col("short")
-    apart = each.where(is_short).select(key(0), "node", F.lit(0).alias("side"), "inside")
-    cross = each.where(~F.col("inside") | is_short).select(key(1), "node", F.when(F.col("inside"), 1).otherwise(2).alias("side"), "inside")
-    rows = apart.unionByName(cross)
+    sides = F.array_compact(F.array(F.when(is_short, F.lit(0)), F.when(~F.col("inside"), F.lit(2)).when(is_short, F.lit(1))))
+    rows = each.select("v", "token", "node", "component", "inside", F.explode(sides).alias("side"))
+    rows = rows.select(F.xxhash64("v", "token", (F.col("side") > 0).cast("int")).alias("key"), "node", "side", "component", "inside")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("inside")).alias("__out"), F.first(F.col("side") > 0).alias("__cross"))
     wanted = sizes.where("n > 1 and __out > 0 and not (__cross and __out = n)").select("key", "n")
-    return C.materialise(rows.join(wanted, "key").select("key", "node", "side", "n"), "members")
+    return C.materialise(rows.join(wanted, "key").select("key", "node", "side", "component", "n"), "members")
 
 
 def link(classes: DataFrame, texts_of) -> DataFrame | None:
@@ -400,18 +415,21 @@ def link(classes: DataFrame, texts_of) -> DataFrame | None:
         return None
     sets = C.materialise(full_sets(texts_of(members.select("node").distinct())), "sets")
     links = _Links(sets)
+    leaders = C.materialise(_leaders(members), "leaders")
+    links.add(members.join(leaders, "key").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"), "n"))
+    links.merge()
+    labelled = links.label(members)
     for depth in range(DEPTH):
-        leaders = C.materialise(_leaders(members), "leaders")
-        links.add(members.join(leaders, "key").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"), "n"))
-        links.merge()
-        going = C.materialise(_open(links.label(members)), "open")
+        going = C.materialise(_open(labelled, CROWD << 3 * depth), "open")
         C.discard(members)
         last = depth == DEPTH - 1
         links.add(_across(going if last else going.where("not crowd")))
-        crowds = going.where("crowd")
+        crowds = going.where("crowd").select("key", "node", "component")
         if last or crowds.isEmpty():
             break
-        members = _split(crowds, leaders, links)
+        # later buckets may share a least member, which makes one crowd of them
+        named = leaders if depth == 0 else crowds.groupBy("key").agg(F.min("node").alias("lead"))
+        labelled = members = _split(crowds.join(named, "key"), links)
         if members.isEmpty():
             break
     links.merge()
