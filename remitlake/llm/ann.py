@@ -2,10 +2,12 @@
 
 A bounded sample of the vectors gives a neighbour graph; the graph is cut into balanced parts
 with few neighbours apart, and a small softmax classifier learns where a vector's neighbours
-lie. Every row is indexed under its likeliest part; a query goes to as many of its likeliest
-parts as the sample needed for ``AIM`` recall against brute force, and to more while those hold
-fewer rows than it asks for. Candidates are reranked by the exact inner product in double
-precision, summed component by component.
+lie. Where ``MAX_PARTS`` parts would be too large, each part is cut again by a graph and a
+classifier of its own, so that leaves stay at about ``PART_ROWS`` rows up to ``MAX_PARTS`` squared
+of them. Every row is indexed under its likeliest leaf; a query goes to as many of its likeliest
+parts and leaves as the samples needed for ``AIM`` recall against brute force, and to more while
+those hold fewer rows than it asks for. Candidates are reranked by the exact inner product in
+double precision, summed component by component.
 
 Of equal vectors only the ``k + 1`` smallest ids can be among anyone's ``k`` nearest, so the
 others are left out before the search: a vector of which there are very many copies makes no
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bounds on the vectors that the index is fitted on and on its parts, and the recall aimed at.
-SAMPLE, MAX_PARTS, PART_ROWS, AIM = 8192, 256, 1000, 0.95
+#: Bounds on the vectors that one classifier is fitted on, on its parts and on the bytes of all
+#: classifiers, the rows of a leaf, and the recall aimed at.
+SAMPLE, MAX_PARTS, MODEL_BYTES, PART_ROWS, AIM = 8192, 256, 64 << 20, 1000, 0.95
 BLOCK = 4096
 
 
@@ -170,61 +173,132 @@ def nearest_in(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataF
     return pd.DataFrame({"qkey": queries["qkey"].to_numpy(), "ids": [ids[j[x]] for x in spans], "scores": [score[x] for x in spans]})
 
 
+class Tree:
+    """Classifiers of one or two levels, and the leaves that they lead to."""
+
+    def __init__(self, top: tuple[np.ndarray, int], below: dict[int, tuple[np.ndarray, int]]):
+        self.top, self.below = top, below
+        counts = [below[j][0].shape[1] if j in below else 1 for j in range(top[0].shape[1])]
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.leaves = int(self.first[-1])
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest leaf of every row."""
+        part = probabilities(x, self.top[0]).argmax(1)
+        leaf = self.first[part]
+        for j in np.unique(part):
+            if j in self.below:
+                some = part == j
+                leaf[some] += probabilities(x[some], self.below[j][0]).argmax(1)
+        return leaf
+
+    def route(self, x: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of the leaves that rows go to; they hold ``least`` rows at least, if all do."""
+        n, p = len(x), probabilities(x, self.top[0])
+        order = np.argsort(-p, axis=1, kind="stable")
+        in_part = np.add.reduceat(sizes, self.first[:-1])
+        enough = (np.cumsum(in_part[order], axis=1) < least).sum(1) + 1
+        take = np.minimum(p.shape[1], np.maximum(self.top[1], enough))
+        asked = np.zeros(p.shape, bool)
+        np.put_along_axis(asked, order, np.arange(p.shape[1]) < take[:, None], 1)
+        rows, leaves = [], []
+        for j in range(p.shape[1]):
+            some = np.flatnonzero(asked[:, j])
+            if not len(some):
+                continue
+            if j not in self.below:
+                rows.append(some)
+                leaves.append(np.full(len(some), self.first[j]))
+                continue
+            w, probes = self.below[j]
+            own = sizes[self.first[j] : self.first[j + 1]]
+            inner = np.argsort(-probabilities(x[some], w), axis=1, kind="stable")
+            more = (np.cumsum(own[inner], axis=1) < least).sum(1) + 1
+            i, k = np.nonzero(np.arange(len(own)) < np.minimum(len(own), np.maximum(probes, more))[:, None])
+            rows.append(some[i])
+            leaves.append(self.first[j] + inner[i, k])
+        return (np.concatenate(rows), np.concatenate(leaves)) if n else (np.zeros(0, int), np.zeros(0, int))
+
+
+def grow(rows: DataFrame, n: int, k: int, sample: int, part_rows: int) -> Tree:
+    """Fits the classifiers; what comes to the driver is bounded by :data:`MODEL_BYTES`."""
+    want = max(1, n // part_rows)
+    parts = want if want <= MAX_PARTS else min(MAX_PARTS, int(np.ceil(want**0.5)))
+    aim = AIM if want <= MAX_PARTS else AIM**0.5
+    spread = F.xxhash64("vec_id")
+
+    def train(group: pd.DataFrame, parts: int) -> pd.DataFrame:
+        w, probes = fit(_matrix(group.sort_values("vec_id")["v"]), parts, k, aim)
+        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "probes": [probes], "w": [w.astype("<f8").tobytes()], "width": [w.shape[1]]})
+
+    def read(r) -> tuple[np.ndarray, int]:
+        return np.frombuffer(r["w"], "<f8").reshape(-1, r["width"]).copy(), r["probes"]
+
+    kept = "part int, probes int, w binary, width int"
+    # At most ``sample`` rows meet in one task, and one row of weights comes back.
+    chosen = rows.orderBy(spread, "vec_id").limit(sample).withColumn("part", F.lit(0))
+    model = chosen.groupBy("part").applyInPandas(lambda g: train(g, parts), kept).collect()
+    top = read(model[0]) if model else (np.zeros((1, 1)), 1)
+    below = int(min(MAX_PARTS, -(-want // parts), MODEL_BYTES // (8 * top[0].shape[0] * parts)))
+    if want <= MAX_PARTS or top[0].shape[1] == 1 or below < 2:
+        return Tree(top, {})
+    upper = Tree(top, {})
+
+    def place(batches):
+        for b in batches:
+            yield b.assign(part=upper.place(_matrix(b["v"])).astype("int32"))
+
+    placed = rows.mapInPandas(place, "vec_id long, v array<double>, part int")
+    order = Window.partitionBy("part").orderBy(spread, "vec_id")
+    few = placed.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample).drop("__n")
+    found = few.groupBy("part").applyInPandas(lambda g: train(g, below), kept).collect()
+    return Tree(top, {r["part"]: read(r) for r in found})
+
+
 def search(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest rows found for every row with ``is_query``."""
+    spark = vectors.sparkSession
     rows = C.materialise(vectors, "vectors")
-    n = rows.count()
-    parts = int(min(MAX_PARTS, max(1, n // part_rows)))
-    spread = lambda: F.xxhash64("vec_id")
-
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        w, probes = fit(_matrix(group.sort_values("vec_id")["v"]), parts, k)
-        return pd.DataFrame({"probes": [probes], "parts": [w.shape[1]], "w": [w.astype("<f8").tobytes()]})
-
-    # At most ``sample`` rows meet in one task, and one row of weights comes back.
-    model = rows.orderBy(spread(), "vec_id").limit(sample).groupBy(F.lit("all")).applyInPandas(train, "probes int, parts int, w binary").collect()
-    probes, parts, w = (model[0]["probes"], model[0]["parts"], np.frombuffer(model[0]["w"], "<f8").reshape(-1, model[0]["parts"])) if model else (1, 1, np.zeros((1, 1)))
-    w = w.copy()
+    tree = grow(rows, rows.count(), k, sample, part_rows)
 
     def place(batches):
         for b in batches:
-            p = probabilities(_matrix(b["v"]), w)
-            yield b.assign(part=p.argmax(1).astype("int32"))
+            yield b.assign(part=tree.place(_matrix(b["v"])).astype("int32"))
 
     same = Window.partitionBy("__h", "v").orderBy("vec_id")
     few = rows.withColumn("__h", F.xxhash64("v")).withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k + 1).select("vec_id", "v")
     index = C.materialise(few.mapInPandas(place, "vec_id long, v array<double>, part int"), "index")
-    sizes = np.zeros(parts, np.int64)
-    for r in index.groupBy("part").count().collect():  # at most MAX_PARTS rows
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in index.groupBy("part").count().collect():  # at most MAX_PARTS squared rows of two numbers
         sizes[r["part"]] = r["count"]
     blocks = np.maximum(1, -(-sizes // BLOCK))
 
     def route(batches):
-        for b in batches:
-            p = probabilities(_matrix(b["v"]), w)
-            order = np.argsort(-p, axis=1, kind="stable")
-            enough = (np.cumsum(sizes[order], axis=1) < k + 1).sum(1) + 1
-            take = np.minimum(parts, np.maximum(probes, enough))
-            i = np.repeat(np.arange(len(b)), take)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(take) - take, take)
-            out = pd.DataFrame({"qkey": b["qkey"].to_numpy()[i], "v": b["v"].to_numpy()[i], "part": order[i, j].astype("int32")})
-            copies = blocks[out["part"]]
-            out = out.loc[out.index.repeat(copies)].reset_index(drop=True)
-            out["block"] = (np.arange(len(out)) - np.repeat(np.cumsum(copies) - copies, copies)).astype("int32")
-            yield out[["qkey", "v", "part", "block"]]
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                b = whole.iloc[at : at + 512]
+                i, leaf = tree.route(_matrix(b["v"]), sizes, k + 1)
+                copies = blocks[leaf]
+                i, leaf = np.repeat(i, copies), np.repeat(leaf, copies)
+                block = np.arange(len(i)) - np.repeat(np.cumsum(copies) - copies, copies)
+                yield pd.DataFrame({"qkey": b["qkey"].to_numpy()[i], "v": b["v"].to_numpy()[i], "part": leaf.astype("int32"), "block": block.astype("int32")})
 
     asked = C.materialise(rows.where(is_query).withColumn("__h", F.xxhash64("v")), "queries")
     distinct = asked.groupBy("__h", "v").agg(F.min("vec_id").alias("qkey"))
-    # Queries of a part go to it in blocks as well.
-    q_blocks = int(max(1, -(-asked.count() * probes // (parts * BLOCK))))
-    routed = distinct.select("qkey", "v").mapInPandas(route, "qkey long, v array<double>, part int, block int").withColumn("q_block", F.pmod(F.xxhash64("qkey"), F.lit(q_blocks)).cast("int"))
-    n_blocks = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), F.col("part") + 1)
-    held = index.withColumn("block", F.pmod(spread(), n_blocks).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    routed = C.materialise(distinct.select("qkey", "v").mapInPandas(route, "qkey long, v array<double>, part int, block int"), "routed")
+    # Queries of a leaf go to it in blocks as well.
+    q_blocks = max(1, -(-routed.count() // (int(blocks.sum()) * BLOCK)))
+    routed = routed.withColumn("q_block", F.pmod(F.xxhash64("qkey"), F.lit(q_blocks)).cast("int"))
+    cut = spark.createDataFrame(list(zip(range(len(blocks)), blocks.tolist(), strict=True)), "part int, __blocks int")
+    held = index.join(F.broadcast(cut), "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("__blocks")).cast("int")).drop("__blocks")
+    held = held.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     key = ["part", "block", "q_block"]
     found = routed.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(lambda a, b: nearest_in(a, b, k + 1), "qkey long, ids array<long>, scores array<double>")
-    # one row per query, part and block
+    # one row per query, leaf and block; the best of a few leaves first, so that no list grows with their number
     pairs = F.zip_with("scores", "ids", lambda x, i: F.struct((-x).alias("neg"), i.alias("vec_id"), x.alias("score")))
-    best = found.groupBy("qkey").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k + 1).alias("best"))
+    merge = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k + 1)
+    some = found.withColumn("__few", F.pmod(F.xxhash64("qkey", "ids"), F.lit(max(1, tree.leaves // 64)))).groupBy("qkey", "__few").agg(merge(pairs).alias("best"))
+    best = some.groupBy("qkey").agg(merge(F.col("best")).alias("best"))
     # Back to every query row; its own row goes.
     own = asked.join(distinct, ["__h", "v"]).select(F.col("vec_id").alias("query_id"), "qkey").join(best, "qkey")
     others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)

@@ -76,8 +76,8 @@ def _table(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def _recall(got, rows):
-    ok = {i: np.array(v, np.float64) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v) and len(v) == 16}
+def _recall(got, rows, width=16):
+    ok = {i: np.array(v, np.float64) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v) and len(v) == width}
     ids = np.array(sorted(ok))
     x, hit, total, per = np.array([ok[i] for i in ids]), 0, 0, {}
     for r in got:
@@ -105,6 +105,29 @@ def test_ann_recall(spark):
     assert _recall(got, rows) >= 0.9
 
 
+def test_ann_two_levels(spark, monkeypatch):
+    """Sixty and more leaves below a few parts."""
+    monkeypatch.setattr(ann, "MAX_PARTS", 16)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(np.float32(z)) for z in centres[i % 40] + 0.3 * rng.normal(size=16)], 0) for i in range(6000)]
+    table = ann.valid_vectors(_table(spark, rows))
+    tree = ann.grow(table, 6000, 20, ann.SAMPLE, 90)
+    assert tree.leaves >= 50 and len(tree.below) > 1
+    x = np.array([r[1] for r in rows])
+    assert np.bincount(tree.place(x), minlength=tree.leaves).max() < 1000
+    got = ann.search(table, F.col("vec_id") % 20 == 0, part_rows=90).collect()
+    assert _recall(got, rows) >= 0.9
+
+
+def test_ann_many_parts(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16))
+    rows = [(i, [float(np.float32(z)) for z in centres[i % 60] + 0.3 * rng.normal(size=16)], 0) for i in range(5500)]
+    got = ann.search(ann.valid_vectors(_table(spark, rows).selectExpr("*", "1 as rank", "2D as score", "'x' as part")), F.col("vec_id") % 20 == 0, part_rows=100).collect()
+    assert _recall(got, rows) >= 0.9
+
+
 def test_ann_edges(spark):
     rnd = random.Random(2)
     vec = lambda: [rnd.uniform(-1, 1) for _ in range(16)]
@@ -123,3 +146,6 @@ def test_given_vectors(spark, sf_dir):
     rows = [(r["vec_id"], list(r["embedding"]), 0) for r in e.collect()]
     n = e.where("vec_id % 20 = 0").count()
     assert len(got) == n * min(20, len(rows) - 1)
+    for part_rows in (ann.PART_ROWS, max(1, len(rows) // 50)):
+        got = ann.search(ann.valid_vectors(e), F.col("vec_id") % 20 == 0, part_rows=part_rows).collect()
+        assert _recall(got, rows, len(rows[0][1])) >= 0.9
