@@ -178,3 +178,73 @@ def with_master(found: DataFrame, master: DataFrame) -> DataFrame:
     strong = found.where(F.col("source").isin("label_block_same_line", "label_same_line", "ref_slash_customer", "header_table_customer")).groupBy("doc_id", F.col("value").alias("code")).agg(F.max("confidence").alias("__c"))
     own = master.where(F.trim(F.coalesce("code", F.lit(""))) != "").select("doc_id", F.trim("code").alias("code")).join(strong, ["doc_id", "code"], "left")
     return found.unionByName(own.select("doc_id", F.lit(None).cast("int").alias("line_no"), F.col("code").alias("value"), F.lit("db_master").alias("source"), F.greatest(F.lit(88), F.coalesce("__c", F.lit(0))).alias("confidence")))
+
+
+# Layouts of invoice numbers beside other cells, and lines that begin with a date.
+LAYOUTS = (
+    ("factuur_inline_pagina", 86, r"(?i)\bFactuur\s+([A-Za-z0-9][A-Za-z0-9/-]{4,})\s+Pagina\b"),
+    ("reg_invoice_row", 86, r"(?i)^\s*(REG[A-Z0-9][A-Z0-9/-]*\d+)\b"),
+    ("nummer_inv", 88, r"(?i)\bNummer\s+(INV-[A-Za-z0-9-]+)\b"),
+    ("nummer_reg", 88, r"(?i)\bNummer\s+(REG[A-Z0-9][A-Z0-9/-]*\d+)\b"),
+    ("invoice_only_line", 87, r"(?i)\bINVOICE\s+([A-Za-z0-9][A-Za-z0-9/-]+)"),
+)
+CUSTOMER_LAYOUTS = (("customer_standalone_line", 87, r"^Customer\s+(\d{4,12})\b"), ("pipe_suffix_customer", 85, r"(?i)\|\s*([A-Z]\d{4,8})\b"))
+DATED_LINE = r"^\s*\d{1,2}/\d{1,2}/\d{4}\s+([A-Za-z0-9][A-Za-z0-9/-]{4,})\s"
+TWO_PARTS = (r"(?i)\bVorgangsnummer\s*:?\s*(\d{2,})\b", r"(?i)\bBelegnummer\s*:?\s*(\d{4}-\d{3,})\b")
+LEGACY = {"confirmed": "high", "tentative": "medium", "ambiguous": "ambiguous", "failed": "missing"}
+
+
+def _by_patterns(line_table: DataFrame, rules) -> DataFrame:
+    def hits_of(source: str, trust: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda v: _found(v, source, trust))
+
+    return line_table.select("doc_id", "line_no", F.inline(F.flatten(F.array(*[hits_of(*r) for r in rules]))))
+
+
+def invoice_layouts(line_table: DataFrame) -> DataFrame:
+    return _by_patterns(line_table, LAYOUTS).where(plausible_number(F.col("value")))
+
+
+def customer_layouts(line_table: DataFrame) -> DataFrame:
+    return _by_patterns(line_table, CUSTOMER_LAYOUTS)
+
+
+def _after_date(line: Column) -> Column:
+    value = F.regexp_extract(F.coalesce(line, F.lit("")), DATED_LINE, 1)
+    return F.when((value != "") & plausible_number(value), value)
+
+
+def dated_numbers(line_table: DataFrame) -> DataFrame:
+    """Numbers after a date: on the three lines under a head with date and number (87 less 2 a line), and on any line (79)."""
+    head = F.col("line").rlike(r"(?i)\bdatum\b") & F.col("line").rlike(r"(?i)\bnummer\b")
+    below = F.transform(F.slice("after", 1, 3), lambda x, j: _found(_after_date(x), "datum_nummer_table", 85 - 2 * j))
+    here = F.array(_found(_after_date(F.col("line")), "date_invoice_line", 79))
+    found = F.filter(F.concat(F.when(head, below).otherwise(F.slice(here, 1, 0)), here), lambda x: x["value"].isNotNull())
+    return line_table.select("doc_id", "line_no", F.inline(found))
+
+
+def two_part_numbers(line_table: DataFrame) -> DataFrame:
+    """(doc_id, value) of two labelled numbers put together, each from its first line."""
+    part = lambda p: F.min(F.when(F.regexp_extract("line", p, 1) != "", F.struct("line_no", F.regexp_extract("line", p, 1).alias("v"))))["v"]
+    both = line_table.groupBy("doc_id").agg(part(TWO_PARTS[0]).alias("a"), part(TWO_PARTS[1]).alias("b")).where("a is not null and b is not null")
+    return both.select("doc_id", F.concat_ws(" ", "a", "b").alias("value"))
+
+
+def secondary(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Amount results (doc_id, value, status) with the second text's where the first failed and the second is sure."""
+    s = second.where("status in ('confirmed', 'tentative') and value is not null").select("doc_id", F.col("value").alias("__v"), F.col("status").alias("__s"))
+    j = first.join(s, "doc_id", "left")
+    taken = (F.col("status") == "failed") & F.col("__s").isNotNull()
+    return j.select("doc_id", F.when(taken, F.col("__v")).otherwise(F.col("value")).alias("value"), F.when(taken, F.col("__s")).otherwise(F.col("status")).alias("status"), F.when(taken, "secondary").otherwise("primary").alias("source"))
+
+
+def legacy_confidence(status: Column) -> Column:
+    return F.coalesce(*[F.when(status == k, v) for k, v in LEGACY.items()], F.lit("missing"))
+
+
+def suspicious_dates(line_table: DataFrame, dates: DataFrame) -> DataFrame:
+    """(doc_id) of documents (doc_id, invoice_date) whose date stands on a line about the due date."""
+    due = line_table.where(F.col("line").rlike(r"(?i)verval|due|\bbis\b|30\s*tage"))
+    iso = F.try_to_date(F.regexp_extract("line", r"\b(\d{4}-\d{2}-\d{2})\b", 1), "yyyy-MM-dd")
+    day = F.try_to_date(F.regexp_extract("line", r"\b(\d{2}-\d{2}-\d{4})\b", 1), "dd-MM-yyyy")
+    return due.join(dates, "doc_id").where((F.col("invoice_date") == iso) | (F.col("invoice_date") == day)).select("doc_id").distinct()

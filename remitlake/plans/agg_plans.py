@@ -369,10 +369,9 @@ def snk_sepa_rows(spark, sf):
 
 @query("snk_sepa_batch", FULL + "SELECT doc_date AS execution_date, count(*) AS n_transactions, CAST(sum(payable) AS DECIMAL(28,2)) AS control_sum, min(doc_id) AS first_id FROM decided WHERE doc_type='invoice' AND decision='included' GROUP BY 1")
 def snk_sepa_batch(spark, sf):
-    """One payment block per execution date, with its transactions nested."""
+    """Head of the payment block of every execution date; its transactions are written by :mod:`remitlake.sources.transfers`."""
     p = _decided(spark, sf).where("decision = 'included'")
-    blocks = p.groupBy(F.col("doc_date").alias("execution_date")).agg(F.count("*").alias("n_transactions"), F.sum("payable").cast("decimal(28,2)").alias("control_sum"), F.array_sort(F.collect_list(F.struct("doc_id", "iban", "payable"))).alias("tx"))
-    return blocks.select("execution_date", "n_transactions", "control_sum", F.col("tx")[0]["doc_id"].alias("first_id"))
+    return p.groupBy(F.col("doc_date").alias("execution_date")).agg(F.count("*").alias("n_transactions"), F.sum("payable").cast("decimal(28,2)").alias("control_sum"), F.min("doc_id").alias("first_id"))
 
 
 @query("snk_export_log", FULL + "SELECT CAST(year(doc_date) AS INT) AS file_no, doc_id, payable AS amount, CAST(count(*) OVER (PARTITION BY year(doc_date)) AS BIGINT) AS n_payments FROM decided WHERE doc_type='invoice' AND decision='included'")

@@ -92,11 +92,14 @@ def jn_alias_token(spark, sf):
 
 @query("jn_fuzzy_name")
 def jn_fuzzy_name(spark, sf):
-    """Similarity of a part's name to its neighbours' within a brand: a block, then the ratio."""
-    p = fx.table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"), "p_brand", "p_type")
-    q = p.select(F.col("p_partkey").alias("other"), F.col("name").alias("other_name"), "p_brand", "p_type")
-    pairs = p.join(q, ["p_brand", "p_type"]).where("p_partkey < other").select("p_partkey", "other", "name", "other_name")
-    return suppliers.fuzzy_ratio(pairs, "name", "other_name", "ratio").select("p_partkey", "other", F.round("ratio", 4).alias("ratio"), (F.col("ratio") >= 0.85).alias("similar"))
+    """Similarity of a document's hint and the names of the suppliers it shares an identifier with, where the alias missed.
+
+    Documents are blocked with suppliers by identifiers, so a hint is compared with a few names.
+    Names here differ in their number, so hints have a letter of theirs changed.
+    """
+    ids = _ids(spark, sf).withColumn("hint", F.regexp_replace("hint", "upp", "up"))
+    pairs = suppliers.score(ids, fx.suppliers(spark, sf)).where("not alias_match").select("doc_id", "supplier_id", F.lower("hint").alias("hint"), F.lower("s_name").alias("name"))
+    return suppliers.fuzzy_ratio(pairs, "hint", "name", "ratio").select("doc_id", "supplier_id", F.round("ratio", 4).alias("ratio"), (F.col("ratio") >= 0.85).alias("similar"))
 
 
 @query("jn_new_supplier", w(SUP, DOCS, ROWS) + "SELECT iban, CAST(count(*) AS BIGINT) AS n_docs FROM rws WHERE iban IS NOT NULL AND iban NOT IN (SELECT iban FROM sup WHERE supplier_id % 5 <> 0) AND iban NOT LIKE '%BANC%' GROUP BY iban")

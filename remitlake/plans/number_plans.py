@@ -159,3 +159,70 @@ def set_merge_resolved(spark, sf):
 def jn_db_override(spark, sf):
     texts = _layouts(spark, sf)
     return nb.with_master(_customer(nb.lines(texts)), texts.select("doc_id", F.col("customer_code").alias("code"))).select(*COLS)
+
+
+def _more(spark, sf):
+    """Texts with numbers beside other cells, after dates, in two parts, or none."""
+    d = fx.documents(spark, sf)
+    k, n, lit = F.col("order_id") % 10, F.lpad(F.col("order_id").cast("string"), 6, "0"), F.lit
+    day, dash = F.date_format("doc_date", "dd/MM/yyyy"), F.date_format("doc_date", "dd-MM-yyyy")
+    text = (
+        F.when(k == 0, F.concat(lit("Datum Nummer Bedrag\n"), day, lit(" F"), n, lit(" 10,00"))).when(k == 1, F.concat(lit("Datum Nummer\n\n"), day, lit(" 2024 x\n"), day, lit(" G-"), n, lit(" x"))).when(k == 2, F.concat(day, lit(" F"), n, lit(" iets\nVervaldatum "), dash))
+        .when(k == 3, F.concat(lit("FACTUUR F"), n, lit(" Pagina 1\nCustomer 12"), n)).when(k == 4, F.concat(lit("Nummer INV-"), n, lit("\nRef | K"), n)).when(k == 5, F.concat(lit("INVOICE F"), n, lit(" due 30 days\n30 Tage bis "), F.date_add("doc_date", 1).cast("string")))
+        .when(k == 6, F.concat(lit("Nummer REG"), n)).when(k == 7, F.concat(lit("  REG"), n, lit(" rest\nVervalt "), F.col("doc_date").cast("string"))).when(k == 8, F.concat(lit("Vorgangsnummer: 668\nBelegnummer 2025-"), n, lit("\nBelegnummer 2026-1111"))).otherwise(F.concat(lit("Belegnummer 2025-"), n))
+    )
+    return d.select("doc_id", "order_id", "doc_date", "amount", text.alias("text"))
+
+
+MORE = """mo AS (SELECT doc_id, order_id, doc_date, amount, CASE order_id % 10 WHEN 0 THEN concat('Datum Nummer Bedrag', chr(10), dd, ' F', n, ' 10,00') WHEN 1 THEN concat('Datum Nummer', chr(10), chr(10), dd, ' 2024 x', chr(10), dd, ' G-', n, ' x') WHEN 2 THEN concat(dd, ' F', n, ' iets', chr(10), 'Vervaldatum ', strftime(doc_date, '%d-%m-%Y'))
+  WHEN 3 THEN concat('FACTUUR F', n, ' Pagina 1', chr(10), 'Customer 12', n) WHEN 4 THEN concat('Nummer INV-', n, chr(10), 'Ref | K', n) WHEN 5 THEN concat('INVOICE F', n, ' due 30 days', chr(10), '30 Tage bis ', CAST(CAST(doc_date + 1 AS DATE) AS VARCHAR)) WHEN 6 THEN concat('Nummer REG', n) WHEN 7 THEN concat('  REG', n, ' rest', chr(10), 'Vervalt ', CAST(doc_date AS VARCHAR))
+  WHEN 8 THEN concat('Vorgangsnummer: 668', chr(10), 'Belegnummer 2025-', n, chr(10), 'Belegnummer 2026-1111') ELSE concat('Belegnummer 2025-', n) END AS text FROM (SELECT *, lpad(CAST(order_id AS VARCHAR), 6, '0') AS n, strftime(doc_date, '%d/%m/%Y') AS dd FROM docs))"""
+M = w(DOCS, MORE)
+
+
+@query("ex_invoice_layouts", M + r"""SELECT doc_id, unnest(regexp_extract_all(text, p, 1)) AS value, source, CAST(c AS INT) AS confidence FROM mo, (VALUES ('factuur_inline_pagina', 86, '(?i)\bFactuur\s+([A-Za-z0-9][A-Za-z0-9/-]{4,})\s+Pagina\b'), ('reg_invoice_row', 86, '(?im)^\s*(REG[A-Z0-9][A-Z0-9/-]*\d+)\b'), ('nummer_inv', 88, '(?i)\bNummer\s+(INV-[A-Za-z0-9-]+)\b'), ('nummer_reg', 88, '(?i)\bNummer\s+(REG[A-Z0-9][A-Z0-9/-]*\d+)\b'), ('invoice_only_line', 87, '(?i)\bINVOICE\s+([A-Za-z0-9][A-Za-z0-9/-]+)')) v(source, c, p)""")
+def ex_invoice_layouts(spark, sf):
+    return nb.invoice_layouts(nb.lines(_more(spark, sf))).select(*COLS)
+
+
+@query("ex_customer_layouts", M + r"SELECT doc_id, value, source, CAST(c AS INT) AS confidence FROM (SELECT doc_id, regexp_extract(text, '(?m)^Customer (\d{4,12})\b', 1) AS value, 'customer_standalone_line' AS source, 87 AS c FROM mo UNION ALL SELECT doc_id, regexp_extract(text, '\| (K\d{4,8})\b', 1), 'pipe_suffix_customer', 85 FROM mo) WHERE value <> ''")
+def ex_customer_layouts(spark, sf):
+    return nb.customer_layouts(nb.lines(_more(spark, sf))).select(*COLS)
+
+
+@query("ex_date_number_table", M + r"""SELECT doc_id, value, source, CAST(confidence AS INT) AS confidence FROM (SELECT doc_id, regexp_extract(text, '\d{2}/\d{2}/\d{4} ([FG][0-9-]+) ', 1) AS value, unnest(CASE WHEN text LIKE 'Datum%' THEN ['datum_nummer_table', 'date_invoice_line'] ELSE ['date_invoice_line'] END) AS source,
+  unnest(CASE WHEN text LIKE 'Datum%' THEN [CASE WHEN order_id % 10 = 0 THEN 85 ELSE 81 END, 79] ELSE [79] END) AS confidence FROM mo WHERE regexp_matches(text, '\d{2}/\d{2}/\d{4} [FG]'))""")
+def ex_date_number_table(spark, sf):
+    return nb.dated_numbers(nb.lines(_more(spark, sf))).select(*COLS)
+
+
+@query("ex_two_part_number", M + r"SELECT doc_id, concat(regexp_extract(text, 'Vorgangsnummer: (\d+)', 1), ' ', regexp_extract(text, 'Belegnummer (\S+)', 1)) AS value FROM mo WHERE text LIKE '%Vorgangsnummer%'")
+def ex_two_part_number(spark, sf):
+    return nb.two_part_numbers(nb.lines(_more(spark, sf)))
+
+
+@query("ex_date_suspicious", M + "SELECT doc_id FROM mo WHERE order_id % 10 IN (2, 7)")
+def ex_date_suspicious(spark, sf):
+    """Dates on a line about the due date; such a line with another date is no reason."""
+    t = _more(spark, sf)
+    return nb.suspicious_dates(nb.lines(t), t.select("doc_id", F.col("doc_date").alias("invoice_date")))
+
+
+STATES = "CASE order_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'tentative' ELSE 'confirmed' END"
+
+
+def _results(spark, sf, shift: int):
+    k = (F.col("order_id") + shift) % 4 if shift == 0 else (F.col("order_id") / 4 + shift).cast("long") % 4
+    status = F.when(k == 0, "failed").when(k == 1, "ambiguous").when(k == 2, "tentative").otherwise("confirmed")
+    return fx.documents(spark, sf).select("doc_id", F.when(status != "failed", F.col("amount") + shift).cast("decimal(18,2)").alias("value"), status.alias("status"))
+
+
+@query("ex_amount_secondary", w(DOCS) + "SELECT doc_id, CASE WHEN taken THEN CAST(amount + 1 AS DECIMAL(18,2)) WHEN s <> 'failed' THEN amount END AS value, CASE WHEN taken THEN t ELSE s END AS status, CASE WHEN taken THEN 'secondary' ELSE 'primary' END AS source FROM (SELECT *, s = 'failed' AND t IN ('tentative', 'confirmed') AS taken FROM (SELECT *, " + STATES + " AS s, CASE (order_id // 4 + 1) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'tentative' ELSE 'confirmed' END AS t FROM docs))")
+def ex_amount_secondary(spark, sf):
+    return nb.secondary(_results(spark, sf, 0), _results(spark, sf, 1))
+
+
+@query("ex_amount_legacy", w(DOCS) + "SELECT doc_id, CASE WHEN s IN ('confirmed', 'tentative') THEN amount END AS amount, CASE s WHEN 'confirmed' THEN 'high' WHEN 'tentative' THEN 'medium' WHEN 'ambiguous' THEN 'ambiguous' ELSE 'missing' END AS confidence FROM (SELECT *, " + STATES + " AS s FROM docs)")
+def ex_amount_legacy(spark, sf):
+    r = _results(spark, sf, 0)
+    return r.select("doc_id", F.when(F.col("status").isin("confirmed", "tentative"), F.col("value")).alias("amount"), nb.legacy_confidence(F.col("status")).alias("confidence"))
