@@ -108,7 +108,7 @@ class ByteLevel:
         self.code = "H" if self.width == 2 else "I"
         self.specials = [t.content for t in tok.get_added_tokens_decoder().values()]
         self.words = _Words(tok.model, self.code)
-        self.cache = ChunkCache(self._chunks)
+        self.cache = ChunkCache(self._chunks, limit=400_000)
 
     @staticmethod
     def fits(tok) -> bool:
