@@ -47,7 +47,7 @@ from .components import components
 
 BANDS, ROWS, CIRCLE, LONG = 32, 4, 1 << 20, 1 << 17
 CROWD, SAMPLE, DEPTH = 32, 64, 6
-#: Members that meet one leader in one task, when they are compared with it and when they are written as deviations.
+#: Members that meet one leader in one task, when they are compared with it and (of 4 KB each) when they are written as deviations.
 BLOCK, WIDE = 1024, 1 << 14
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -380,7 +380,11 @@ def _split(crowds: DataFrame, links: _Links) -> DataFrame:
     led = crowds.groupBy(F.col("node").alias("u"), F.col("lead").alias("v")).agg(F.min("component").alias("component"))
     crowd = C.materialise(led.join(led.groupBy("v").agg(F.count("*").alias("n")), "v").select("u", "v", "component", "n"), "crowd")
     pairs = crowd.select("u", "v", "n")
-    found = C.materialise(deviations(pairs, links.sets, C.materialise(centres(pairs, links.sets), "centres")), "deviations")
+    heads = C.materialise(centres(pairs, links.sets), "centres")
+    # a task takes fewer members where their sets are large: about 64 MB
+    heavy = heads.where("part = 0").select(F.col("node").alias("v"), F.greatest(F.lit(1), F.ceil(F.length("s") / 4096)).alias("__f"))
+    weighed = pairs.join(heavy, "v").select("u", "v", (F.col("n") * F.col("__f")).alias("n"))
+    found = C.materialise(deviations(weighed, links.sets, heads), "deviations")
     of_k = F.min(F.struct("w7", "u", "component"))
     first = found.join(crowd.select("u", "v", "component"), ["u", "v"]).groupBy("v").agg(of_k.alias("k"), F.count("*").alias("met"))
     first = C.materialise(first.select("v", F.col("k.u").alias("k"), F.col("k.w7").alias("k7"), F.col("k.component").alias("kc"), "met"), "nearest")
