@@ -37,10 +37,26 @@ def test_pieces_are_decoded_and_compared(spark, docs):
     assert all(r["lossless"] is (r["decoded"] == (r["text"] or "")) for r in rows)
 
 
-def test_edges(spark, docs, empty, sf_dir):
-    for given in (docs, empty):
-        last = [out for _, out in _stages(spark, given, sf_dir)][-1]
-        assert last.count() >= 0
+def test_edges(spark, docs, rows, empty, sf_dir):
+    """Nulls, repeated rows, copies, a very long text and columns that clash go through all stages."""
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault(i, t)
+    given, left = set(texts), {}
+    for name, out in _stages(spark, docs, sf_dir):
+        got = out.collect()
+        left[name] = {r["doc_id"] for r in got}
+        assert left[name] <= given, name
+        assert out.columns == (COLUMNS if name != "piece encoding" else ["doc_id", "source", "n_pieces", "piece_ids", "lossless"])
+        given = left[name]
+    # without a word, or with fewer than ten
+    assert not left["quality rules"] & {300, 301, 302, 303}
+    assert {None, 400} <= left["quality rules"]
+    # copies and near copies of one text: the least id that is left
+    family = left["quality classifier"] & {*range(100, 106), 200, 201, 202}
+    assert left["near duplicates"] & {*range(100, 106), 200, 201, 202} == ({min(family)} if family else set())
+    assert all(r["lossless"] and r["n_pieces"] == len(r["piece_ids"]) > 0 for r in got)
+    assert [out.count() for _, out in _stages(spark, empty, sf_dir)] == [0] * len(corpus_pipeline.STAGES)
 
 
 def test_names():
