@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-
 # Phrases of the base scan and public license notices, as plain text.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = (
@@ -213,6 +211,33 @@ def candidates(hits: DataFrame, k: int, slack: int, share: float) -> DataFrame:
     return merged.where(F.col("votes") >= share * (F.get(sizes, F.col("template")) - k + 1)).select("doc_id", "__t", "template", "diagonals")
 
 
+def verified_notices(pairs: DataFrame, least: float) -> DataFrame:
+    """(doc_id, __t, span) of candidates (doc_id, __t, text, template, diagonals) that hold ``least`` of the template's words on their diagonals and no qualifier that it has not."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        templates = [(label, _words(t)) for label, t in TEMPLATES]
+        qualifiers = {q.encode() for q in QUALIFIERS}
+        for b in C.slices(batches, "text"):
+            kept, spans = [], []
+            for row, (text, template, diagonals) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "template", "diagonals")), strict=True)):
+                words, (label, wanted) = _words(text), templates[template]
+                places = [next((i + d for d in diagonals if 0 <= i + d < len(words) and words[i + d] == w), None) for i, w in enumerate(wanted)]
+                places = [p for p in places if p is not None]
+                if len(places) < least * len(wanted):
+                    continue
+                first, last = min(places), max(places)
+                if qualifiers.intersection(words[first : last + 1]).difference(wanted):
+                    continue
+                kept.append(row)
+                spans.append({"label": label, "identity": len(places) / len(wanted), "first_word": first, "last_word": last})
+            span = pa.struct([("label", pa.string()), ("identity", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(kept, pa.int64())) for c in ("doc_id", "__t")), pa.array(spans, span)], ["doc_id", "__t", "span"])
+
+    return pairs.mapInArrow(run, f"doc_id long, __t long, span {SPAN}")
+
+
 def scan(docs: DataFrame, k: int = 3, slack: int = 3, share: float = 0.3, least: float = 0.9, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id and the columns of the scan.
 
@@ -230,19 +255,7 @@ def scan(docs: DataFrame, k: int = 3, slack: int = 3, share: float = 0.3, least:
     size = diagonals.agg(F.sum(48 + 8 * F.size("diagonals"))).first()[0] or 0
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(C.text_or_empty()).alias("__t"), C.text_or_empty().alias("text"))
     pairs = keyed.alias("x").join(F.broadcast(diagonals.alias("c")) if size <= broadcast_bytes else diagonals.alias("c"), F.col("x.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("x.__t") == F.col("c.__t")))
-    capitals = "".join(map(chr, range(65, 91)))
-    words = F.regexp_extract_all(F.translate("text", capitals, capitals.lower()), F.lit(WORD), F.lit(0))
-    texts = F.array(*[F.array(*[F.lit(w.decode()) for w in _words(t)]) for _, t in TEMPLATES])
-    labels = F.array(*[F.lit(label) for label, _ in TEMPLATES])
-    pairs = pairs.select(F.col("x.doc_id"), F.col("x.__t"), F.get(labels, F.col("template")).alias("label"), words.alias("words"), F.get(texts, F.col("template")).alias("template_words"), "diagonals")
-    # Of each word of the template, the place in the text where one of the diagonals has it.
-    place = lambda t, i: F.get(F.filter(F.transform("diagonals", lambda d: i + d), lambda p: F.get("words", p) == t), F.lit(0))
-    met = pairs.select("doc_id", "__t", "label", "words", "template_words", F.array_compact(F.transform("template_words", place)).alias("places"))
-    met = met.withColumn("identity", F.size("places") / F.size("template_words")).where(F.col("identity") >= least)
-    first, last = F.array_min("places"), F.array_max("places")
-    spanned = F.slice("words", first + 1, last - first + 1)
-    foreign = F.array_except(F.array_intersect(F.array(*[F.lit(q) for q in QUALIFIERS]), spanned), "template_words")
-    long = met.where(F.size(foreign) == 0).select("doc_id", "__t", F.struct("label", "identity", first.cast("long").alias("first_word"), last.cast("long").alias("last_word")).cast(SPAN).alias("span"))
+    long = verified_notices(pairs.select("x.doc_id", "x.__t", "text", "template", "diagonals"), least)
     # rows that agree in doc_id and text find the same, once each
     verified = long.groupBy("doc_id", "__t").agg(F.collect_set("span").alias("__long"))
     both = base.alias("b").join(verified.alias("v"), F.col("b.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("b.__t") == F.col("v.__t")), "left")
