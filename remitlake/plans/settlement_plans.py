@@ -113,7 +113,7 @@ def flt_exportable_group(spark, sf):
 @query("snk_transfer_files", FULL_GROUPS + """, paid AS (SELECT g.component, g.final_amount_due, min(m.supplier_id) AS supplier_id, min(d.doc_date) AS execution_date FROM grouped g JOIN members m ON g.component = m.component JOIN docs d ON m.doc_id = d.doc_id WHERE g.status = 'ok' AND g.final_amount_due > 0 AND g.decision = 'included' AND NOT g.open_credit GROUP BY 1, 2)
   SELECT execution_date, count(*) AS n_transactions, CAST(sum(final_amount_due) AS DECIMAL(28,2)) AS control_sum, CAST(count(DISTINCT iban) AS BIGINT) AS n_accounts FROM paid JOIN sup ON paid.supplier_id = sup.supplier_id GROUP BY 1""")
 def snk_transfer_files(spark, sf):
-    """Exportable groups are written as transfer files, one folder per date; the files are read back and summed."""
+    """Exportable groups are written as transfer files; these are read back and summed by date."""
     members = _members(spark, sf)
     dated = members.join(fx.documents(spark, sf).select("doc_id", "doc_date"), "doc_id").groupBy("component").agg(F.min("supplier_id").alias("supplier_id"), F.min("doc_date").alias("execution_date"), F.array_join(F.array_sort(F.collect_list("doc_id")), " + ").alias("numbers"))
     paid = st.exportable(_grouped(spark, sf)).join(dated, "component").join(fx.suppliers(spark, sf), "supplier_id")

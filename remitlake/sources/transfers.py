@@ -1,4 +1,4 @@
-"""Transfer files: credit transfers as XML lines, one folder per execution date, in the shared folder."""
+"""Transfer files: credit transfers as XML lines in order of their execution dates, in the shared folder."""
 
 from __future__ import annotations
 
@@ -26,14 +26,16 @@ def write(rows: DataFrame, path: str | None = None) -> str:
     path = path or new_path(rows.sparkSession, "transfers")
     remittance = clean(F.col("remittance"), REMITTANCE)
     checked = F.when(remittance == "", F.raise_error(F.lit("a transfer has no remittance"))).otherwise(remittance)
-    parts = [("EndToEndId", F.col("end_to_end")), ("InstdAmt", F.col("amount").cast("decimal(28,2)").cast("string")), ("Nm", clean(F.col("creditor"), CREDITOR)), ("IBAN", F.regexp_replace("iban", r"\s", "")), ("Ustrd", F.replace(checked, F.lit("'"), F.lit("&apos;")))]
+    parts = [("ReqdExctnDt", F.col("execution_date").cast("string")), ("EndToEndId", F.col("end_to_end")), ("InstdAmt", F.col("amount").cast("decimal(28,2)").cast("string")), ("Nm", clean(F.col("creditor"), CREDITOR)), ("IBAN", F.regexp_replace("iban", r"\s", "")), ("Ustrd", F.replace(checked, F.lit("'"), F.lit("&apos;")))]
     line = element("CdtTrfTxInf", F.concat(*[element(n, v) for n, v in parts]))
-    rows.select("execution_date", line.alias("value")).write.partitionBy("execution_date").text(path)
+    # a file holds a range of dates; a date that has very many transfers is split
+    dealt = rows.select("execution_date", "end_to_end", line.alias("value")).repartitionByRange("execution_date", "end_to_end")
+    dealt.sortWithinPartitions("execution_date", "end_to_end").select("value").write.text(path)
     return path
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The transfers of a folder."""
-    got = spark.read.schema("value string, execution_date date").text(path)
+    got = spark.read.schema("value string").text(path)
     of = lambda name: F.regexp_extract("value", f"<{name}>(.*?)</{name}>", 1)
-    return got.select("execution_date", of("EndToEndId").alias("end_to_end"), of("Nm").alias("creditor"), of("IBAN").alias("iban"), of("InstdAmt").cast("decimal(28,2)").alias("amount"), F.replace(of("Ustrd"), F.lit("&apos;"), F.lit("'")).alias("remittance"))
+    return got.select(of("ReqdExctnDt").cast("date").alias("execution_date"), of("EndToEndId").alias("end_to_end"), of("Nm").alias("creditor"), of("IBAN").alias("iban"), of("InstdAmt").cast("decimal(28,2)").alias("amount"), F.replace(of("Ustrd"), F.lit("&apos;"), F.lit("'")).alias("remittance"))
