@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, ship, shared_dir  # noqa: F401
+
 #: Words of the mixing, near-duplicate and quality contracts: runs of anything but ASCII white space.
 SPACE_WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -20,22 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only for a local master without that setting."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/remitlake-{uuid.uuid4().hex}/{name}"
-
-
 def materialise(df: DataFrame, name: str, sort: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later reads start from files."""
     spark = df.sparkSession
@@ -53,20 +34,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_remitlake_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "remitlake.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(target)
-    sc._remitlake_shipped = True
-
-
 _kept: dict[str, object] = {}
 
 
