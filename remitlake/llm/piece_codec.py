@@ -79,7 +79,7 @@ class Codec:
         self.hashes, self.hash_ids = hashes[order], np.array(list(self.pieces.values()))[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-        self.limit = 1_500_000
+        self.limit = 1_000_000
         self._forget()
 
     @staticmethod
@@ -275,7 +275,7 @@ def encode(docs: DataFrame, vocabulary: str, alpha: float = 1.0, seed: int = 11,
         import pyarrow as pa
 
         codec = _codec(vocabulary, alpha, seed)
-        for b in C.slices(batches, "text", 2 << 20):
+        for b in C.slices(batches, "text", 1 << 20):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = codec.sample(texts, b.column("__key").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
@@ -314,7 +314,7 @@ def round_trip(docs: DataFrame, vocabulary: str, alpha: float = 1.0, seed: int =
         import pyarrow as pa
 
         codec = _codec(vocabulary, alpha, seed)
-        for b in C.slices(batches, "text", 2 << 20):
+        for b in C.slices(batches, "text", 1 << 20):
             texts, n, ids_crc, text_crc, same = b.column("text").to_pylist(), [], [], [], []
             for t, ids in zip(texts, codec.sample(texts, b.column("__key").to_pylist()), strict=True):
                 back = codec.decode(ids)
