@@ -23,14 +23,17 @@ is merged into components. Then only pairs across components are left to find:
   pair meets in the first ``|D(v)| - floor(w(v) - w(K))`` ones of v (prefix filter). Members that
   share one of those are the next, much smaller buckets.
 
-No pair that shares a band and passes the threshold is lost on the way; only sharing no band
+A bucket with over ``PAIRS`` such pairs is a crowd in any round, unless ``CROWD`` members at most lie
+outside. No pair that shares a band and passes the threshold is lost on the way; only sharing no band
 loses a pair (at the threshold, with a chance of 5e-6 for independent coordinates). Buckets that
-are still crowded after ``DEPTH`` rounds are compared in full.
+are still crowded after ``DEPTH`` rounds are compared in full, in slices of about ``PAIRS`` pairs each,
+of which only the links stay.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and stays; texts
 of under 5 words have one shingle; a null doc_id has a null component and stays; rows that
-share doc_id and text are one document; an empty table gives an empty result; extra columns
-are carried along by :func:`drop_near_duplicates` and ignored elsewhere.
+share a doc_id are one document, which is linked with whatever any of its texts is linked with
+(its rows have one component); an empty table gives an empty result; extra columns are carried
+along by :func:`drop_near_duplicates` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ from .components import components
 
 BANDS, ROWS, CIRCLE, LONG = 32, 4, 1 << 20, 1 << 17
 CROWD, SAMPLE, DEPTH = 32, 64, 6
+#: Pairs of one bucket, and of one job of the last round, at most.
+PAIRS = 1 << 24
 #: Members that meet one leader in one task, when they are compared with it and (of 4 KB each) when they are written as deviations.
 BLOCK, WIDE = 1024, 1 << 14
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -360,18 +365,29 @@ def _open(labelled: DataFrame, crowd: int) -> DataFrame:
     least = F.least("__in", "__out")
     by_side = crossed & (least < aside)
     per = per.where("__parts > 1").where(crossed | (F.col("__in") + F.col("__out") == 0))
-    per = per.select("key", "n", "main", by_side.alias("by_side"), F.when(F.col("__in") <= F.col("__out"), 1).otherwise(2).alias("small"), (F.when(by_side, least).otherwise(aside) > crowd).alias("crowd"))
+    per = per.select("key", "n", "main", by_side.alias("by_side"), F.when(F.col("__in") <= F.col("__out"), 1).otherwise(2).alias("small"), F.when(by_side, least).otherwise(aside).alias("__few"))
+    crowded = (F.col("__few") > crowd) | ((F.col("__few") > CROWD) & (F.col("__few").cast("double") * F.col("n") > PAIRS))
+    per = per.withColumn("crowd", crowded).drop("__few")
     few = F.when(F.col("by_side"), F.col("side") == F.col("small")).otherwise(F.col("component") != F.col("main"))
     return labelled.drop("n").join(per, "key").select("key", "node", "side", "component", "n", few.alias("few"), "crowd")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs across components of buckets, each with a v of the few."""
+def _across(members: DataFrame, of="few") -> DataFrame:
+    """Pairs across components of buckets, each with a v of the few (or of those that ``of`` chooses)."""
     u = members.select("key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("side").alias("su"), F.col("few").alias("fu"), "n")
-    v = members.where("few").select("key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("side").alias("sv"))
+    v = members.where(of).select("key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("side").alias("sv"))
     return u.join(v, "key").where("cu <> cv and (su = 0 or su <> sv) and (not fu or u < v)").select("u", "v", "n")
 
 
+def _in_full(crowds: DataFrame, links: _Links) -> None:
+    """Pairs across components of crowds, as many at a time as keep the output of a job near ``PAIRS``."""
+    whole = crowds.groupBy("key").agg((F.count_if("few") * F.count("*").cast("double")).alias("pairs")).agg(F.sum("pairs")).first()[0]
+    slices = int(-(-whole // PAIRS))
+    at = F.pmod(F.xxhash64("key", "node"), F.lit(slices))
+    for k in range(slices):
+        links.add(_across(crowds, F.col("few") & (at == k)))
+
+
 def _split(crowds: DataFrame, links: _Links) -> DataFrame:
     """The next buckets (key, node, side, component, n): members of crowds (lead, node, component) that share deviations from their centre.
 
@@ -426,10 +442,12 @@ def link(classes: DataFrame, texts_of) -> DataFrame | None:
     for depth in range(DEPTH):
         going = C.materialise(_open(labelled, CROWD << 3 * depth), "open")
         C.discard(members)
-        last = depth == DEPTH - 1
-        links.add(_across(going if last else going.where("not crowd")))
+        links.add(_across(going.where("not crowd")))
         crowds = going.where("crowd").select("key", "node", "component")
-        if last or crowds.isEmpty():
+        if crowds.isEmpty():
+            break
+        if depth == DEPTH - 1:
+            _in_full(going.where("crowd"), links)
             break
         # later buckets may share a least member, which makes one crowd of them
         named = leaders if depth == 0 else crowds.groupBy("key").agg(F.min("node").alias("lead"))
@@ -441,24 +459,44 @@ def link(classes: DataFrame, texts_of) -> DataFrame | None:
     return links.labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, set_digest, component_id, kept."""
-    rows = C.materialise(sketches(docs), "sketches")
+def _of_unique(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (their sketches) with component_id, where documents have ids of their own."""
     full = rows.where("set_digest is not null and doc_id is not null")
     classes = C.materialise(full.groupBy("set_digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         found = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
         counts = rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-        return found if counts.isEmpty() else found.dropDuplicates(["node", "text"])
+        return found if counts.isEmpty() else found.dropDuplicates(["node"])
 
     labels = link(classes.select("node", "bands"), texts_of)
     nodes = classes.select("set_digest", "node")
     if labels is not None:
         nodes = nodes.join(labels, "node", "left").select("set_digest", F.coalesce("component", "node").alias("node"))
     out = rows.select("doc_id", "n_shingles", "set_digest").join(nodes, "set_digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))
-    out = out.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")))
+
+
+def _of_shared(docs: DataFrame) -> DataFrame:
+    """The same where documents have several texts: texts get ids of their own, and a document brings the components of its texts together."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text")
+    texts = C.materialise(C.materialise(texts, "texts").withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+    found = C.materialise(_of_unique(texts, C.materialise(sketches(texts), "sketches")).join(texts.select("doc_id", "__doc"), "doc_id"), "found")
+    least = found.groupBy("component_id").agg(F.min("__doc").alias("__least"))
+    named = found.join(least, "component_id")
+    edges = named.where("__doc <> __least").select(F.col("__doc").alias("u"), F.col("__least").alias("v"))
+    merged = components(edges).select(F.col("node").alias("__doc"), F.col("component").alias("__c"))
+    out = found.join(merged, "__doc", "left").withColumn("component_id", F.coalesce("__c", "__doc"))
+    return out.select(F.col("__doc").alias("doc_id"), "n_shingles", "set_digest", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, set_digest, component_id, kept."""
+    rows = C.materialise(sketches(docs), "sketches")
+    digest = F.coalesce("set_digest", F.lit(b""))
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b")
+    out = _of_unique(docs, rows) if several.isEmpty() else _of_shared(docs)
+    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "set_digest", "component_id", "kept")
 
 

@@ -152,3 +152,32 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)] + [(200, 200 + k) for k in range(1, 30)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {got[i] for i in range(41)} == {0} and got[103] == 100 and got[229] == 200
+
+
+def test_documents_of_several_texts(spark):
+    """Rows that share a doc_id are one document, whether their texts have exact copies, near copies or none."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    a, b, c, d = (prose(60) for _ in range(4))
+    near = lambda t, k: " ".join(w if i != k else "edited" for i, w in enumerate(t.split()))
+    rows = [(1, a), (2, b), (5, a), (5, b), (7, near(b, 3)), (8, c), (8, None), (9, near(c, 7)), (10, ""), (11, d), (11, prose(60)), (11, d), (12, c), (12, a), (None, d), (None, a), (13, prose(40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as component_id", "'x' as node", "2 as n_shingles")
+    _check(df, rows)
+    left = near_dedup.drop_near_duplicates(df).collect()
+    assert sorted({r["doc_id"] for r in left if r["doc_id"] is not None}) == [1, 10, 11, 13]
+
+
+def test_last_round_goes_in_slices(spark, monkeypatch):
+    """Buckets that stay crowded are compared in full, a few pairs at a time, without a loss."""
+    monkeypatch.setattr(near_dedup, "CROWD", 0)
+    monkeypatch.setattr(near_dedup, "DEPTH", 1)
+    monkeypatch.setattr(near_dedup, "PAIRS", 300)
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(80)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(80)] = f"new{rng.random()}"
+        rows.append((i, " ".join(words)))
+    _check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
