@@ -15,8 +15,9 @@ hot part. Equal query vectors are searched once.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, have a null
 vec_id or another length than most take no part, neither as queries nor as candidates; of rows
-with one vec_id the smallest vector counts; ties go to the smaller vec_id; an empty table gives
-an empty result; extra columns are ignored.
+with one vec_id the smallest vector counts; ties go to the smaller vec_id; a product beyond the range
+of doubles is infinite and one without a value (infinities of both signs) is the least; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,6 +89,19 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
     return label
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, without overflow on the way."""
+    most = np.abs(x).max(1, initial=0)
+    return most * np.linalg.norm(x / np.where(most > 0, most, 1)[:, None], axis=1)
+
+
+def shortened(x: np.ndarray, most: float) -> np.ndarray:
+    """Rows of a length over ``most`` are brought to it."""
+    n = lengths(x)
+    long = n > most
+    return np.where(long[:, None], x / np.where(long, n, 1)[:, None] * most, x) if long.any() else x
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -111,13 +125,15 @@ def learn(x: np.ndarray, target: np.ndarray, epochs: int = 40, rate: float = 0.0
 
 
 def probabilities(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return softmax(x @ w[:-1] + w[-1])
+    return softmax(shortened(x, 1e100) @ w[:-1] + w[-1])
 
 
 def fit(x: np.ndarray, parts: int, k: int, aim: float = AIM) -> tuple[np.ndarray, int]:
     """Weights of the classifier and the number of parts to probe."""
-    scale = max(1e-300, float(np.median(np.linalg.norm(x, axis=1))))
-    x = x / scale
+    n = lengths(x)
+    scale = float(np.median(n) or n.max(initial=0)) or 1.0
+    # rows that are longer than most by many orders of magnitude keep their direction
+    x = shortened(shortened(x, 1e150 * min(1.0, scale)) / scale, 1e100)
     if parts == 1 or len(x) < 4 * k:
         return np.zeros((x.shape[1] + 1, 1)), 1
     graph = neighbours(x, k)
@@ -126,6 +142,7 @@ def fit(x: np.ndarray, parts: int, k: int, aim: float = AIM) -> tuple[np.ndarray
     np.add.at(target, (np.repeat(np.arange(len(x)), k), label[graph].ravel()), 1 / k)
     # Every eighth vector stays out of the fit and measures the recall for each number of probes.
     test = np.arange(len(x)) % 8 == 0
+    x = shortened(x, 1e3)
     w = learn(x[~test], target[~test])
     p = probabilities(x, w)
     place = np.argsort(np.argsort(-p[test], axis=1), axis=1)  # rank of each part for a query
@@ -143,9 +160,10 @@ def _matrix(col) -> np.ndarray:
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, summed component by component."""
     out = np.zeros(len(q))
-    for d in range(q.shape[1]):
-        out += q[:, d] * x[:, d]
-    return out
+    with np.errstate(all="ignore"):
+        for d in range(q.shape[1]):
+            out += q[:, d] * x[:, d]
+    return np.where(np.isnan(out), -np.inf, out)
 
 
 def nearest_in(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -154,12 +172,18 @@ def nearest_in(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataF
         return pd.DataFrame({"qkey": pd.Series(dtype="int64"), "ids": pd.Series(dtype="object"), "scores": pd.Series(dtype="object")})
     q, x, ids = _matrix(queries["v"]), _matrix(members["v"]), members["vec_id"].to_numpy()
     rows, cols = [], []
+    # matrix products round differently from sums in order; neither is further from the true product than this
+    slack = 4 * np.finfo(np.float64).eps * q.shape[1]
+    q_long, x_long = lengths(q), lengths(x)
     for at in range(0, len(q), 256):
-        s = q[at : at + 256] @ x.T
+        with np.errstate(all="ignore"):
+            s = q[at : at + 256] @ x.T
+            off = slack * q_long[at : at + 256, None] * x_long
+            low, high = s - off, s + off
         if k < len(x):
-            least = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
-            # matrix products round differently from sums in order: keep all within that of the last place
-            i, j = np.nonzero(s >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+            sure = np.where(np.isnan(low), -np.inf, low)
+            least = np.partition(sure, len(x) - k, axis=1)[:, len(x) - k]
+            i, j = np.nonzero((high >= least[:, None]) | np.isnan(high))
         else:
             i, j = np.nonzero(np.ones_like(s, bool))
         rows.append(i + at)

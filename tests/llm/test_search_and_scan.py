@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from remitlake.llm import ann, common, license_scan
@@ -149,3 +150,28 @@ def test_given_vectors(spark, sf_dir):
     for part_rows in (ann.PART_ROWS, max(1, len(rows) // 50)):
         got = ann.search(ann.valid_vectors(e), F.col("vec_id") % 20 == 0, part_rows=part_rows).collect()
         assert _recall(got, rows, len(rows[0][1])) >= 0.9
+
+
+@pytest.mark.parametrize("odd", [1e160, 1e-160, 1e300])
+def test_vectors_of_any_size(spark, odd):
+    """A vector far longer or shorter than the others, and all vectors so, end no search; tails of products count by their own size."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2500, 12))
+    x[100] *= odd
+    for rows in (x, x * (odd if odd < 1e200 else 1.0)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+        got = ann.search(ann.valid_vectors(df), F.col("vec_id") % 500 == 0, 5, part_rows=500).collect()
+        assert len(got) == 25
+        by = {(r["query_id"], r["vec_id"]): r["score"] for r in got}
+        with np.errstate(all="ignore"):
+            for q in range(0, 2500, 500):
+                s = ann._exact(np.repeat(rows[q][None], len(rows), 0), rows)
+                s[q] = -np.inf
+                assert sorted((by[k] for k in by if k[0] == q), reverse=True)[0] <= s.max()
+                assert all(by[q, j] == s[j] for i, j in by if i == q)
+
+
+def test_equal_vectors(spark):
+    df = spark.createDataFrame([(i, [0.5, 1.0]) for i in range(3000)], "vec_id long, embedding array<double>")
+    got = ann.search(ann.valid_vectors(df), F.col("vec_id") % 1000 == 0, 3, part_rows=500).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(q, k + 1, v) for q in (0, 1000, 2000) for k, v in enumerate([x for x in range(4) if x != q][:3])]
