@@ -284,7 +284,7 @@ def srt_groups(spark, sf):
 
 @query("srt_ui_amount", w(DOCS) + "SELECT doc_id, CAST(row_number() OVER (ORDER BY amount DESC, doc_date, doc_id) AS INT) AS place FROM docs QUALIFY place <= 100")
 def srt_ui_amount(spark, sf):
-    """The first hundred by amount and date as typed columns, as a table view shows them."""
+    """Narrow form, as its SQL fixes it: the first hundred by amount and date; ``srt_ui_amount_all`` places all documents."""
     top = fx.documents(spark, sf).orderBy(F.desc("amount"), "doc_date", "doc_id").limit(100)
     return top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("amount"), "doc_date", "doc_id")).alias("place"))
 

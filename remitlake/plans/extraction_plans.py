@@ -160,6 +160,7 @@ SCORE = "CASE WHEN doc_type='credit_note' THEN 70 ELSE 0 END + CASE WHEN order_i
 
 @query("fn_credit_score", R + f"SELECT doc_id, CAST(least(100, CASE WHEN doc_type <> 'credit_note' AND order_id % 8 = 5 THEN greatest(0, {SCORE} - 30) ELSE {SCORE} END) AS INT) AS score FROM rich")
 def fn_credit_score(spark, sf):
+    """Narrow form: a part of the wording; ``fn_credit_signals`` has all of it."""
     return rich(spark, sf).select("doc_id", credit_text.score(F.col("text")).alias("score"))
 
 
@@ -173,6 +174,7 @@ def fn_doc_type(spark, sf):
 
 @query("fn_credit_refs", R + "SELECT doc_id, concat('INV', CAST(order_id AS VARCHAR)) AS refs FROM rich WHERE doc_type='credit_note'")
 def fn_credit_refs(spark, sf):
+    """Narrow form: a part of the wording; ``fn_credit_parents`` has all of it."""
     return rich(spark, sf).where("doc_type = 'credit_note'").select("doc_id", F.array_join(credit_text.references(F.col("text")), ",").alias("refs"))
 
 

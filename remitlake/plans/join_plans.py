@@ -236,7 +236,7 @@ def jn_credit_reference(spark, sf):
 
 @query("jn_credit_exact", w(DOCS, CREDITS, BATCHED) + "SELECT c.credit_id, i.doc_id FROM bc c JOIN bi i ON c.batch = i.batch AND abs(c.amount - i.amount) <= 1000")
 def jn_credit_exact(spark, sf):
-    """Band join by amount: both sides are dealt into bands as wide as the tolerance."""
+    """Band join by amount: both sides are dealt into bands as wide as the tolerance, which its SQL fixes at 1000; ``jn_credit_exact_cents`` has one cent."""
     c, i, _ = _batched(spark, sf)
     band = F.floor(F.col("amount") / 1000)
     left = c.select("credit_id", "batch", "amount", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
@@ -266,7 +266,7 @@ def win_span_prefix(spark, sf):
 
 @query("win_allocation_fill", w(DOCS, CREDITS, BATCHED) + """SELECT c.credit_id, i.doc_id, CAST(least(i.amount, c.amount - (i.running - i.amount)) AS DECIMAL(18,2)) AS applied FROM (SELECT batch, min_by(credit_id, (-amount, credit_id)) AS credit_id, max(amount) AS amount FROM bc GROUP BY batch) c JOIN bi i ON c.batch = i.batch WHERE i.running - i.amount < c.amount""")
 def win_allocation_fill(spark, sf):
-    """A batch's largest credit is poured over its invoices in order."""
+    """Narrow form, as its SQL fixes it: a batch's largest credit is poured over its invoices in order; ``win_allocation_pour`` pours all."""
     from pyspark.sql import Window
 
     c, i, _ = _batched(spark, sf)
