@@ -6,7 +6,7 @@ them, so that no rule joins or sorts lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Wording of labels, numbers, table heads and contexts, with the rules' confidences.
@@ -46,6 +46,9 @@ def lines(texts: DataFrame) -> DataFrame:
     return each.select("doc_id", "line_no", "line", F.slice("__l", F.col("line_no") + 2, 4).alias("after"))
 
 
+_HITS = "array<struct<rule:int,x:struct<value:string,source:string,confidence:int>>>"
+
+
 def _found(value: Column, source, confidence, line_no: Column | None = None) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(value.alias("value"), lit(source).alias("source"), lit(confidence).cast("int").alias("confidence"), *([line_no.alias("line_no")] if line_no is not None else []))
@@ -88,35 +91,49 @@ def customer_scans(line_table: DataFrame) -> DataFrame:
     return each.groupBy("doc_id", "value").agg(F.max(F.struct("confidence", (-F.col("line_no")).alias("__l"), "source")).alias("x")).select("doc_id", (-F.col("x.__l")).alias("line_no"), "value", F.col("x.source").alias("source"), F.col("x.confidence").alias("confidence"))
 
 
-def credit_numbers(line_table: DataFrame) -> DataFrame:
-    """Own numbers of credit notes, each once a document, by the first rule that finds it."""
+def _credit_hits() -> Column:
+    """Own numbers of a credit note on a line, as (rule, x)."""
     def hits_of(rule: int, source: str, trust: int, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(rule).alias("rule"), _found(_compact(v), source, trust).alias("x")))
 
     rules = F.flatten(F.array(*[hits_of(k, *rule) for k, rule in enumerate(CREDIT_NUMBERS)]))
     below = F.regexp_extract(F.coalesce(F.get("after", F.lit(0)), F.lit("")), CREDIT_NEXT, 1)
     next_ = F.when(F.col("line").rlike(CREDIT_HEAD) & (below != ""), F.array(F.struct(F.lit(len(CREDIT_NUMBERS)).alias("rule"), _found(_compact(below), "credit_note_next_line", 91).alias("x"))))
-    each = line_table.select("doc_id", "line_no", F.col("line").rlike(CREDIT_HINT).alias("hint"), F.inline_outer(F.concat(rules, F.coalesce(next_, F.array().cast("array<struct<rule:int,x:struct<value:string,source:string,confidence:int>>>")))))
+    return F.concat(rules, F.coalesce(next_, F.array().cast(_HITS)))
+
+
+def credit_numbers(line_table: DataFrame) -> DataFrame:
+    """Own numbers of credit notes, each once a document, by the first rule that finds it."""
+    each = line_table.select("doc_id", "line_no", F.col("line").rlike(CREDIT_HINT).alias("hint"), F.inline_outer(_credit_hits()))
     hinted = each.groupBy("doc_id", F.upper("x.value").alias("__v")).agg(F.min(F.struct("rule", "line_no", "x")).alias("m"), F.bool_or("hint").alias("hint"))
     with_hint = each.groupBy("doc_id").agg(F.bool_or("hint").alias("__hint")).where("__hint")
     return hinted.where("m.x is not null").join(with_hint, "doc_id", "left_semi").select("doc_id", F.col("m.line_no").alias("line_no"), "m.x.*")
 
 
-def header_tables(line_table: DataFrame) -> DataFrame:
-    """Numbers under the columns of a table head with at least two known columns; dates do not count as values."""
+def _heads() -> Column:
     kind = lambda w: F.coalesce(*[F.when(w.rlike(p), k) for k, p in HEADS])
-    heads = F.array_compact(F.transform(F.split(F.trim("line"), r"\s+"), kind))
+    return F.array_compact(F.transform(F.split(F.trim("line"), r"\s+"), kind))
+
+
+def _first_row() -> Column:
+    """The first line below with values, as (v, j)."""
     values = lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda t: ~t.rlike(DAY) & (F.length(t) >= 4) & t.rlike(r"\d"))
-    t = line_table.select("doc_id", "line_no", heads.alias("heads"), "after").where(F.size("heads") >= 2)
     rows = F.filter(F.transform("after", lambda x, j: F.struct(values(x).alias("v"), (j + 1).alias("j"))), lambda x: F.size(x["v"]) > 0)
-    t = t.select("doc_id", "line_no", "heads", F.get(rows, F.lit(0)).alias("row")).where("row is not null")
+    return F.get(rows, F.lit(0))
+
+
+def _under(name: str, trust: int) -> Column:
+    """The value under a column of ``heads`` in ``row``."""
+    at = F.array_position("heads", name).cast("int") - 1
+    dates = F.size(F.filter(F.slice("heads", F.lit(1), F.greatest(at, F.lit(0))), lambda h: h == "date"))
+    return F.when(at >= 0, _found(F.get("row.v", at - dates), f"header_table_{name}", trust - F.col("row.j")))
 
-    def under(name: str, trust: int) -> Column:
-        at = F.array_position("heads", name).cast("int") - 1
-        dates = F.size(F.filter(F.slice("heads", F.lit(1), F.greatest(at, F.lit(0))), lambda h: h == "date"))
-        return F.when(at >= 0, _found(F.get("row.v", at - dates), f"header_table_{name}", trust - F.col("row.j")))
 
-    found = F.filter(F.array(under("invoice", 90), under("customer", 89)), lambda x: x["value"].isNotNull())
+def header_tables(line_table: DataFrame) -> DataFrame:
+    """Numbers under the columns of a table head with at least two known columns; dates do not count as values."""
+    t = line_table.select("doc_id", "line_no", _heads().alias("heads"), "after").where(F.size("heads") >= 2)
+    t = t.select("doc_id", "line_no", "heads", _first_row().alias("row")).where("row is not null")
+    found = F.filter(F.array(_under("invoice", 90), _under("customer", 89)), lambda x: x["value"].isNotNull())
     return t.select("doc_id", "line_no", F.inline(found))
 
 
@@ -144,6 +161,31 @@ def drop_parents(found: DataFrame, line_table: DataFrame) -> DataFrame:
     return j.where(~gone).drop("__credit", "__own", "__parent")
 
 
+def invoice_numbers(line_table: DataFrame) -> DataFrame:
+    """Plausible candidates of credit numbers, head tables and labels without those of parent invoices, in one pass.
+
+    Gives what :func:`drop_parents` leaves of the three rules' candidates. Each line is looked at once
+    and carries its flags; what a document's lines say of each other comes from windows after one
+    shuffle by document, to which only lines with a candidate or a credit hint go.
+    """
+    t = line_table.select("doc_id", "line_no", "line", "after", _heads().alias("heads"))
+    t = t.withColumn("row", F.when(F.size("heads") >= 2, _first_row()))
+    as_hits = lambda xs: F.transform(xs, lambda x: F.struct(F.lit(-1).alias("rule"), x.alias("x")))
+    none = F.array().cast(_HITS)
+    table = F.when(F.col("row").isNotNull(), as_hits(F.filter(F.array(_under("invoice", 90)), lambda x: x["value"].isNotNull())))
+    label = F.regexp_extract("line", INVOICE_LABEL, 1)
+    labels = F.when(label.rlike(r"\d"), as_hits(F.array(_found(label, "label_same_line", 90))))
+    hint, parent = F.col("line").rlike(CREDIT_HINT), F.col("line").rlike(PARENT)
+    each = t.select("doc_id", "line_no", hint.alias("hint"), parent.alias("parent"), F.inline_outer(F.concat(_credit_hits(), F.coalesce(table, none), F.coalesce(labels, none))))
+    doc = Window.partitionBy("doc_id")
+    first = Window.partitionBy("doc_id", F.col("rule") >= 0, F.upper("x.value")).orderBy("rule", "line_no", "x")
+    each = each.where("x is not null or hint").repartition("doc_id").withColumn("hint", F.bool_or("hint").over(doc)).where("x is not null")
+    kept = each.withColumn("n", F.row_number().over(first)).where("rule < 0 or (hint and n = 1)").where(plausible_number(F.col("x.value")))
+    credit = F.col("x.source").isin(*CREDIT_SOURCES)
+    kept = kept.withColumn("own", F.bool_or(credit | F.col("x.value").rlike(OWN_CREDIT)).over(doc))
+    return kept.where(~(F.col("hint") & F.col("own") & F.col("parent") & ~credit)).select("doc_id", "line_no", "x.*")
+
+
 def match_type(source: Column) -> Column:
     """How a candidate was found: by a label, by a pattern, or otherwise."""
     tabular = source.isin("header_table_invoice", "header_table_customer", "datum_nummer_table", "nummer_datum_table", "tabular")

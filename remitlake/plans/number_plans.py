@@ -85,8 +85,7 @@ def _customer(line_table):
 
 
 def _kept(line_table):
-    found = _invoice(line_table)
-    return nb.drop_parents(found.where(nb.plausible_number(F.col("value"))), line_table)
+    return nb.invoice_numbers(line_table)
 
 
 @query("ex_customer_labels", CUS + "SELECT doc_id, value, source, confidence FROM labs")

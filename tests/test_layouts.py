@@ -107,3 +107,16 @@ def test_footer_vat(spark):
     got = sorted((r["doc_id"], r["line_no"], r["value"]) for r in peers.drop_footer_vat(peers.vat_candidates(df)).collect())
     # in 3 the label below tells that the value above is a VAT number: rows without a label go
     assert got == [(1, 0, a), (2, 0, a), (2, 41, a), (3, 41, a), (4, 0, a), (5, 0, a)]
+
+
+def test_one_pass_equals_rules_apart(spark):
+    draw = random.Random(5)
+    some = ["Creditnota", "Creditnota VCR 00123+", "Creditnummer: CN0099", "CN 7788", "Betr. onze factuur", "Factuurnummer: INV0099", "Factuurnummer: 2024", "Fact.nr. Factuurnummer: VF1", "Factuurdatum Factuurnummer Klantnummer", "01-02-2024 INV7 4455", "creditnota vcr 00123", "Nummer: VC5", "", "tekst"]
+    docs = [(i, "\n".join(draw.choice(some) for _ in range(draw.randint(0, 7)))) for i in range(250)] + [(900, None)]
+    lines = numbers.lines(spark.createDataFrame(docs, "doc_id int, text string")).cache()
+    table = numbers.header_tables(lines).where("source = 'header_table_invoice'")
+    apart = numbers.credit_numbers(lines).unionByName(table).unionByName(numbers.invoice_labels(lines))
+    want = numbers.drop_parents(apart.where(numbers.plausible_number(F.col("value"))), lines)
+    key = lambda df: sorted(tuple(r[c] for c in ("doc_id", "line_no", "value", "source", "confidence")) for r in df.collect())
+    got = key(numbers.invoice_numbers(lines))
+    assert got == key(want) and len(got) > 200
