@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import agg_plans, bundle_plans, credit_profile_plans, dictionary_plans, extraction_plans, hint_plans, join_plans, layout_plans, learning_plans, number_plans, profile_plans, rows_plans, rule_plans, settlement_plans, store_plans  # noqa: F401
+from .plans import agg_plans, bundle_plans, credit_profile_plans, dictionary_plans, extraction_plans, hint_plans, join_plans, layout_plans, learning_plans, number_plans, profile_plans, rows_plans, rule_plans, settlement_plans, store_plans, strategy_plans  # noqa: F401
 from .plans.book import ORACLES, QUERIES
 
 FLAGSHIP = "grp_engine"
