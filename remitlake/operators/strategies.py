@@ -62,17 +62,18 @@ def strings(texts: DataFrame, confirmed: DataFrame) -> DataFrame:
     t = t.withColumn("line", F.col("at.line")).withColumn("before", F.get("lines", F.col("at.i") - 1))
     t = t.withColumn("pos", F.expr("instr(lower(line), lower(v))"))
     t = t.withColumn("prefix", F.trim(F.expr("substring(line, 1, pos - 1)"))).withColumn("actual", F.expr("substring(line, pos, length(v))"))
+    page = F.get(F.filter(F.transform("lines", lambda x: F.regexp_extract(x, PAGE, 1)), lambda x: (x != "") & (F.lower(x) == low)), F.lit(0))
+    tagged = F.get(F.filter("lines", lambda x: x.rlike(TAG) & F.contains(F.lower(x), low) & (low != "")), F.lit(0))
+    half = F.expr("trim(substring(half.line, 1, instr(lower(half.line), lower(trim(substring_index(v, '/', 1)))) - 1))")
+    # rows name their parts several times, so those are columns of their own first
+    t = t.withColumns({"page": F.when(F.col("field_id") == "invoice_number", page), "tagged": tagged, "above": _or_null(F.trim(F.substring_index("before", ":", 1)), 2), "colon": _colon_label(F.col("line"), F.col("prefix")), "half_label": _colon_label(F.col("half.line"), half)})
+    t = t.drop("lines").withColumn("tag_label", F.trim(F.regexp_extract("tagged", r"^(.*?)\[O\+", 1)))
     line, prefix, actual, found = F.col("line"), F.col("prefix"), F.col("actual"), F.col("at").isNotNull()
-    above = _or_null(F.trim(F.substring_index("before", ":", 1)), 2)
-    colon, own = _colon_label(line, prefix), _or_null(prefix, 2)
+    above, colon, own, page, tagged, tag_label = F.col("above"), F.col("colon"), _or_null(prefix, 2), F.col("page"), F.col("tagged"), F.col("tag_label")
     why = lambda reason: F.when(~found, "value_not_in_text").otherwise(reason)
     after = lambda x: F.when(x.contains(":"), "same_line_after_colon").otherwise("same_line_value_after_label")
     number = F.col("field_id") == "invoice_number"
-    page = F.get(F.filter(F.transform("lines", lambda x: F.regexp_extract(x, PAGE, 1)), lambda x: (x != "") & (F.lower(x) == low)), F.lit(0))
-    tagged = F.get(F.filter("lines", lambda x: x.rlike(TAG) & F.contains(F.lower(x), low) & (low != "")), F.lit(0))
-    tag_label = F.trim(F.regexp_extract(tagged, r"^(.*?)\[O\+", 1))
     slash = F.col("v").contains("/")
-    half = F.expr("trim(substring(half.line, 1, instr(lower(half.line), lower(trim(substring_index(v, '/', 1)))) - 1))")
     n = STRING_STRATEGIES
     rows = F.array(
         _row(n[0], F.when(own.isNotNull(), after(prefix)).otherwise("next_line_first_token"), F.coalesce(own, above), actual, why("no_label_near_value")),
@@ -81,7 +82,7 @@ def strings(texts: DataFrame, confirmed: DataFrame) -> DataFrame:
         _row(n[3], F.lit("same_line_after_colon"), colon, actual, why("no_colon_label")),
         _row(n[4], F.lit("next_line_first_token"), above, actual, F.when(~found, "value_not_in_text").when(F.col("at.i") < 1, "no_line_above").otherwise("no_label")),
         _row(n[5], F.lit("last_token_on_line"), F.coalesce(colon, _or_null(prefix, 3)), actual, why("no_label")),
-        _row(n[6], F.lit("same_line_after_colon"), _colon_label(F.col("half.line"), half), F.col("v"), F.when(F.col("half").isNull(), "value_not_in_text").otherwise("no_label"), ~slash),
+        _row(n[6], F.lit("same_line_after_colon"), F.col("half_label"), F.col("v"), F.when(F.col("half").isNull(), "value_not_in_text").otherwise("no_label"), ~slash),
         _row(n[7], F.lit("ocr_tag_extraction"), F.coalesce(_or_null(tag_label, 1), F.when(tagged.isNotNull(), "OCR")), F.when(tagged.isNotNull(), F.col("v")), "ocr_tag_not_found"),
         _row(n[8], F.when(line.contains(":"), "same_line_after_colon").otherwise("next_line_first_token"), F.when(line.contains(":"), F.coalesce(own, above)).otherwise(F.coalesce(above, own)), actual, why("no_minimal_label")),
     )
@@ -112,14 +113,19 @@ def amounts(texts: DataFrame, confirmed: DataFrame) -> DataFrame:
             k = F.size(s["sums"]) + 1 - F.array_position(F.reverse(s["sums"]), F.col("cents")).cast("int")
         return F.concat(F.array_join(F.slice(s["upto"], 1, k - 1), ""), F.get(s["gaps"], k - 1))
 
-    def told(s: Column) -> Column:
-        before = place(s, False)
-        total = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(before, F.lit(TOTAL), F.lit(0))), -1)
+    def placed(s: Column) -> Column:
         rule = F.when((F.size(s["sums"]) >= 2) & (F.get(s["sums"], F.lit(0)) == F.col("cents")), "same_line_first_amount").otherwise("same_line_last_amount")
+        return F.struct(s["line"].alias("line"), rule.alias("rule"), place(s, False).alias("before"), F.trim(place(s, True)).alias("until"))
+
+    def totals(s: Column) -> Column:
+        total = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(s["before"], F.lit(TOTAL), F.lit(0))), -1)
+        return F.struct(s["line"].alias("line"), s["rule"].alias("rule"), _colon_label(s["line"], s["before"]).alias("colon"), total.alias("total"), _or_null(s["until"], 3).alias("any"))
+
+    def told(s: Column) -> Column:
         euro = F.when(s["line"].rlike(r"(?i)\bEUR\b|€"), "EUR")
-        return F.struct(s["line"].alias("line"), rule.alias("rule"), F.coalesce(_colon_label(s["line"], before), total).alias("near"), F.coalesce(total, euro).alias("scan"), _or_null(F.trim(place(s, True)), 3).alias("any"))
+        return F.struct(s["line"].alias("line"), s["rule"].alias("rule"), F.coalesce(s["colon"], s["total"]).alias("near"), F.coalesce(s["total"], euro).alias("scan"), s["any"].alias("any"))
 
-    t = t.withColumn("hits", F.transform(hit, told))
+    t = t.withColumn("hits", F.transform(F.transform(F.transform(hit, placed), totals), told))
     first = lambda field: F.get(F.filter("hits", lambda h: h[field].isNotNull()), F.lit(0))
     mine = F.get(F.filter("hits", lambda h: F.contains(h["line"], F.trim("context")) & (F.trim("context") != "") & F.coalesce(h["near"], h["scan"]).isNotNull()), F.lit(0))
     pairs = F.filter(F.transform("seen", lambda s, i: F.struct(F.regexp_extract(s["line"], TOTAL, 0).alias("label"), F.get("seen", i + 1)["sums"].alias("sums"))), lambda p: (p["label"] != "") & F.coalesce(F.array_contains(p["sums"], F.col("cents")), F.lit(False)))
@@ -130,6 +136,8 @@ def amounts(texts: DataFrame, confirmed: DataFrame) -> DataFrame:
     sums = F.col("below.sums")
     under = F.when((F.size(sums) > 1) & ((F.get(sums, F.size(sums) - 1) == F.col("cents")) | (F.get(sums, F.lit(0)) != F.col("cents"))), "next_line_last_amount").otherwise("next_line_first_token")
     both = F.when(F.get("excl.sums", F.size("excl.sums") - 1) + F.get("vat.sums", F.size("vat.sums") - 1) == F.col("cents"), F.concat(F.regexp_extract("excl.line", EXCL, 0), F.lit(" + "), F.trim(F.regexp_extract("vat.line", VAT_LINE, 0))))
+    t = t.withColumns({"under": under, "both": both}).drop("lines", "seen", "hits")
+    under, both = F.col("under"), F.col("both")
     n, value = AMOUNT_STRATEGIES, F.col("cents").cast("string")
     rows = F.array(
         _row(n[0], F.col("near.rule"), F.col("near.near"), value, "amount_not_on_labeled_line"),
