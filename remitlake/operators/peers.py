@@ -54,8 +54,8 @@ def _after_reference(v: Column, line: Column) -> Column:
     return F.array_contains(after, v)
 
 
-def _keys(v: Column) -> Column:
-    """What a lower-case value claims of others and asks for itself."""
+def _keys(v: Column, collapsed: Column) -> Column:
+    """What a lower-case value claims of others and asks for itself; only ``collapsed`` ones ask for slashed peers."""
     k, digits, canon = v.rlike(r"^k\d{4,12}$"), v.rlike(r"^\d+$"), F.regexp_replace(v, "[^a-z0-9]", "")
     row = lambda when, name, key, bit, ask: F.when(when, F.struct(F.concat(F.lit(f"{name}:"), key).alias("key"), F.lit(bit).alias("bit"), F.lit(ask).alias("ask")))
     rest = F.substring(v, 2, 12)
@@ -63,7 +63,7 @@ def _keys(v: Column) -> Column:
     out = F.array(
         row(k, "digits", rest, b["repeats_k_code"], False), row(digits, "digits", v, b["repeats_k_code"], True),
         row(v.rlike(K_CODE), "code", v, b["glued_k_code"], False), row(v.rlike(K_CODE), "kvk", rest, b["smeared_kvk"], True),
-        row(v.contains("/"), "slash", canon, b["slashed_peer"], False), row(~v.contains("/"), "slash", canon, b["slashed_peer"], True),
+        row(v.contains("/"), "slash", canon, b["slashed_peer"], False), row(collapsed & ~v.contains("/"), "slash", canon, b["slashed_peer"], True),
         row(v.rlike(r"^\d{8,12}$"), "end", F.right(v, F.lit(4)), b["short_suffix"], False), row(v.rlike(r"^\d{4}$"), "end", v, b["short_suffix"], True),
         F.struct(F.lit("self").alias("key"), F.lit(0).alias("bit"), F.lit(True).alias("ask")),
     )
@@ -83,8 +83,8 @@ def judge(found: DataFrame, texts: DataFrame) -> DataFrame:
     rows = found.withColumn("__v", F.lower(F.trim(F.coalesce("value", F.lit(""))))).repartition("doc_id")
     source = F.coalesce("source", F.lit(""))
     told = source.rlike("^(?:label_block|klantcode)") | source.isin(*LABELLED)
-    each = rows.groupBy("doc_id", "__v").agg(F.collect_list(F.struct(*found.columns)).alias("__rows"), F.bool_or(told).alias("__told"))
-    each = each.select("doc_id", "__v", "__rows", F.bool_or("__told").over(Window.partitionBy("doc_id")).alias("__told"), F.explode(_keys(F.col("__v"))).alias("__k"))
+    each = rows.groupBy("doc_id", "__v").agg(F.collect_list(F.struct(*found.columns)).alias("__rows"), F.bool_or(told).alias("__told"), F.bool_or(F.startswith(source, F.lit("collapsed_"))).alias("__glued"))
+    each = each.select("doc_id", "__v", "__rows", F.bool_or("__told").over(Window.partitionBy("doc_id")).alias("__told"), F.explode(_keys(F.col("__v"), F.col("__glued"))).alias("__k"))
     own = F.col("__k.key") == "self"
     each = each.select("doc_id", "__v", F.when(own, F.col("__rows")).alias("__rows"), F.when(own, F.col("__told")).alias("__told"), "__k.*")
     # runs of digits after kvk, in the text without anything but letters and digits; K codes may be a piece of them
