@@ -146,3 +146,32 @@ def test_two_writers(spark):
     store = Store(spark, path)
     assert store._commit("late", True, of=1) == 0  # a compaction of an old version gives up
     assert len(_state(store)) == 3 * len({b for b, _, _ in _state(store)}) and store.version() == len(store._manifests())
+
+
+def test_known_rules_within_a_row_are_the_rules_of_a_table(spark):
+    texts = spark.createDataFrame([
+        (0, 0, "Polis: AB-77\nKlantcode\n\nZ-1234\nTotaal EUR 1,00 korting 2,50 21,00%\nexclbtw 3,00"), (1, 1, None), (2, 2, ""), (3, 3, "polis AB-78\nBTW nr NL123456789B01 IBAN NL91ABNA0417164300 NL02ABNA0123456789\nE-mail info@a.nl b@c.de b@c.de"),
+        (4, 4, "xpolis AB-79\nKlantcode\nA.\n-\n-\nB-999\nbedrag inclbtw 4,00\nKLANTCODE:"),
+    ], "doc_id long, supplier_id long, text string")
+    rules = rulebook.default_rules() + [("policy", ["polis"], r"(?i)polis\b", r"([A-Z]{2}-[0-9]+)", "first", 0, "own", 50, "label", None), ("policy", ["polis"], "", r"([0-9]+)", "all", 0, "profile", 40, "label", 3)]
+    got = rulebook.documents(texts, rules).select("doc_id", F.inline("hits"))
+    want = rulebook.hits(rulebook.lines(texts), rulebook.table(spark, rules)).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 12
+
+
+def test_sums_within_a_row_are_those_of_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    own = {d: sorted({rng.randint(1, 3_000) for _ in range(n)} | {100, 21, 121}) for d, n in enumerate((0, 5, 60, 64, 65, 127, 128, 400))}
+    rows = spark.createDataFrame([(d, c) for d, x in own.items() for c in x], "doc_id int, cents long")
+    want = sorted(map(tuple, amounts.three_sums(rows).select("doc_id", "excl", "vat", "total", "rate").collect()))
+    arrays = spark.createDataFrame(list(own.items()), "doc_id int, own array<long>")
+    assert len(want) > 50 and sorted(map(tuple, arrays.select("doc_id", F.inline(amounts.sums_within(F.col("own")))).collect())) == want
+
+
+def test_candidates_are_worked_out_without_a_shuffle(spark):
+    texts = spark.createDataFrame([(1, 7, "Bedrag excl. btw 100,00\nBTW 21% 21,00\nTotaal 121,00")], "doc_id long, supplier_id long, text string")
+    docs = amounts.candidates(rulebook.documents(texts, rulebook.default_rules()))
+    chosen = amounts.choose(docs)
+    assert tuple(chosen.first()) == (1, "121.00", "total_label_generic", 78, True, "confirmed")
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("split(") == 1
