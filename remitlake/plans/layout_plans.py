@@ -119,12 +119,6 @@ def _peers(spark, sf):
     return d.select("doc_id", text.alias("text"))
 
 
-def _with_context(texts):
-    lines = nb.lines(texts)
-    found = nb.customer_labels(lines).unionByName(nb.customer_scans(lines))
-    return found.join(lines.select("doc_id", "line_no", F.col("line").alias("context")), ["doc_id", "line_no"]).select("doc_id", "value", "source", "line_no", "context")
-
-
 # Peers are found by looking at every other candidate of the document.
 TOKEN = r"list_filter(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9./-]{{3,}}'), lambda x: regexp_matches(x, '\d') AND NOT regexp_full_match(x, '\d{{2}}-\d{{2}}-\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}'))"
 FOUND = rf"""nx AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS n1 FROM ln),
@@ -143,8 +137,7 @@ FOUND = rf"""nx AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line
   FROM (SELECT f.*, b1, b2, b16, f.doc_id IN (SELECT doc_id FROM told) AS t, CASE WHEN regexp_full_match(f.lv, 'k\d{4,8}') AND contains(regexp_replace(lower(lay.text), '[^a-z0-9]', '', 'g'), concat('kvk', substr(f.lv, 2))) THEN 4 ELSE 0 END AS kvk FROM f JOIN pairs ON f.doc_id = pairs.doc_id AND f.lv = pairs.lv JOIN lay ON f.doc_id = lay.doc_id)""")
 def ex_filter_customer(spark, sf):
     """Every candidate with the reasons for which it goes, as bits; 0 keeps it."""
-    texts = _peers(spark, sf)
-    return pr.judge(_with_context(texts), texts).select("doc_id", "value", "source", "reasons")
+    return pr.judged(nb.customers(_peers(spark, sf), tables=False), "found", "text").select("doc_id", "value", "source", "reasons")
 
 
 FOOT = """lay AS (SELECT doc_id, concat(CASE order_id % 4 WHEN 0 THEN concat('BTW nr. ', vat_number) WHEN 1 THEN concat('BTW: ', vat_number) WHEN 2 THEN vat_number ELSE 'Factuur' END, repeat(concat(chr(10), 'regel'), 20 + CAST(order_id % 3 AS INT) * 30), chr(10), CASE order_id % 5 WHEN 0 THEN concat('BTW: ', vat_number) WHEN 1 THEN concat('IBAN ', n, ' ', vat_number, ' NL123456789B01') WHEN 2 THEN concat('BTW nummer ', vat_number) ELSE 'BTW: NL123456789B01' END) AS text FROM b)"""

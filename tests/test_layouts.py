@@ -120,3 +120,48 @@ def test_one_pass_equals_rules_apart(spark):
     key = lambda df: sorted(tuple(r[c] for c in ("doc_id", "line_no", "value", "source", "confidence")) for r in df.collect())
     got = key(numbers.invoice_numbers(lines))
     assert got == key(want) and len(got) > 200
+
+
+def test_judged_within_a_row(spark):
+    draw = random.Random(17)
+    some = ["Klantnummer 4455", "Uw klant K12345", "Zie K1234552", "Klantcode", "K 0 1 4 1 3 5", "Ref 12345 / 4455", "KvK 94111122", "K94111122", "pakbon K0123", "Factuurdatum Klantnummer", "01-02-2024 004455", "Klantnummer 123412344455", "Klantnummer 12345/ 4455", "", "K12345 en k12345", "4455"]
+    docs = [(i, "\n".join(draw.choice(some) for _ in range(draw.randint(0, 8)))) for i in range(250)] + [(900, None), (901, "")]
+    texts = spark.createDataFrame(docs, "doc_id int, text string")
+    lines = numbers.lines(texts)
+    apart = numbers.customer_labels(lines).unionByName(numbers.customer_scans(lines))
+    table = numbers.header_tables(lines).where("source = 'header_table_customer'")
+    key = lambda df, *c: sorted((tuple(r[x] for x in c) for r in df.collect()), key=str)
+    plain = ("doc_id", "value", "source", "line_no", "confidence")
+    got = numbers.customers(texts)
+    assert key(got.select("doc_id", F.inline("found")), *plain) == key(apart.unionByName(table), *plain)
+    found = apart.join(lines.select("doc_id", "line_no", F.col("line").alias("context")), ["doc_id", "line_no"])
+    want = peers.judge(found.select("doc_id", "value", "source", "line_no", "context"), texts)
+    judged = peers.judged(numbers.customers(texts, tables=False), "found", "text")
+    named = ("doc_id", "value", "source", "line_no", "context", "reasons")
+    assert key(judged, *named) == key(want, *named) and len(key(judged, "reasons")) > 300
+    for frame in (judged, got):  # a document's candidates never leave its row
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_judged_as_the_table_form(spark):
+    draw = random.Random(19)
+    sources = ["label_block_same_line", "label_block_next_line", "ref_slash_customer", "collapsed_k_token", "standalone_k_token", "other", None]
+    digits = lambda n: "".join(draw.choice("12") for _ in range(n))
+    make = [lambda: "K" + digits(draw.randint(3, 9)), lambda: digits(draw.choice([4, 6, 8, 12])), lambda: digits(4) + "/" + digits(2), lambda: None, lambda: " k" + digits(4)]
+    docs = [(doc, draw.choice([None, "", "KvK " + digits(8), "kvk: 11\n22"]), [(draw.choice(make)(), draw.choice(sources), 0, draw.choice([None, "Klantnummer", "x"])) for _ in range(draw.randint(0, 12))]) for doc in range(60)]
+    rows = spark.createDataFrame(docs, "doc_id int, text string, found array<struct<value:string,source:string,line_no:int,context:string>>")
+    key = lambda df: sorted((tuple(r[c] for c in ("doc_id", "value", "source", "context", "reasons")) for r in df.collect()), key=str)
+    assert key(peers.judged(rows, "found", "text")) == key(peers.judge(rows.select("doc_id", F.inline("found")), rows.select("doc_id", "text")))
+
+
+def test_added_within_a_row(spark):
+    texts = spark.createDataFrame([(1, "Klantnummer K12345", "k12345"), (2, "Klantnummer K12345", " K12345 "), (3, "", "K9/1"), (4, None, None), (5, "Uw klant K12345", "K12345")], "doc_id int, text string, code string")
+    lines, ours = numbers.lines(texts), numbers.customers(texts)
+    apart = numbers.customer_labels(lines).unionByName(numbers.customer_scans(lines))
+    key = lambda df: sorted(tuple(r[c] for c in ("doc_id", "value", "source", "confidence")) for r in df.collect())
+    hinted = ours.select("doc_id", F.inline(numbers.resolved(F.col("code"), F.col("found"))))
+    assert key(hinted) == key(numbers.with_hint(apart, texts.select("doc_id", F.col("code").alias("value"))))
+    mastered = ours.select("doc_id", F.inline(numbers.mastered(F.col("code"), F.col("found"))))
+    assert key(mastered) == key(numbers.with_master(apart, texts.select("doc_id", "code")))
+    for frame in (hinted, mastered):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
