@@ -94,6 +94,24 @@ def test_similar_names_lose_no_pair(spark):
     assert similar.candidates(*dfs).count() < len(a) * len(b) / 10
 
 
+def test_links_and_classes_are_those_of_all_pairs(spark, monkeypatch):
+    """Numbered names are nearly all similar, so links are counted where they are found, in blocks and slices of any size."""
+    monkeypatch.setattr(similar, "CHUNK", 3)
+    monkeypatch.setattr(similar, "PAIRS", 40)
+    master = [f"supplier#{k * 7 % 100:09d}" for k in range(60)] + ["", "x" * 70, "x" * 60 + "y" * 12, "日本語", "both", "lone"]
+    spelt = [s.replace("pp", "p") if k % 3 == 0 else s[::-1] if k % 3 == 1 else s + " bv" for k, s in enumerate(master)] + ["x" * 66, "both"]
+    want = {(x, y, SequenceMatcher(None, x, y).ratio()) for x in set(spelt) for y in set(master) if x and y and SequenceMatcher(None, x, y).ratio() >= 0.85}
+    dfs = [spark.createDataFrame([(s,) for s in x], "name string") for x in (spelt, master)]
+    assert {tuple(r) for r in similar.similar(*dfs).collect()} == want and len(want) > 500
+    least = {x: x for x in (*spelt, *master)}
+    for _ in least:
+        for x, y, _ in want:
+            least[x] = least[y] = min(least[x], least[y])
+    n = lambda side, s: sum(p[side] == s for p in want)
+    got = [tuple(r) for r in similar.links(*dfs).collect()]
+    assert len(got) == len(least) and set(got) == {(s, s in spelt, s in master, n(0, s), n(1, s), c) for s, c in least.items()}
+
+
 def test_multisets_and_shadow_runs(spark):
     rows = [(k % 3, f"k{k}", None if k % 7 == 0 else k) for k in range(60)] + [(0, "k0", None)]
     df = spark.createDataFrame(rows, "b int, k string, v int")
