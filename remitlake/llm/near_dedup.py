@@ -42,7 +42,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -54,6 +54,8 @@ CROWD, SAMPLE, DEPTH = 32, 64, 6
 PAIRS = 1 << 24
 #: Members that meet one leader in one task, when they are compared with it and (of 4 KB each) when they are written as deviations.
 BLOCK, WIDE = 1024, 1 << 14
+#: Words of 64 bits that tell which shingles a set may hold, and that tell which documents may be asked for.
+WORDS, ASKED = 16, 1 << 19
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -157,16 +159,37 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
-    """(node, s) of (node, text): the sorted shingles, eight bytes each."""
+    """(node, s, size, bits) of (node, text): the sorted shingles, eight bytes each, their number, and a bit for each value of their first bits."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         shingler, _ = _tools()
         for b in C.slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in shingler.sets(b.column("text").to_pylist())], pa.binary())], ["node", "s"])
+            sets = shingler.sets(b.column("text").to_pylist())
+            bits = np.zeros((len(sets), 64 * WORDS), bool)
+            for row, s in zip(bits, sets, strict=True):
+                row[s // np.uint64(2**64 // (64 * WORDS))] = True
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(np.packbits(bits, axis=1).view(np.int64).ravel()))
+            columns = [b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), words]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "s", "size", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, s binary, size int, bits array<long>")
+
+
+def _may_link(a: Column, b: Column) -> Column:
+    """Whether two sets (size, bits) may be similar: each bit that only one has stands for a shingle that only that one has."""
+    own = lambda x, y: x["size"] - sum((F.bit_count(x["bits"][k].bitwiseAND(F.bitwise_not(y["bits"][k]))) for k in range(WORDS)), F.lit(0))
+    return 7 * F.least(own(a, b), own(b, a)) >= 3 * (a["size"] + b["size"])
+
 
-    return texts.select("node", "text").mapInArrow(run, "node long, s binary")
+def among(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose node is in ``nodes``, both with ``node``; nearly all others go before the shuffle."""
+    hashed = lambda: F.pmod(F.xxhash64("node"), F.lit(64 * ASKED))
+    word, bit = F.shiftright(hashed(), 6).alias("__word"), F.pmod(hashed(), F.lit(64)).cast("int")
+    asked = nodes.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    some = docs.withColumn("__word", word).join(F.broadcast(asked), "__word").where(F.getbit("__bits", bit) == 1)
+    return some.drop("__word", "__bits").join(nodes, "node")
 
 
 def _facing(pairs: DataFrame, sets: DataFrame, heads: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -373,10 +396,11 @@ def _open(labelled: DataFrame, crowd: int) -> DataFrame:
 
 
 def _across(members: DataFrame, of="few") -> DataFrame:
-    """Pairs across components of buckets, each with a v of the few (or of those that ``of`` chooses)."""
-    u = members.select("key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("side").alias("su"), F.col("few").alias("fu"), "n")
-    v = members.where(of).select("key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("side").alias("sv"))
-    return u.join(v, "key").where("cu <> cv and (su = 0 or su <> sv) and (not fu or u < v)").select("u", "v", "n")
+    """Pairs across components of buckets, each with a v of the few (or of those that ``of`` chooses), that their bits do not rule out."""
+    u = members.select(F.col("key").alias("ku"), F.col("node").alias("u"), F.col("component").alias("cu"), F.col("side").alias("su"), F.col("few").alias("fu"), "n", F.struct("size", "bits").alias("bu"))
+    v = members.where(of).select("key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("side").alias("sv"), F.struct("size", "bits").alias("bv"))
+    told = F.expr("ku = key and cu <> cv and (su = 0 or su <> sv) and (not fu or u < v)")
+    return u.join(v, told & _may_link(F.col("bu"), F.col("bv"))).select("u", "v", "n")
 
 
 def _in_full(crowds: DataFrame, links: _Links) -> None:
@@ -440,7 +464,7 @@ def link(classes: DataFrame, texts_of) -> DataFrame | None:
     links.merge()
     labelled = links.label(members)
     for depth in range(DEPTH):
-        going = C.materialise(_open(labelled, CROWD << 3 * depth), "open")
+        going = C.materialise(_open(labelled, CROWD << 3 * depth).join(sets.select("node", "size", "bits"), "node"), "open")
         C.discard(members)
         links.add(_across(going.where("not crowd")))
         crowds = going.where("crowd").select("key", "node", "component")
@@ -465,7 +489,7 @@ def _of_unique(docs: DataFrame, rows: DataFrame) -> DataFrame:
     classes = C.materialise(full.groupBy("set_digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        found = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
+        found = among(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), nodes)
         counts = rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
         return found if counts.isEmpty() else found.dropDuplicates(["node"])
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from remitlake.llm import common, components, near_dedup
 
@@ -181,3 +182,23 @@ def test_last_round_goes_in_slices(spark, monkeypatch):
             words[rng.randrange(80)] = f"new{rng.random()}"
         rows.append((i, " ".join(words)))
     _check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_bits_rule_out_unlike_pairs_and_no_link(spark):
+    """A bucket's few meet all its members, so pairs that cannot be similar are not made; only texts asked for are shuffled."""
+    rng, rows = random.Random(4), []
+    words = [f"w{k}" for k in range(300)]
+    for k in range(60):
+        rows.append((k, " ".join(_edited(rng, words, (2, 8, 20, 60)[k % 4]))))
+    rows += [(60, "a b"), (61, ""), (62, " ".join(words[:40]))]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    sets = near_dedup.full_sets(texts).drop("s")
+    every = sets.withColumn("key", F.lit(1)).withColumn("component", F.col("node")).withColumn("side", F.lit(0)).withColumn("few", F.lit(True)).withColumn("n", F.lit(1))
+    got = {(r["u"], r["v"]) for r in near_dedup._across(every).collect()}
+    of = dict(_sets(rows))
+    want = {(a, b) for a in of for b in of if a < b and of[a] and 100 * len(of[a] & of[b]) >= 75 * len(of[a] | of[b])}
+    assert want <= got and len(want) > 100 and len(got) < 600
+    asked = near_dedup.among(texts, spark.createDataFrame([(3,), (61,), (99,)], "node long"))
+    assert sorted(r["node"] for r in asked.collect()) == [3, 61]
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan.lower()
