@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let, settle
+
 # Names of strategies in their order, patterns of labels, tags and amounts.
 STRING_STRATEGIES = (
     "token_matching_confirmed_value", "same_line_value_after_label", "factuur_inline_pagina", "generic_label_same_line_after_colon", "label_then_next_line",
@@ -100,10 +102,13 @@ def amounts(texts: DataFrame, confirmed: DataFrame) -> DataFrame:
     to_cents = lambda x: F.regexp_replace(x, "[^0-9]", "").cast("long")
 
     def view(x: Column, i: Column) -> Column:
-        part = lambda k: F.regexp_extract_all(x, F.lit(f"(.*?)({AMOUNT})"), F.lit(k))
-        return F.struct(i.alias("i"), x.alias("line"), F.transform(part(2), to_cents).alias("sums"), part(0).alias("upto"), part(1).alias("gaps"))
+        return F.struct(i.alias("i"), x.alias("line"), F.transform(F.regexp_extract_all(x, F.lit(AMOUNT), F.lit(0)), to_cents).alias("sums"))
+
+    def parted(s: Column) -> Column:
+        part = lambda k: F.regexp_extract_all(s["line"], F.lit(f"(.*?)({AMOUNT})"), F.lit(k))
+        return F.struct(s["line"].alias("line"), s["sums"].alias("sums"), part(0).alias("upto"), part(1).alias("gaps"))
 
-    t = t.withColumn("seen", F.transform("lines", view))
+    t = settle(t, F.transform("lines", view).alias("seen"))
     # of each line with the amount: what stands before it, its labels, and which amount of the line it is
     hit = F.filter("seen", lambda s: F.array_contains(s["sums"], F.col("cents")) & ~s["line"].rlike(EXCL) & ~s["line"].rlike(VAT_LINE))
 
@@ -125,18 +130,21 @@ def amounts(texts: DataFrame, confirmed: DataFrame) -> DataFrame:
         euro = F.when(s["line"].rlike(r"(?i)\bEUR\b|€"), "EUR")
         return F.struct(s["line"].alias("line"), s["rule"].alias("rule"), F.coalesce(s["colon"], s["total"]).alias("near"), F.coalesce(s["total"], euro).alias("scan"), s["any"].alias("any"))
 
-    t = t.withColumn("hits", F.transform(F.transform(F.transform(hit, placed), totals), told))
+    t = settle(t, F.transform(F.transform(F.transform(F.transform(hit, parted), placed), totals), told).alias("hits"))
     first = lambda field: F.get(F.filter("hits", lambda h: h[field].isNotNull()), F.lit(0))
     mine = F.get(F.filter("hits", lambda h: F.contains(h["line"], F.trim("context")) & (F.trim("context") != "") & F.coalesce(h["near"], h["scan"]).isNotNull()), F.lit(0))
-    pairs = F.filter(F.transform("seen", lambda s, i: F.struct(F.regexp_extract(s["line"], TOTAL, 0).alias("label"), F.get("seen", i + 1)["sums"].alias("sums"))), lambda p: (p["label"] != "") & F.coalesce(F.array_contains(p["sums"], F.col("cents")), F.lit(False)))
-    excl = F.filter("seen", lambda s: s["line"].rlike(EXCL) & (F.size(s["sums"]) > 0))
-    t = t.withColumns({"near": first("near"), "scan": first("scan"), "any": first("any"), "mine": mine, "below": F.get(pairs, F.lit(0)), "excl": F.get(excl, F.size(excl) - 1), "since": F.get(excl, F.lit(0))["i"]})
-    vat = F.filter("seen", lambda s: s["line"].rlike(VAT_LINE) & (F.size(s["sums"]) > 0) & (s["i"] >= F.col("since")))
-    t = t.withColumn("vat", F.get(vat, F.size(vat) - 1))
+    # patterns are tried last, on the lines that the rest leaves
+    above = F.filter("seen", lambda s: F.coalesce(F.array_contains(F.get("seen", s["i"] + 1)["sums"], F.col("cents")), F.lit(False)))
+    pairs = F.filter(F.transform(above, lambda s: F.struct(F.regexp_extract(s["line"], TOTAL, 0).alias("label"), F.get("seen", s["i"] + 1)["sums"].alias("sums"))), lambda p: p["label"] != "")
+    summed = F.filter("seen", lambda s: F.size(s["sums"]) > 0)
+    last = lambda x: let(x, lambda y: F.get(y, F.size(y) - 1))
+    t = t.withColumns({"near": first("near"), "scan": first("scan"), "any": first("any"), "mine": mine, "below": F.get(pairs, F.lit(0)), "excls": F.filter(summed, lambda s: s["line"].rlike(EXCL))})
+    t = t.withColumns({"excl": F.get("excls", F.size("excls") - 1), "since": F.get("excls", F.lit(0))["i"]})
+    t = t.withColumn("vat", last(F.filter("seen", lambda s: (s["i"] >= F.col("since")) & (F.size(s["sums"]) > 0) & s["line"].rlike(VAT_LINE))))
     sums = F.col("below.sums")
     under = F.when((F.size(sums) > 1) & ((F.get(sums, F.size(sums) - 1) == F.col("cents")) | (F.get(sums, F.lit(0)) != F.col("cents"))), "next_line_last_amount").otherwise("next_line_first_token")
     both = F.when(F.get("excl.sums", F.size("excl.sums") - 1) + F.get("vat.sums", F.size("vat.sums") - 1) == F.col("cents"), F.concat(F.regexp_extract("excl.line", EXCL, 0), F.lit(" + "), F.trim(F.regexp_extract("vat.line", VAT_LINE, 0))))
-    t = t.withColumns({"under": under, "both": both}).drop("lines", "seen", "hits")
+    t = t.withColumns({"under": under, "both": both}).drop("lines", "seen", "hits", "excls")
     under, both = F.col("under"), F.col("both")
     n, value = AMOUNT_STRATEGIES, F.col("cents").cast("string")
     rows = F.array(

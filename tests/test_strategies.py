@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from remitlake.operators import strategies as st
 
 
@@ -73,3 +75,11 @@ def test_prefix_is_what_stands_before_the_last_equal_amount(spark):
         if places and len(t[: places[-1]].strip()) >= 3:
             want[i] = t[: places[-1]].strip()
     assert got == want and len(want) > 50
+
+
+def test_patterns_are_tried_on_lines_with_the_amount_only(spark):
+    """What stands between amounts is worked out for lines that hold the confirmed one; each label is sought once."""
+    t = spark.createDataFrame([("a", 100, "Totaal 1,00\n9,00")], "doc_id string, cents long, text string")
+    df = st.amounts(t, t.select("doc_id", "cents", F.lit(None).cast("string").alias("context")))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(.*?)(") == 2 and "proposed" in {r["status"] for r in df.collect()}
