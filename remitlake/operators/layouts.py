@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let, settle
 from . import numbers as nb
 
-# Names of columns, what is no value, label-free layouts with their trust.
+# Names of columns, what they all hold, what is no value, label-free layouts with their trust.
 HEADS = (
     ("date", r"(?i)factuurdatum|facturatiedatum|verzenddatum|vervaldatum|leverdatum|^datum$"),
     ("invoice", r"(?i)factuurnummer|factuurnr|faktuurnummer|faktuurnr|^factuur$"),
     ("customer", r"(?i)debiteurennummer|debiteurnummer|debiteurnr|klantnummer|klantnr|kundennummer|relatienummer|^customer(?: number)?$|^betaler$"),
 )
+HEAD_PARTS = r"(?i)datum|fa[ck]tuur|debiteur|klant|kunden|relatie|customer|betaler"
 NO_VALUE = r"^(?:\d{2}-\d{2}-\d{4}|\d{4}-\d{2}-\d{2}|[Nn][Ll]\d{9}[Bb]\d{2})$"
 MONEY = r"^\d+,\d{2}$"
 ORDER_ROW = r"(?i)\b(?:ordernummer|bestelnummer|bestelnr|uw\s+referentie|onze\s+referentie)\b"
@@ -60,7 +62,7 @@ def head_kind(text: Column) -> Column:
 def identifying(text: Column) -> Column:
     """Whether a word may be a number of a column: at least four characters with a digit, no date, no VAT number."""
     bare = F.regexp_replace(text, r"^[\W_]+|[\W_]+$", "")
-    return (F.length(bare) >= 4) & bare.rlike(r"\d") & ~text.rlike(NO_VALUE) & (F.length(F.regexp_replace(bare, r"\D", "")) >= F.when(bare.rlike("[A-Za-z]"), 1).otherwise(4))
+    return let(bare, lambda x: (F.length(x) >= 4) & x.rlike(r"\d") & ~text.rlike(NO_VALUE) & (x.rlike("[A-Za-z]") | (F.length(F.regexp_replace(x, r"\D", "")) >= 4)))
 
 
 def header_spans(line_table: DataFrame) -> DataFrame:
@@ -74,20 +76,27 @@ def header_spans(line_table: DataFrame) -> DataFrame:
     cells = intervals(F.col("line"), r"\S+(?: \S+)*")
     loose = F.col("line").rlike(r"\S\s{2,}\S")
     tight = F.filter(F.transform(F.split(F.trim("line"), r"\s+"), head_kind), lambda k: k.isNotNull())
-    t = line_table.where("line is not null").select("doc_id", "line_no", "after", loose.alias("loose"), F.when(loose, F.transform(cells, lambda c: F.struct(c["s"], c["e"], head_kind(c["t"]).alias("k")))).alias("cells"), tight.alias("heads"))
+    # most lines have no part of a head's name
+    t = settle(line_table.where(F.col("line").rlike(HEAD_PARTS)).select("doc_id", "line_no", "line", "after"), loose.alias("loose"), F.when(loose, F.transform(cells, lambda c: F.struct(c["s"], c["e"], head_kind(c["t"]).alias("k")))).alias("cells"), F.when(~loose, tight).alias("heads")).drop("line")
     known = F.when(F.col("loose"), F.filter(F.transform("cells", lambda c: c["k"]), lambda k: k.isNotNull())).otherwise(F.col("heads"))
     t = t.where(F.size(known) >= 2)
-    money = lambda x: F.size(F.filter(F.split(F.trim(x), r"\s+"), lambda w: w.rlike(MONEY)))
     words = lambda x: F.filter(intervals(x, r"\S+"), lambda w: identifying(w["t"]))
-    ids = lambda x: F.filter(F.split(F.trim(x), r"\s+"), identifying)
-    is_row = lambda x: (F.size(ids(x)) > 0) & ~x.rlike(ORDER_ROW) & ~((money(x) >= 2) | ((money(x) == 1) & (F.size(ids(x)) <= 1)))
-    rows = F.filter(F.transform(F.slice("after", 1, BELOW), lambda x, j: F.struct(x.alias("x"), (j + 1).alias("j"))), lambda r: is_row(r["x"]))
-    t = t.select("*", F.get(rows, F.lit(0)).alias("row")).where("row is not null").withColumn("words", words(F.col("row.x")))
+
+    def is_row(x: Column) -> Column:
+        parts = F.split(F.trim(x), r"\s+")
+        counts = F.struct(F.size(F.filter(parts, identifying)).alias("ids"), F.size(F.filter(parts, lambda w: w.rlike(MONEY))).alias("money"))
+        return ~x.rlike(ORDER_ROW) & let(counts, lambda c: (c["ids"] > 0) & ~((c["money"] >= 2) | ((c["money"] == 1) & (c["ids"] <= 1))))
+
+    # the first row counts, so lines after it are not looked at
+    nth = lambda j: F.struct(F.get("after", F.lit(j)).alias("x"), F.lit(j + 1).alias("j"))
+    row = F.coalesce(*[F.when(is_row(F.get("after", F.lit(j))), nth(j)) for j in range(BELOW)])
+    t = settle(t, row.alias("row")).where("row is not null")
+    t = settle(t, words(F.col("row.x")).alias("words"))
 
     # of each word, the cell that it overlaps most; the first one of equals
     overlap = lambda w, c: F.least(w["e"], c["e"]) - F.greatest(w["s"], c["s"])
     best = lambda w: F.array_max(F.transform("cells", lambda c: F.struct(overlap(w, c).alias("o"), (-c["s"]).alias("s"))))
-    t = t.withColumn("under", F.when(F.col("loose"), F.transform("words", lambda w: F.struct(w["t"].alias("t"), best(w).alias("b")))))
+    t = settle(t, F.when(F.col("loose"), F.transform("words", lambda w: F.struct(w["t"].alias("t"), best(w).alias("b")))).alias("under"))
 
     def column(name: str) -> Column:
         cell = F.get(F.filter("cells", lambda c: c["k"] == name), F.lit(0))
@@ -101,7 +110,7 @@ def header_spans(line_table: DataFrame) -> DataFrame:
         return F.struct(value.alias("value"), F.lit(f"header_table_{name}").alias("source"), trust.cast("int").alias("confidence"))
 
     found = F.filter(F.array(*[column(k) for k in TRUST]), lambda x: x["value"].isNotNull())
-    return t.select("doc_id", "line_no", F.inline(found))
+    return settle(t, found.alias("found")).select("doc_id", "line_no", F.inline("found"))
 
 
 def invoice_fallback(line_table: DataFrame) -> DataFrame:

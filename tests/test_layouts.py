@@ -165,3 +165,12 @@ def test_added_within_a_row(spark):
     assert key(mastered) == key(numbers.with_master(apart, texts.select("doc_id", "code")))
     for frame in (hinted, mastered):
         assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_without_a_head_are_not_read(spark):
+    """Only lines with a part of a head's name are cut into cells, and a word's bare form is worked out once."""
+    lines = numbers.lines(spark.createDataFrame([("a", "Factuurdatum  FACTUURNUMMER  Klantnummer\n01-02-2024    INV-1          K0001\nniets  hier")], "doc_id string, text string"))
+    df = layouts.header_spans(lines)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index(layouts.HEAD_PARTS) > 0 and plan.count("relatienummer") == 2
+    assert sorted((r["value"], r["confidence"]) for r in df.collect()) == [("INV-1", 89), ("K0001", 88)]
