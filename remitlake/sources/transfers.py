@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import checkpointed, new_path
 
 # Lengths that the transfer format allows, and its characters.
 CREDITOR, REMITTANCE = 70, 140
@@ -29,7 +29,8 @@ def write(rows: DataFrame, path: str | None = None) -> str:
     parts = [("ReqdExctnDt", F.col("execution_date").cast("string")), ("EndToEndId", F.col("end_to_end")), ("InstdAmt", F.col("amount").cast("decimal(28,2)").cast("string")), ("Nm", clean(F.col("creditor"), CREDITOR)), ("IBAN", F.regexp_replace("iban", r"\s", "")), ("Ustrd", F.replace(checked, F.lit("'"), F.lit("&apos;")))]
     line = element("CdtTrfTxInf", F.concat(*[element(n, v) for n, v in parts]))
     # a file holds a range of dates; a date that has very many transfers is split
-    dealt = rows.select("execution_date", "end_to_end", line.alias("value")).repartitionByRange("execution_date", "end_to_end")
+    # ranges are drawn from the rows before these are dealt, so rows are worked out once, before both
+    dealt = checkpointed(rows.select("execution_date", "end_to_end", line.alias("value"))).repartitionByRange("execution_date", "end_to_end")
     dealt.sortWithinPartitions("execution_date", "end_to_end").select("value").write.text(path)
     return path
 

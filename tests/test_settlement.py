@@ -136,3 +136,26 @@ print("rows", credits.match_batches(c, i).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300, check=False)
     assert "rows 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_transfers_and_components_are_worked_out_once(spark, monkeypatch):
+    """Ranges of dates are drawn from written rows; an invoice and the credits that refer to it are a component without rounds of labels."""
+    from remitlake.operators import credits as cr
+    from remitlake.plans import settlement_plans as sp
+    from remitlake.sources import transfers
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.sql("select date'2024-01-01' + cast(id as int) as execution_date, concat('e', id) as end_to_end, 'c' as creditor, 'NL1' as iban, cast(id + 1 as decimal(18,2)) as amount, 'r' as remittance from range(20)").repartition(4)
+    back = transfers.read(spark, transfers.write(rows.mapInArrow(counted, rows.schema)))
+    assert back.count() == 20 and seen.value == 20
+    monkeypatch.setattr(cr, "connected", None)
+    docs = spark.createDataFrame([("INV1", "invoice"), ("CN1", "credit_note"), ("CN2", "credit_note"), ("CN3", "credit_note")], "doc_id string, doc_type string")
+    alloc = spark.createDataFrame([("CN1", "INV1"), ("CN2", "INV1"), ("CN2", None), ("CN3", None)], "credit_id string, invoice_id string")
+    got = {r["doc_id"]: r["component"] for r in sp._with_components(alloc, docs).collect()}
+    assert got == {"INV1": "CN1", "CN1": "CN1", "CN2": "CN1", "CN3": "CN3"}
